@@ -20,6 +20,7 @@ from lintlake.functions.severity import rank_sql
 from lintlake.functions.sqltext import let
 from lintlake.functions.versions import clean_version, version_lt, version_matches
 from lintlake.operators.hits import timestamp
+from lintlake.support import explode_once
 
 # Fixed value: a pinned requirement is name, operator, version.
 REQUIREMENT = rf"^([a-zA-Z0-9\-_]+){SPACE}*([=><~!]+){SPACE}*([0-9.]+)"
@@ -71,7 +72,7 @@ def package_json_deps(manifest_table: DataFrame) -> DataFrame:
     # Sorted, the entries of one name are neighbours and the last of them counts.
     last = "get(es, i + 1) IS NULL OR get(es, i + 1).name != e.name"
     entries = let(f"sort_array({numbered})", "es", f"filter(es, (e, i) -> {last})")
-    exploded = parsed.select("file", F.explode(F.expr(entries)).alias("entry"))
+    exploded = explode_once(parsed, F.expr(entries), "entry", "file")
     return exploded.filter("entry.version IS NOT NULL").select(
         "file",
         F.col("entry.name").alias("name"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lintlake.functions.matching import strip_sql
 from lintlake.functions.patterns import SPACE
 from lintlake.functions.sqltext import let, quote
+from lintlake.support import explode_once
 
 
 def duplicate_blocks(files: DataFrame, k: int = 6, salts: int = 16) -> DataFrame:
@@ -28,7 +29,7 @@ def duplicate_blocks(files: DataFrame, k: int = 6, salts: int = 16) -> DataFrame
         "named_struct('line', at, 'h1', xxhash64(block), 'h2', crc32(encode(block, 'UTF-8')))",
     )
     windows = F.expr(f"transform(sequence(1, size(lines) - {k - 1}), at -> {place})")
-    places = normal.select("file", F.explode(windows).alias("b")).select("file", "b.line", "b.h1", "b.h2")
+    places = explode_once(normal, windows, "b", "file").select("file", "b.line", "b.h1", "b.h2")
     counts = places.groupBy("h1", "h2").agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
     spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = places.withColumn("salt", F.pmod(F.xxhash64("file", "line"), F.lit(salts)).cast("int"))

@@ -19,7 +19,7 @@ from lintlake.functions.matching import snippet_sql, strip_sql
 from lintlake.functions.severity import cvss_score_sql, cvss_vector_sql, rank_sql
 from lintlake.functions.sqltext import let
 from lintlake.schema import FINDINGS
-from lintlake.support import small_table
+from lintlake.support import explode_once, small_table
 
 # Arrival order of the analyzers.
 SAST, SECRET, QUALITY, DEPENDENCY = range(4)
@@ -101,8 +101,7 @@ def explode_hits(files: DataFrame, hits: str, *keep: str) -> DataFrame:
     shaped = f"transform(found, h -> named_struct({full}, 'snippet', {_snippet_sql('lines', 'h')}))"
     none = f"CAST(array() AS {HITS[:-2]}, snippet: STRING>>)"
     every = let(hits, "found", f"IF(size(found) = 0, {none}, {let('split(code, chr(10), -1)', 'lines', shaped)})")
-    found = files.select("file", *keep, F.expr(every).alias("hits"))
-    return found.select("file", *keep, F.explode("hits").alias("hit")).select("file", *keep, "hit.*")
+    return explode_once(files, F.expr(every), "hit", "file", *keep).select("file", *keep, "hit.*")
 
 
 def timestamp(now: datetime | str | Column | None) -> Column:

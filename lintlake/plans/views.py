@@ -50,75 +50,79 @@ def _pick(values: list[str]) -> str:
     return f"CASE CAST(doc_id % {len(values)} AS INT) {cases} END"
 
 
-CORPUS_SQL = f"""SELECT doc_id,
-    concat('src/', source, '/f', CAST(doc_id AS VARCHAR(20)), {_pick([f"'{t[0]}'" for t in TEMPLATES])}) AS file,
-    {_pick([f"'{t[1]}'" for t in TEMPLATES])} AS language,
-    concat({_pick([t[2] for t in TEMPLATES])}, text) AS code
-FROM documents"""
-
-# One requirements.txt and one package.json per part.
-_N = "CAST(CAST({0} AS BIGINT) AS VARCHAR(20))"
+CORPUS = {
+    "doc_id": "doc_id",
+    "file": f"""concat('src/', source, '/f', CAST(doc_id AS VARCHAR(20)), {_pick([f"'{t[0]}'" for t in TEMPLATES])})""",
+    "language": _pick([f"'{t[1]}'" for t in TEMPLATES]),
+    "code": f"concat({_pick([t[2] for t in TEMPLATES])}, text)",
+}
 
 
 def _num(expression: str) -> str:
-    return _N.format(expression)
+    return f"CAST(CAST({expression} AS BIGINT) AS VARCHAR(20))"
 
 
-REQUIREMENTS_SQL = f"""SELECT concat('repo', {_num("p_partkey")}, '/requirements.txt') AS file,
-    concat('django==', {_num("p_size % 5")}, '.', {_num("p_partkey % 30")}, '.', {_num("p_partkey % 40")}, {_NL},
-        'Flask >= ', {_num("p_size % 3")}, '.0.0', {_NL},
-        '# pinned', {_NL}, 'requests==2.', {_num("p_partkey % 40")}, '.0', {_NL}) AS code
-FROM part"""
+def _json(text: str) -> str:
+    """A SQL text with `~` for double quotes and `<...>` for numbers."""
+    parts = []
+    for piece in text.replace(">", "<").split("<"):
+        parts.append(_num(piece) if len(parts) % 2 else f"replace('{piece}', '~', {_Q})")
+    return f"concat({', '.join(parts)})"
 
-PACKAGE_JSON_SQL = f"""SELECT concat('repo', {_num("p_partkey")}, '/package.json') AS file,
-    concat('{{', {_Q}, 'dependencies', {_Q}, ': {{', {_Q}, 'lodash', {_Q}, ': ', {_Q}, '^4.',
-        {_num("p_partkey % 20")}, '.', {_num("p_size")}, {_Q}, ', ', {_Q}, 'axios', {_Q}, ': ', {_Q}, '~0.',
-        {_num("p_partkey % 30")}, '.1', {_Q}, '}}, ', {_Q}, 'devDependencies', {_Q}, ': {{',
-        CASE WHEN p_partkey % 2 = 0 THEN concat({_Q}, 'lodash', {_Q}, ': ', {_Q}, '>=4.',
-            {_num("p_partkey % 25")}, '.0', {_Q}) ELSE '' END, '}}}}') AS code
-FROM part"""
+
+# One requirements.txt and one package.json per part.
+REQUIREMENTS = {
+    "file": f"concat('repo', {_num('p_partkey')}, '/requirements.txt')",
+    "code": f"""concat('django==', {_num("p_size % 5")}, '.', {_num("p_partkey % 30")}, '.', {_num("p_partkey % 40")},
+        {_NL}, 'Flask >= ', {_num("p_size % 3")}, '.0.0', {_NL}, '# pinned', {_NL},
+        'requests==2.', {_num("p_partkey % 40")}, '.0', {_NL})""",
+}
+PACKAGE_JSON = {
+    "file": f"concat('repo', {_num('p_partkey')}, '/package.json')",
+    "code": f"""concat({_json("{~dependencies~: {~lodash~: ~^4.<p_partkey % 20>.<p_size>~, ~axios~: ~^0.")},
+        {_json("<p_partkey % 30>.1~}, ~devDependencies~: {")},
+        CASE WHEN p_partkey % 2 = 0 THEN {_json("~lodash~: ~4.<p_partkey % 25>.0~")} ELSE '' END, '}}}}')""",
+}
 
 # A rule table of any size: one rule per part, some of them unusable.
-PART_RULES_SQL = f"""SELECT
-    CASE WHEN p_partkey % 10 = 9 THEN concat('rule-', {_num("p_partkey - 1")})
-        ELSE concat('rule-', {_num("p_partkey")}) END AS id,
-    concat(p_name, ' ', {_num("p_partkey")}) AS name,
-    CASE WHEN p_partkey % 7 = 3 THEN NULL ELSE p_type END AS description,
-    CASE WHEN p_size % 11 = 5 THEN '(open' WHEN p_size % 11 = 6 THEN 'x*' ELSE p_brand END AS pattern,
-    CASE p_size % 6 WHEN 0 THEN 'critical' WHEN 1 THEN 'High' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'low'
-        WHEN 4 THEN 'info' ELSE 'fatal' END AS severity,
-    CASE p_partkey % 3 WHEN 0 THEN 'Python' WHEN 1 THEN 'java' ELSE 'javascript' END AS language,
-    p_partkey % 5 <> 0 AS enabled,
-    lower(p_type) AS category,
-    p_name AS tag
-FROM part"""
+PART_RULES = {
+    "id": f"concat('rule-', {_num('p_partkey - CASE WHEN p_partkey % 10 = 9 THEN 1 ELSE 0 END')})",
+    "name": f"concat(p_name, ' ', {_num('p_partkey')})",
+    "description": "CASE WHEN p_partkey % 7 = 3 THEN NULL ELSE p_type END",
+    "pattern": "CASE WHEN p_size % 11 = 5 THEN '(open' WHEN p_size % 11 = 6 THEN 'x*' ELSE p_brand END",
+    "severity": """CASE p_size % 6 WHEN 0 THEN 'critical' WHEN 1 THEN 'High' WHEN 2 THEN 'MEDIUM'
+        WHEN 3 THEN 'low' WHEN 4 THEN 'info' ELSE 'fatal' END""",
+    "language": "CASE p_partkey % 3 WHEN 0 THEN 'Python' WHEN 1 THEN 'java' ELSE 'javascript' END",
+    "enabled": "p_partkey % 5 <> 0",
+    "category": "lower(p_type)",
+    "tag": "p_name",
+}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def as_sql(columns: dict[str, str], name: str) -> str:
+    """The derived table as a query on a given table."""
+    return "SELECT " + ", ".join(f"{e} AS {a}" for a, e in columns.items()) + f" FROM {name}"
 
 
-def _query(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
-    body = sql.replace(f"FROM {name}", "FROM {source}").replace("CAST(", "CAST(")
-    return spark.sql(_escape(body), source=table(spark, sf_dir, name))
+def _select(table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return table.selectExpr(*[f"{e} AS {a}" for a, e in columns.items()])
 
 
-def _escape(sql: str) -> str:
-    """Double the braces that are not the placeholder."""
-    return sql.replace("{", "{{").replace("}", "}}").replace("{{source}}", "{source}")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, file, language, code): the documents as source files."""
-    return _query(spark, sf_dir, "documents", CORPUS_SQL)
+    return _select(table(spark, sf_dir, "documents"), CORPUS)
 
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, code): the manifests of the parts."""
-    requirements = _query(spark, sf_dir, "part", REQUIREMENTS_SQL)
-    return requirements.unionByName(_query(spark, sf_dir, "part", PACKAGE_JSON_SQL))
+    part = table(spark, sf_dir, "part")
+    return _select(part, REQUIREMENTS).unionByName(_select(part, PACKAGE_JSON))
 
 
 def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _query(spark, sf_dir, "part", PART_RULES_SQL)
+    raw = _select(table(spark, sf_dir, "part"), PART_RULES)
     return raw.selectExpr("*", "split(tag, ' ') AS tags").drop("tag")

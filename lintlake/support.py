@@ -27,6 +27,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def explode_once(table: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element of a computed array, beside the `keep` columns.
+
+    A plain explode lets Spark first filter on the size of the array, and that
+    filter would compute the array a second time.
+    """
+    computed = table.select(*keep, array.alias("_elements"))
+    exploded = computed.select(*keep, F.explode_outer("_elements").alias(name))
+    return exploded.filter(F.col(name).isNotNull())
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for streaming state and intermediate tables.
 
