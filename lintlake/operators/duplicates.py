@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lintlake.functions.matching import strip_sql
 from lintlake.functions.patterns import SPACE
 from lintlake.functions.sqltext import let, quote
-from lintlake.support import explode_once
+from lintlake.support import explode_once, spread
 
 
 def duplicate_blocks(files: DataFrame, k: int = 6, salts: int = 16) -> DataFrame:
@@ -22,7 +22,7 @@ def duplicate_blocks(files: DataFrame, k: int = 6, salts: int = 16) -> DataFrame
     """
     squeezed = f"regexp_replace({strip_sql('text')}, {quote(f'(?U){SPACE}+')}, ' ')"
     lines = f"transform(split(code, chr(10), -1), text -> {squeezed})"
-    normal = files.select("file", F.expr(lines).alias("lines")).filter(f"size(lines) >= {k}")
+    normal = spread(files.select("file", "code")).select("file", F.expr(lines).alias("lines")).filter(f"size(lines) >= {k}")
     place = let(
         f"array_join(slice(lines, at, {k}), chr(10))",
         "block",

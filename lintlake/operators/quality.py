@@ -27,6 +27,7 @@ from lintlake.operators.hits import (
 )
 from lintlake.operators.sast import NO_MARKS, TODO, mark_sql, marked_hits_sql, marks_sql
 from lintlake.schema import SEVERITIES
+from lintlake.support import spread
 
 MAX_FUNCTION_LINES = 50
 MAX_LINE_LENGTH = 120
@@ -185,7 +186,8 @@ def quality_info(spark: SparkSession) -> DataFrame:
 
 
 def _quality(files: DataFrame, marks: str, parts: list[str], now: datetime | str | None) -> DataFrame:
-    marked = files.select("file", "code", "language", F.expr(marks).alias("_marks"))
+    texts = spread(files.select("file", "code", "language"))
+    marked = texts.select("*", F.expr(marks).alias("_marks"))
     found = ([] if marks == NO_MARKS else [marked_hits_sql("code", "_marks")]) + parts
     return findings_of(explode_hits(marked, concat_sql(found)), quality_info(files.sparkSession), now)
 

@@ -21,6 +21,7 @@ from lintlake.operators.hits import (
     info_table,
 )
 from lintlake.operators.rules import to_java
+from lintlake.support import spread
 
 # Up to this many rules become expressions of one projection; larger rule tables
 # are joined to the files by language instead.
@@ -150,7 +151,8 @@ def joined_hits(files: DataFrame, rules: DataFrame, dedup_rows: bool = True) ->
     and otherwise sorts and merges, splitting a hot language at run time.
     """
     patterns = rules.select("language", F.col("id").alias("_rule"), to_java("pattern").alias("_pattern"))
-    matched = files.join(patterns, "language").filter("code RLIKE _pattern")
+    texts = spread(files.select("file", "code", "language"))
+    matched = texts.join(patterns, "language").filter("code RLIKE _pattern")
     hit = hit_sql("m.line", "_rule", SAST, "i", "m.column", "m.text")
     found = f"transform({locate_sql('code', '_pattern')}, (m, i) -> {hit})"
     return explode_hits(matched, first_per_line_sql(found) if dedup_rows else found)
@@ -167,6 +169,7 @@ def sast_findings(
     if rows is None:
         return findings_of(joined_hits(files, enabled, dedup_rows=False), rule_info(enabled), now)
     marks = rule_marks_sql("code", "language", rows, prefilter)
-    marked = files.select("file", "code", F.expr(marks).alias("_marks"))
+    texts = spread(files.select("file", "code", "language"))
+    marked = texts.select("file", "code", F.expr(marks).alias("_marks"))
     hits = explode_hits(marked, marked_hits_sql("code", "_marks"))
     return findings_of(hits, info_table(files.sparkSession, rule_info_rows(rows)), now)

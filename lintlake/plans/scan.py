@@ -41,6 +41,7 @@ from lintlake.operators.secrets import secret_info_rows, secret_marks_sql, secre
 from lintlake.schema import SEVERITIES
 from lintlake.sources.files import read_files
 from lintlake.sources.tables import builtin_advisories, builtin_rules
+from lintlake.support import spread
 
 
 @dataclass(frozen=True)
@@ -100,7 +101,8 @@ def file_findings(
     """
     spark = files.sparkSession
     wanted = options.severities()
-    usable = limit_size(supported_only(files), options.max_mb)
+    needed = files.select("file", "code", "language", *keep)
+    usable = spread(limit_size(supported_only(needed), options.max_mb))
     rows, enabled = selected_rules(filter_rules(rules, severities=wanted))
     marks: list[str] = []
     parts: list[str] = []

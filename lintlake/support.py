@@ -38,6 +38,27 @@ def explode_once(table: DataFrame, array: Column, name: str, *keep: str) -> Data
     return exploded.filter(F.col(name).isNotNull())
 
 
+# A table below this many bytes is not worth moving.
+_TOO_SMALL = 1 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table over all cores; any other table as it is.
+
+    Texts are costly to scan, and a table of a few row groups would keep a few
+    cores busy.  Only a table whose estimated size is less than one input split
+    per core is moved, so the amount moved is bounded by the cluster and large
+    inputs keep the partitions they are read in.
+    """
+    if table.isStreaming:
+        return table
+    spark = table.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return table.repartition(cores) if _TOO_SMALL <= size < cores * split else table
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for streaming state and intermediate tables.
 
