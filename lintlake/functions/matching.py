@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lintlake.functions.patterns import SPACE, java_pattern
+from lintlake.functions.patterns import SPACE, contains_sql, java_pattern
 from lintlake.functions.sqltext import chain, evaluate, let, quote
 from lintlake.support import column
 
@@ -92,8 +92,10 @@ def locate_sql(code: str, regex: str) -> str:
     )
 
 
-def find_sql(code: str, regex: str) -> str:
-    return f"IF({code} RLIKE {regex}, {locate_sql(code, regex)}, {NO_MATCHES})"
+def find_sql(code: str, regex: str, possible: str | None = None) -> str:
+    """`locate_sql` of texts that have a match; `possible` is a cheaper test before it."""
+    found = f"{code} RLIKE {regex}"
+    return f"IF({possible + ' AND ' if possible else ''}{found}, {locate_sql(code, regex)}, {NO_MATCHES})"
 
 
 def _regex(
@@ -112,7 +114,11 @@ def find_matches(
     unicode: bool = True,
 ) -> Column:
     """array<struct<line, column, text>> of the leftmost non-overlapping matches."""
-    return evaluate(find_sql, code=code, regex=_regex(pattern, case_sensitive, multiline, unicode))
+    regex = _regex(pattern, case_sensitive, multiline, unicode)
+    if isinstance(regex, Column):
+        return evaluate(find_sql, code=code, regex=regex)
+    plain = pattern if case_sensitive else f"(?i){pattern}"
+    return evaluate(lambda code: find_sql(code, regex, contains_sql(code, plain)), code=code)
 
 
 def match_line(

@@ -31,8 +31,8 @@ def duplicate_blocks(files: DataFrame, k: int = 6, salts: int = 16) -> DataFrame
     windows = F.expr(f"transform(sequence(1, size(lines) - {k - 1}), at -> {place})")
     places = explode_once(normal, windows, "b", "file").select("file", "b.line", "b.h1", "b.h2")
     counts = places.groupBy("h1", "h2").agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
-    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    repeated = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = places.withColumn("salt", F.pmod(F.xxhash64("file", "line"), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["h1", "h2", "salt"]).select(
+    return salted.join(repeated, ["h1", "h2", "salt"]).select(
         F.concat_ws("-", F.lower(F.hex("h1")), F.lower(F.hex("h2"))).alias("block"), "file", "line", "copies"
     )

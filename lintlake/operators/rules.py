@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintlake.functions.patterns import compiles, java_pattern, matches_empty
 from lintlake.schema import RULES, SEVERITIES
@@ -21,12 +22,12 @@ def _problem(pattern: str | None) -> str | None:
 
 
 # Rule tables are small; these run on one row per rule, never per file.
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def pattern_problem(patterns: pd.Series) -> pd.Series:
     return patterns.map(_problem)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_java(patterns: pd.Series) -> pd.Series:
     return patterns.map(java_pattern)
 

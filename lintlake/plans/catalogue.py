@@ -29,7 +29,7 @@ from lintlake.sources.files import as_files, decode_text, read_files
 from lintlake.sources.tables import builtin_advisories, builtin_cwe_remediation, builtin_rules
 from lintlake.streaming.incremental import run_available, scan_stream
 from lintlake.streaming.lifecycle import lifecycle_stream, merge_lifecycle, merge_sightings
-from lintlake.support import checkpoint_root, explode_once
+from lintlake.support import checkpoint_root, explode_once, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files without a suffix."""
     docs = table(spark, sf_dir, "documents")
@@ -77,7 +81,7 @@ def _scan(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 @query
 def credential_hits(spark, sf_dir):
-    found = explode_once(table(spark, sf_dir, "documents"), M.find_matches("text", CREDENTIAL), "m", "doc_id")
+    found = explode_once(_texts(spark, sf_dir), M.find_matches("text", CREDENTIAL), "m", "doc_id")
     return found.select("doc_id", "m.line", "m.column", F.col("m.text").alias("matched_text"))
 
 
@@ -85,13 +89,13 @@ def credential_hits(spark, sf_dir):
 def word_positions(spark, sf_dir):
     """Positions of a frequent pattern, many matches per text, some across lines."""
     matches = M.find_matches("text", r"[a-z]\.\s+[A-Z]", unicode=False)
-    found = explode_once(table(spark, sf_dir, "documents"), matches, "m", "doc_id")
+    found = explode_once(_texts(spark, sf_dir), matches, "m", "doc_id")
     return found.select("doc_id", "m.line", "m.column", F.col("m.text").alias("matched_text"))
 
 
 @query
 def pattern_count(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return docs.select("doc_id", M.count_matches("text", "the [a-z]+", case_sensitive=False).alias("matches"))
 
 
@@ -153,7 +157,7 @@ def snippet_context(spark, sf_dir):
         found=M.find_matches("text", CREDENTIAL),
         lines=F.split("text", "\n"),
     )
-    found = explode_once(table(spark, sf_dir, "documents"), shown, "m", "doc_id")
+    found = explode_once(_texts(spark, sf_dir), shown, "m", "doc_id")
     return found.select("doc_id", "m.line", "m.snippet")
 
 

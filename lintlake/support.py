@@ -55,7 +55,7 @@ def spread(table: DataFrame) -> DataFrame:
     spark = table.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return table.repartition(cores) if _TOO_SMALL <= size < cores * split else table
 
 
