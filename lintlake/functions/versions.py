@@ -41,9 +41,17 @@ def _string_sql(version: str, spec: str) -> str:
     return f"IF(startswith({spec}, '<'), {below}, {version} = {exact})"
 
 
+def bound_sql(spec: str) -> str:
+    """Numeric parts of the version an advisory range names."""
+    return version_key_sql(f"trim(regexp_replace({spec}, '^(<=|==|<)', ''))")
+
+
 def _semantic_sql(version: str, spec: str) -> str:
-    have = version_key_sql(version)
-    bound = version_key_sql(f"trim(regexp_replace({spec}, '^(<=|==|<)', ''))")
+    return within_sql(version_key_sql(version), spec, bound_sql(spec))
+
+
+def within_sql(have: str, spec: str, bound: str) -> str:
+    """Whether the parts of a version are in a range with these bound parts."""
     return (
         f"coalesce(CASE WHEN startswith({spec}, '<=') THEN {have} <= {bound} "
         f"WHEN startswith({spec}, '<') THEN {have} < {bound} ELSE {have} = {bound} END, false)"

@@ -14,11 +14,16 @@ from lintlake.builtin.tables import (
     MANIFEST_SUFFIX,
 )
 from lintlake.functions.identity import finding_id_sql
-from lintlake.functions.matching import strip
 from lintlake.functions.patterns import SPACE
 from lintlake.functions.severity import rank_sql
-from lintlake.functions.sqltext import let
-from lintlake.functions.versions import clean_version, version_lt, version_matches
+from lintlake.functions.sqltext import chain, let, quote
+from lintlake.functions.versions import (
+    bound_sql,
+    version_key_sql,
+    version_lt,
+    version_matches,
+    within_sql,
+)
 from lintlake.operators.hits import timestamp
 from lintlake.support import explode_once
 
@@ -45,46 +50,63 @@ def manifests(files: DataFrame, root: str | None = None) -> DataFrame:
     )
 
 
-def requirements_deps(manifest_table: DataFrame) -> DataFrame:
+_ENTRIES = "ARRAY<STRUCT<name: STRING, version: STRING, operator: STRING, line: INT>>"
+_NO_ENTRIES = f"CAST(array() AS {_ENTRIES})"
+_NAME = "lower(base_name)"
+_IS_REQUIREMENTS = f"(contains({_NAME}, 'requirements') OR {_NAME} = 'pipfile')"
+_IS_PACKAGE_JSON = f"{_NAME} = 'package.json'"
+
+
+def _requirements_sql(text: str) -> str:
     """Pinned requirements, one per line.  The operator is kept but not used."""
-    name = F.lower("base_name")
-    wanted = manifest_table.filter(F.contains(name, F.lit("requirements")) | (name == "pipfile"))
-    lines = wanted.select("file", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    parsed = lines.select("file", "pos", strip(F.col("raw")).alias("text"))
-    regex = "(?U)" + REQUIREMENT
-    return parsed.filter(F.rlike("text", F.lit(regex))).select(
-        "file",
-        F.lower(F.regexp_extract("text", regex, 1)).alias("name"),
-        F.regexp_extract("text", regex, 3).alias("version"),
-        F.lit("python").alias("language"),
-        F.regexp_extract("text", regex, 2).alias("operator"),
-        (F.col("pos") + 1).cast("int").alias("line"),
+    regex = quote(f"(?U)^{SPACE}*" + REQUIREMENT.removeprefix("^"))
+    part = lambda group: f"regexp_extract(raw, {regex}, {group})"
+    entry = (
+        f"named_struct('name', lower({part(1)}), 'version', {part(3)}, 'operator', {part(2)}, "
+        "'line', CAST(i + 1 AS INT))"
     )
+    lines = f"transform(split({text}, chr(10), -1), (raw, i) -> IF(raw RLIKE {regex}, {entry}, NULL))"
+    return f"filter({lines}, d -> d IS NOT NULL)"
 
 
-def package_json_deps(manifest_table: DataFrame) -> DataFrame:
+def _package_json_sql(text: str) -> str:
     """Entries of `dependencies` and `devDependencies`; of one name the last wins."""
-    wanted = manifest_table.filter(F.lower("base_name") == "package.json")
-    schema = "dependencies map<string,string>, devDependencies map<string,string>"
-    parsed = wanted.select("file", F.from_json("text", schema).alias("doc"))
-    lists = [f"coalesce(map_entries(doc.{m}), array())" for m in ("dependencies", "devDependencies")]
-    numbered = f"transform(concat({', '.join(lists)}), (e, i) -> named_struct('name', e.key, 'at', i, 'version', e.value))"
+    members = ("dependencies", "devDependencies")
+    schema = ", ".join(f"{m} MAP<STRING, STRING>" for m in members)
+    lists = ", ".join(f"coalesce(map_entries(doc.{m}), array())" for m in members)
+    numbered = f"transform(concat({lists}), (e, i) -> named_struct('name', e.key, 'at', i, 'version', e.value))"
     # Sorted, the entries of one name are neighbours and the last of them counts.
-    last = "get(es, i + 1) IS NULL OR get(es, i + 1).name != e.name"
-    entries = let(f"sort_array({numbered})", "es", f"filter(es, (e, i) -> {last})")
-    exploded = explode_once(parsed, F.expr(entries), "entry", "file")
-    return exploded.filter("entry.version IS NOT NULL").select(
-        "file",
-        F.col("entry.name").alias("name"),
-        clean_version("entry.version").alias("version"),
-        F.lit("javascript").alias("language"),
-        F.lit(None).cast("string").alias("operator"),
-        F.lit(1).alias("line"),
+    last = "e.version IS NOT NULL AND (get(es, i + 1) IS NULL OR get(es, i + 1).name != e.name)"
+    kept = let(f"sort_array({numbered})", "es", f"filter(es, (e, i) -> {last})")
+    entry = (
+        "named_struct('name', e.name, 'version', translate(e.version, '^~><=', ''), "
+        "'operator', CAST(NULL AS STRING), 'line', 1)"
+    )
+    return let(f"from_json({text}, '{schema}')", "doc", f"transform({kept}, e -> {entry})")
+
+
+def _exploded(manifest_table: DataFrame, cases: list[tuple[str, str]], language: str) -> DataFrame:
+    entries = F.expr(chain(cases, _NO_ENTRIES))
+    named = manifest_table.withColumn("language", F.expr(language))
+    return explode_once(named, entries, "d", "file", "language").select(
+        "file", "d.name", "d.version", "language", "d.operator", "d.line"
     )
 
 
+def requirements_deps(manifest_table: DataFrame) -> DataFrame:
+    """Dependencies of requirements files and Pipfiles."""
+    return _exploded(manifest_table, [(_IS_REQUIREMENTS, _requirements_sql("text"))], "'python'")
+
+
+def package_json_deps(manifest_table: DataFrame) -> DataFrame:
+    """Dependencies of package.json files."""
+    return _exploded(manifest_table, [(_IS_PACKAGE_JSON, _package_json_sql("text"))], "'javascript'")
+
+
 def dependencies(manifest_table: DataFrame) -> DataFrame:
-    return requirements_deps(manifest_table).unionByName(package_json_deps(manifest_table))
+    """Dependencies of all manifests, each read once."""
+    cases = [(_IS_REQUIREMENTS, _requirements_sql("text")), (_IS_PACKAGE_JSON, _package_json_sql("text"))]
+    return _exploded(manifest_table, cases, f"IF({_IS_PACKAGE_JSON}, 'javascript', 'python')")
 
 
 def match_advisories(deps: DataFrame, advisories: DataFrame, mode: str = "semantic") -> DataFrame:
@@ -96,12 +118,14 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, mode: str = "semant
     known = advisories.select(
         "language", F.lower("package").alias("_package"), "version_spec", "cve", "severity"
     )
+    if mode == "semantic":
+        known = known.withColumn("_bound", F.expr(bound_sql("version_spec")))
+        condition = F.expr(let(version_key_sql("version"), "have", within_sql("have", "version_spec", "_bound")))
+    else:
+        known = known.withColumn("_bound", F.lit(None))
+        condition = version_matches("version", "version_spec", mode)
     keyed = deps.withColumn("_package", F.lower("name"))
-    return (
-        keyed.join(known, ["language", "_package"])
-        .filter(version_matches("version", "version_spec", mode))
-        .drop("_package")
-    )
+    return keyed.join(known, ["language", "_package"]).filter(condition).drop("_package", "_bound")
 
 
 def dependency_findings(matched: DataFrame, now: datetime | str | None = None) -> DataFrame:

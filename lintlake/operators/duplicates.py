@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.functions.matching import strip_sql
 from lintlake.functions.patterns import SPACE
 from lintlake.functions.sqltext import let, quote
 from lintlake.support import explode_once, spread
@@ -20,15 +19,18 @@ def duplicate_blocks(files: DataFrame, k: int = 6, salts: int = 16) -> DataFrame
     places are spread over `salts` parts of the key and the few block counts are
     repeated for each part.
     """
-    squeezed = f"regexp_replace({strip_sql('text')}, {quote(f'(?U){SPACE}+')}, ' ')"
-    lines = f"transform(split(code, chr(10), -1), text -> {squeezed})"
-    normal = spread(files.select("file", "code")).select("file", F.expr(lines).alias("lines")).filter(f"size(lines) >= {k}")
+    # Runs of whitespace within a line become one blank, in one go over the text.
+    squeezed = f"regexp_replace(code, {quote(f'(?U){SPACE[:-1]}&&[^' + chr(10) + ']]+')}, ' ')"
+    lines = f"transform(split({squeezed}, chr(10), -1), text -> trim(text))"
+    normal = spread(files.select("file", "code")).select("file", F.expr(lines).alias("lines"))
     place = let(
         f"array_join(slice(lines, at, {k}), chr(10))",
         "block",
         "named_struct('line', at, 'h1', xxhash64(block), 'h2', crc32(encode(block, 'UTF-8')))",
     )
-    windows = F.expr(f"transform(sequence(1, size(lines) - {k - 1}), at -> {place})")
+    # A filter on the number of lines would compute the lines a second time.
+    starts = f"IF(size(lines) < {k}, CAST(array() AS ARRAY<INT>), sequence(1, size(lines) - {k - 1}))"
+    windows = F.expr(f"transform({starts}, at -> {place})")
     places = explode_once(normal, windows, "b", "file").select("file", "b.line", "b.h1", "b.h2")
     counts = places.groupBy("h1", "h2").agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
     repeated = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

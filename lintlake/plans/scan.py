@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.builtin.tables import MANIFEST_NAMES, MANIFEST_SUFFIX
 from lintlake.functions.severity import RANK
 from lintlake.operators.dependencies import (
     dependencies,
@@ -40,7 +41,7 @@ from lintlake.operators.sast import (
 from lintlake.operators.secrets import secret_info_rows, secret_marks_sql, secret_rows
 from lintlake.schema import SEVERITIES
 from lintlake.sources.files import read_files
-from lintlake.sources.tables import builtin_advisories, builtin_rules
+from lintlake.sources.tables import builtin_advisories, builtin_rule_rows
 from lintlake.support import spread
 
 
@@ -87,7 +88,7 @@ def selected_files(files: DataFrame, options: Options) -> DataFrame:
 
 def file_findings(
     files: DataFrame,
-    rules: DataFrame,
+    rules: DataFrame | None = None,
     options: Options = Options(),
     secret_patterns: DataFrame | None = None,
     keep: Iterable[str] = (),
@@ -96,14 +97,17 @@ def file_findings(
 
     All detectors run in one projection, so every file is read once.  Rules
     below the wanted severity are not run at all; a rule has one severity, so
-    this equals filtering their findings.  `keep` names further columns of the
+    this equals filtering their findings.  Without `rules` the built-in ones run.  `keep` names further columns of the
     files to carry along.
     """
     spark = files.sparkSession
     wanted = options.severities()
     needed = files.select("file", "code", "language", *keep)
     usable = spread(limit_size(supported_only(needed), options.max_mb))
-    rows, enabled = selected_rules(filter_rules(rules, severities=wanted))
+    if rules is None:
+        rows, enabled = [r for r in builtin_rule_rows() if r["severity"] in wanted], None
+    else:
+        rows, enabled = selected_rules(filter_rules(rules, severities=wanted))
     marks: list[str] = []
     parts: list[str] = []
     info: list[dict] = []
@@ -146,16 +150,20 @@ def scan(
     """All findings of a file table: deduplicated, filtered and in report order.
 
     `files` has (file, code, language).  Rules and advisories default to the
-    built-in ones; manifests default to those found among the files.  Options
-    may be given as keywords.
+    built-in ones.  Manifests default to those found among the files, for which
+    the files are read a second time; give a table of them to spare that.
+    Options may be given as keywords.
     """
     spark = files.sparkSession
     options = Options(**{**options.__dict__, **changes})
     chosen = selected_files(files, options)
-    rules = builtin_rules(spark) if rules is None else rules
     found = file_findings(chosen, rules, options, secret_patterns)
     if not options.unique_files:
         found = dedup(found)
+    elif options.order:
+        # Sorting samples its input first; without a shuffle in between that
+        # would scan the texts twice.
+        found = found.repartition("file")
     tables = [found.drop("seq")]
     if options.dependencies:
         known = builtin_advisories(spark) if advisories is None else advisories
@@ -168,9 +176,15 @@ def scan(
 
 
 def scan_tree(spark: SparkSession, path: str, options: Options = Options(), **changes) -> tuple[DataFrame, DataFrame]:
-    """(findings, files) of a folder."""
+    """(findings, files) of a folder.
+
+    Manifests are read by name, plain ones only directly in the folder.
+    """
+    options = Options(**{**options.__dict__, **changes})
     files = read_files(spark, path, max_mb=options.max_mb)
-    return scan(files, options=options, **changes), files
+    named = read_files(spark, path, [*MANIFEST_NAMES, MANIFEST_SUFFIX], options.max_mb, complete=False)
+    found = manifests_of(named, root=path.removeprefix("file://"))
+    return scan(files, manifests=found, options=options), files
 
 
 def analyse(

@@ -36,8 +36,12 @@ def _with_defaults(rule: dict) -> dict:
     return full
 
 
+def builtin_rule_rows() -> list[dict]:
+    return list(map(_with_defaults, RULES))
+
+
 def builtin_rules(spark: SparkSession) -> DataFrame:
-    return small_table(spark, map(_with_defaults, RULES), RULE_SCHEMA)
+    return small_table(spark, builtin_rule_rows(), RULE_SCHEMA)
 
 
 def load_rules(spark: SparkSession, source: str | Iterable[dict] | DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,6 @@ from lintlake.builtin.tables import LANGUAGE_OF_EXTENSION
 from lintlake.operators.hits import canonical
 from lintlake.plans.scan import Options, file_findings, selected_files
 from lintlake.sources.files import files_table
-from lintlake.sources.tables import builtin_rules
 from lintlake.support import checkpoint_root
 
 
@@ -46,7 +45,6 @@ def scan_stream(
     the state.
     """
     options = Options(**{**options.__dict__, **changes})
-    rules = builtin_rules(files.sparkSession) if rules is None else rules
     timed = selected_files(files, options).withWatermark("mtime", watermark)
     found = file_findings(timed, rules, options, keep=["mtime"])
     unique = found.dropDuplicatesWithinWatermark(["id"])

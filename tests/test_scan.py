@@ -178,8 +178,14 @@ def test_new_files_are_scanned_once(spark, tmp_path):
 
 def test_tree_to_findings(spark, tmp_path):
     (tmp_path / "__init__.py").write_text("import os\nos.system('x')\n")
+    (tmp_path / "sub").mkdir()
+    for folder in (tmp_path, tmp_path / "sub"):
+        (folder / "requirements.txt").write_text("\nflask==1.0\n")
     found, files = scan_tree(spark, str(tmp_path))
-    assert [(r.rule_id, r.line) for r in found.collect()] == [("python-command-injection-os-system", 2)]
+    assert [(r.rule_id, r.line) for r in found.collect()] == [
+        ("python-command-injection-os-system", 2),
+        ("dependency_CVE-2023-30861", 2),
+    ]
     assert files.count() == 1
 
 
