@@ -108,11 +108,14 @@ def required_literals(pattern: str, folded: bool = False) -> list[str]:
 _ODD_CASES = {"s": "\u017f", "i": "\u0131\u0130", "k": "\u212a"}
 
 
-def contains_sql(code: str, pattern: str) -> str | None:
-    """A test that is true of every text the pattern occurs in; None if unknown."""
+def contains_sql(code: str, pattern: str, folded: str | None = None) -> str | None:
+    """A test that is true of every text the pattern occurs in; None if unknown.
+
+    `folded` names the text in lower case where that is at hand.
+    """
     tests = [f"contains({code}, {quote(text)})" for text in required_literals(pattern)]
     texts = required_literals(pattern, folded=True)
-    tests += [f"contains(lower({code}), {quote(text)})" for text in texts]
+    tests += [f"contains({folded or f'lower({code})'}, {quote(text)})" for text in texts]
     for letter, odd in _ODD_CASES.items():
         if any(letter in text for text in texts):
             tests += [f"contains({code}, '{ch}')" for ch in odd]

@@ -27,6 +27,9 @@ from lintlake.support import spread
 # are joined to the files by language instead.
 COMPILE_LIMIT = 200
 
+# Name of the column with the text in lower case; patterns that ignore case share it.
+FOLDED = "_folded"
+
 # A mark says that a pattern occurs in a text: the analyzer and rule it belongs
 # to, its place in the arrival order, and the pattern to locate it with.
 MARKS = "ARRAY<STRUCT<analyzer: INT, id: STRING, rank: INT, pattern: STRING>>"
@@ -43,10 +46,14 @@ def selected_rules(rules: DataFrame) -> tuple[list[Row] | None, DataFrame]:
     return (rows if len(rows) <= COMPILE_LIMIT else None), enabled
 
 
+def with_folded(texts: DataFrame) -> DataFrame:
+    return texts.withColumn(FOLDED, F.lower("code"))
+
+
 def occurs_sql(code: str, pattern: str, prefilter: bool = True) -> str:
     """Whether a pattern occurs: a plain search for its fixed text, then the regex."""
     found = f"{code} RLIKE {quote(java_pattern(pattern))}"
-    possible = contains_sql(code, pattern) if prefilter else None
+    possible = contains_sql(code, pattern, FOLDED) if prefilter else None
     return f"{possible} AND {found}" if possible else found
 
 
@@ -169,7 +176,7 @@ def sast_findings(
     if rows is None:
         return findings_of(joined_hits(files, enabled, dedup_rows=False), rule_info(enabled), now)
     marks = rule_marks_sql("code", "language", rows, prefilter)
-    texts = spread(files.select("file", "code", "language"))
+    texts = with_folded(spread(files.select("file", "code", "language")))
     marked = texts.select("file", "code", F.expr(marks).alias("_marks"))
     hits = explode_hits(marked, marked_hits_sql("code", "_marks"))
     return findings_of(hits, info_table(files.sparkSession, rule_info_rows(rows)), now)

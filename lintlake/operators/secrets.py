@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lintlake.builtin.rules import SECRET_RULES
 from lintlake.operators.hits import SECRET, explode_hits, findings_of, info_table
-from lintlake.operators.sast import marked_hits_sql, pattern_marks_sql
+from lintlake.operators.sast import marked_hits_sql, pattern_marks_sql, with_folded
 from lintlake.support import spread
 
 
@@ -44,7 +44,7 @@ def secrets(
 ) -> DataFrame:
     """One finding per exposed credential; the snippet shows it masked."""
     rows = secret_rows(patterns)
-    texts = spread(files.select("file", "code"))
-    marked = texts.select("*", F.expr(secret_marks_sql("code", rows)).alias("_marks"))
+    texts = with_folded(spread(files.select("file", "code")))
+    marked = texts.select("file", "code", F.expr(secret_marks_sql("code", rows)).alias("_marks"))
     hits = explode_hits(marked, marked_hits_sql("code", "_marks"))
     return findings_of(hits, info_table(files.sparkSession, secret_info_rows(rows)), now)

@@ -26,7 +26,12 @@ from lintlake.plans.scan import scan
 from lintlake.plans.views import corpus, manifest_files, part_rules, table
 from lintlake.sources import sinks
 from lintlake.sources.files import as_files, decode_text, read_files
-from lintlake.sources.tables import builtin_advisories, builtin_cwe_remediation, builtin_rules
+from lintlake.sources.tables import (
+    builtin_advisories,
+    builtin_cwe_remediation,
+    builtin_rules,
+    load_rules,
+)
 from lintlake.streaming.incremental import run_available, scan_stream
 from lintlake.streaming.lifecycle import lifecycle_stream, merge_lifecycle, merge_sightings
 from lintlake.support import checkpoint_root, explode_once, spread
@@ -293,7 +298,22 @@ def sast_details(spark, sf_dir):
 
 @query
 def enrich_cvss(spark, sf_dir):
-    return _sast(spark, sf_dir).select("id", "column", "rule_id", "cvss", "cvss_vector")
+    scored = N.with_cvss(_sast(spark, sf_dir).drop("cvss", "cvss_vector"))
+    return scored.select("id", "column", "rule_id", "cvss", "cvss_vector")
+
+
+@query
+def own_rules(spark, sf_dir):
+    """A user's rule pack, made from the passages of the benchmark, on the documents."""
+    pack = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("passage-"), F.col("item_id").cast("string")).alias("id"),
+        F.lit("passage").alias("name"),
+        F.lit("A passage of the benchmark").alias("description"),
+        F.col("text").alias("pattern"),
+        F.lit("high").alias("severity"),
+        F.lit("unknown").alias("language"),
+    )
+    return _places(sast_findings(_documents(spark, sf_dir), load_rules(spark, pack), NOW), "message")
 
 
 @query

@@ -376,6 +376,9 @@ def oracle_sql() -> dict[str, str]:
         "enrich_cvss": _with(*SAST, _values("scores", "sev, cvss, vector", _CVSS_ROWS))
         + f"""SELECT {_uuid("concat(file, ':', CAST(line AS VARCHAR), ':', rule_id)")} AS id, col AS "column", rule_id,
             CAST(cvss AS DOUBLE) AS cvss, vector AS cvss_vector FROM m LEFT JOIN scores ON severity = sev""",
+        "own_rules": _with(DOCS, *_places("""SELECT d.file, d.code, concat('passage-', CAST(b.item_id AS VARCHAR)) AS rule_id,
+            concat('(?ms)', b.text) AS pat FROM docs d, benchmark b"""))
+        + f"SELECT {_PLACES}, 'A passage of the benchmark' AS message FROM m",
         "enrich_remediation": _with(_RULE_TABLE, _values("texts", "cwe, advice", cwe_rows)) + f"""SELECT name,
             coalesce(nullif(concat_ws('|', CASE WHEN enabled THEN nullif(description, '') END, advice), ''),
                 {_q(DEFAULT_REMEDIATION)}) AS remediations

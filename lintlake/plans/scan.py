@@ -37,6 +37,7 @@ from lintlake.operators.sast import (
     rule_info_rows,
     rule_marks_sql,
     selected_rules,
+    with_folded,
 )
 from lintlake.operators.secrets import secret_info_rows, secret_marks_sql, secret_rows
 from lintlake.schema import SEVERITIES
@@ -126,7 +127,7 @@ def file_findings(
     if marks:
         # The marks are a column of their own: all patterns are tested there, in
         # generated code, and only what occurs reaches the position walk.
-        marked = usable.select(
+        marked = with_folded(usable).select(
             "file", "code", "language", *keep, F.expr(f"concat({', '.join(marks)})").alias("_marks")
         )
         every = concat_sql([marked_hits_sql("code", "_marks"), *parts])
