@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintlake.llm.common import by_batch, cached, fold, stored, table
 
@@ -27,12 +29,14 @@ class Settings:
         all rows of a language that has no more.
     share: an n-gram enters a language's filter if it makes up at least this share of the language's n-grams of
         that size, so a filter holds at most 1/share n-grams of each size whatever the corpus.
+    languages: most languages learnt, those of most rows first (of equal ones the first by name).
     bits: rows of the filter, a power of two.
     probes: rows that an n-gram reads.
     """
 
     sample: int = 4000
     share: float = 2e-5
+    languages: int = 256
     bits: int = 1 << 20
     probes: int = 3
 
@@ -44,7 +48,6 @@ class Model:
     languages: list[str]
     rows: np.ndarray
     false_positive: np.ndarray
-    expected: np.ndarray
     probes: int
 
 
@@ -108,20 +111,27 @@ def learn(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id")
     """
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.col(key).alias("key"))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
-    chance = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.join(counts, "lang").filter(chance * F.col("rows") < settings.sample).select("lang", "text")
+    most = counts.orderBy(F.desc("rows"), "lang").limit(settings.languages).collect()
+    if not most:
+        return Model([], np.zeros((settings.bits, 1), np.uint8), np.zeros(0), settings.probes)
+    # A row's language gives its chance: no join, so that no text is moved.
+    chances = F.create_map(*[F.lit(x) for r in most for x in (r["lang"], settings.sample / r["rows"])])
+    lot = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = labelled.filter(lot < F.coalesce(chances[F.col("lang")], F.lit(0.0))).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> dict:
-        langs = np.array(batch.column(0).to_pylist(), object)
-        _, found = grams(batch.column(1).to_pylist())
         out: dict[str, list] = {"lang": [], "size": [], "gram": [], "n": []}
-        for size, (keys, owner) in zip(SIZES, found, strict=True):
-            for lang in dict.fromkeys(langs):
-                grams_, n = np.unique(keys[langs[owner] == lang], return_counts=True)
-                out["lang"] += [lang] * len(grams_)
-                out["size"] += [size] * len(grams_)
-                out["gram"].append(grams_.view(np.int64))
-                out["n"].append(n)
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for start, end in _chunks(texts):
+            some = np.array(langs[start:end], object)
+            _, found = grams(texts[start:end])
+            for size, (keys, owner) in zip(SIZES, found, strict=True):
+                for lang in dict.fromkeys(some):
+                    unique, n = np.unique(keys[some[owner] == lang], return_counts=True)
+                    out["lang"] += [lang] * len(unique)
+                    out["size"] += [size] * len(unique)
+                    out["gram"].append(unique.view(np.int64))
+                    out["n"].append(n)
         return out | {k: np.concatenate([np.zeros(0, np.int64), *out[k]]) for k in ("gram", "n")}
 
     partial = by_batch(sample, count, "lang string, size int, gram long, n long")
@@ -129,7 +139,7 @@ def learn(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id")
     each = stored(partial.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "grams")
     total = each.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     common = each.join(total, ["lang", "size"]).filter(F.col("n") >= F.col("total") * settings.share)
-    rows = common.select("lang", "size", "gram", "n", "total").toArrow()  # at most 1/share rows per language and size
+    rows = common.select("lang", "gram").toArrow()  # at most 1/share rows per language and size
     languages = sorted(set(rows.column("lang").to_pylist()))
     filters = np.zeros((settings.bits, max(1, -(-len(languages) // 8))), np.uint8)
     number = {lang: i for i, lang in enumerate(languages)}
@@ -138,8 +148,7 @@ def learn(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id")
     for at in _positions(keys, settings.bits, settings.probes):
         np.bitwise_or.at(filters, (at, which // 8), (1 << which % 8).astype(np.uint8))
     fill = np.array([np.mean(filters[:, i // 8] >> (i % 8) & 1) for i in range(len(languages))])
-    covered = np.bincount(which, rows.column("n").to_numpy() / rows.column("total").to_numpy(), len(languages))
-    return Model(languages, filters, fill**settings.probes, covered / len(SIZES), settings.probes)
+    return Model(languages, filters, fill**settings.probes, settings.probes)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -152,9 +161,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed rows by the number of languages
     schema = docs.drop("lang_pred", "score").schema
-    rest = [c for c in schema.names]
-    from pyspark.sql import types as T
-
+    rest = schema.names
     full = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
@@ -168,29 +175,33 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*rest).mapInArrow(run, full)
 
 
-# Characters judged at once; a longer text is judged alone.
-_CHUNK = 1 << 21
+# Characters taken at once; a longer text is taken alone.
+_CHUNK = 1 << 19
 
 
-def _judge(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
-    best, score = [], []
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     start = 0
     while start < len(texts):
         end, chars = start + 1, len(texts[start] or "")
         while end < len(texts) and chars + len(texts[end] or "") <= _CHUNK:
             chars += len(texts[end] or "")
             end += 1
-        shares, letters = _shares([t or "" for t in texts[start:end]], model)
-        if model.languages:
-            top = shares.argmax(1)
-            for row, winner in enumerate(top):
-                known = letters[row] > 0
-                best.append(model.languages[winner] if known else UNKNOWN)
-                score.append(float(np.clip(shares[row, winner], 0, 1)) if known else 0.0)
-        else:
+        yield start, end
+        start = end
+
+
+def _judge(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
+    best, score = [], []
+    for start, end in _chunks(texts):
+        if not model.languages:
             best += [UNKNOWN] * (end - start)
             score += [0.0] * (end - start)
-        start = end
+            continue
+        shares, letters = _shares([t or "" for t in texts[start:end]], model)
+        for row, winner in enumerate(shares.argmax(1)):
+            known = letters[row] > 0
+            best.append(model.languages[winner] if known else UNKNOWN)
+            score.append(float(np.clip(shares[row, winner], 0, 1)) if known else 0.0)
     return best, score
 
 
