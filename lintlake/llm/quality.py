@@ -140,3 +140,60 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def _failed(rules: tuple[Rule, ...]) -> str:
+    bounds = [f"{r.metric} < {r.least}" for r in rules if r.least is not None]
+    bounds += [f"{r.metric} > {r.most}" for r in rules if r.most is not None]
+    return " OR ".join(bounds)
+
+
+SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  split AS (
+    SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), w -> w <> '') AS ws,
+           list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+    FROM texts),
+  word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM split),
+  windows AS (
+    SELECT doc_id, i, w, lead(w, 1) OVER (PARTITION BY doc_id ORDER BY i) AS w1, lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS w2
+    FROM word),
+  again AS (
+    SELECT doc_id, i FROM (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, w1, w2) AS n FROM windows WHERE w2 IS NOT NULL) AS x
+    WHERE n > 1),
+  covered AS (
+    SELECT doc_id, count(*) AS n_repeat_words FROM (
+      SELECT doc_id, i FROM again UNION SELECT doc_id, i + 1 FROM again UNION SELECT doc_id, i + 2 FROM again) AS y
+    GROUP BY doc_id),
+  of_words AS (
+    SELECT doc_id, sum(CASE WHEN translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({_STOPS})
+                            THEN 1 ELSE 0 END) AS n_stop,
+           sum(CASE WHEN regexp_matches(w, '\p{{L}}') THEN 1 ELSE 0 END) AS n_alphabetic
+    FROM word GROUP BY doc_id),
+  counts AS (
+    SELECT s.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+           length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(ls) AS n_lines,
+           len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n_repeat_words, 0) AS n_repeat_words,
+           coalesce(n_stop, 0) AS n_stop, coalesce(n_alphabetic, 0) AS n_alphabetic,
+           len(list_filter(ls, x -> regexp_matches(x, '^\s*[-*•]'))) AS n_bullets,
+           len(list_filter(ls, x -> regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipses,
+           length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters
+    FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id LEFT JOIN of_words o ON s.doc_id = o.doc_id),
+  metrics AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           {", ".join(f"CASE WHEN {whole} > 0 THEN {part} * 1.0 / {whole} ELSE 0.0 END AS {name}" for name, part, whole in (
+               ("mean_word_chars", "word_chars", "n_words"), ("symbols_per_word", "n_symbols", "n_words"),
+               ("stop_word_share", "n_stop", "n_words"), ("alphabetic_word_share", "n_alphabetic", "n_words"),
+               ("dup_line_share", "n_dup_lines", "n_lines"), ("repeat_word_share", "n_repeat_words", "n_words"),
+               ("bullet_line_share", "n_bullets", "n_lines"), ("ellipsis_line_share", "n_ellipses", "n_lines"),
+               ("upper_share", "n_upper", "n_letters")))}
+    FROM counts)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT (base_failed OR {_failed(RULES)}) AS kept
+FROM metrics
+"""
