@@ -151,11 +151,11 @@ def _failed(rules: tuple[Rule, ...]) -> str:
     return " OR ".join(bounds)
 
 
-SQL = f"""
+SQL = rf"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
   split AS (
-    SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), w -> w <> '') AS ws,
-           list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+    SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
     FROM texts),
   word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM split),
   windows AS (
@@ -179,8 +179,8 @@ WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
            length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(ls) AS n_lines,
            len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n_repeat_words, 0) AS n_repeat_words,
            coalesce(n_stop, 0) AS n_stop, coalesce(n_alphabetic, 0) AS n_alphabetic,
-           len(list_filter(ls, x -> regexp_matches(x, '^\s*[-*•]'))) AS n_bullets,
-           len(list_filter(ls, x -> regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipses,
+           len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS n_bullets,
+           len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipses,
            length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(t, '\P{{L}}+', '', 'g')) AS n_letters
     FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id LEFT JOIN of_words o ON s.doc_id = o.doc_id),
   metrics AS (

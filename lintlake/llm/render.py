@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -45,8 +46,9 @@ IMPLIED_END = {
 # An end tag does not reach beyond these.
 SCOPE = frozenset(["table", "td", "th", "caption", "html", "object", "template"])
 
+_MARKUP = re.compile(r"<(?=[a-zA-Z!?/])")
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</[^>]*>", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|</[^a-zA-Z][^>]*+>", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
@@ -74,10 +76,11 @@ def tree(source: str) -> tuple[Node, list[str]]:
 
     Missing html, head and body are implied by not being needed: the root stands for them.  Tags that HTML lets
     authors leave out are put in: ends of paragraphs, list items, table parts, and rows of lone cells.  An end tag
-    without its start is dropped, except </p> and </br>, which make one.
+    without its start is dropped, except </p> and </br>, which make one; a tag that the page ends in is dropped too.
     """
     root = Node("html")
     stack, styles = [root], []
+    opened: Counter[str] = Counter()  # open elements by tag
     at, end = 0, len(source)
 
     def text(piece: str) -> None:
@@ -89,42 +92,54 @@ def tree(source: str) -> tuple[Node, list[str]]:
         stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
+            opened[tag] += 1
+
+    def cut(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[node.tag] -= 1
+        del stack[depth:]
+
+    def nearest(tags: frozenset[str], limit: frozenset[str]) -> int:
+        """Depth of the innermost of these elements; 0 if there is none before one of the limit."""
+        if not any(opened[tag] for tag in tags):
+            return 0
+        depth = len(stack) - 1
+        while depth > 0 and stack[depth].tag not in tags and stack[depth].tag not in limit:
+            depth -= 1
+        return depth if depth > 0 and stack[depth].tag in tags else 0
 
     def close(tags: frozenset[str], limit: frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in limit:
-                return
-            if stack[depth].tag in tags:
-                del stack[depth:]
+        while depth := nearest(tags, limit):
+            cut(depth)
+
+    def end_tag(tag: str) -> None:
+        if tag == "br":
+            push("br", {})
+        elif not opened[tag]:
+            if tag == "p":
+                push("p", {})
+                cut(len(stack) - 1)
+        else:
+            limit = frozenset(["table"]) if tag in ("tr", "tbody", "thead", "tfoot") else SCOPE
+            depth = nearest(frozenset([tag]), frozenset() if tag == "table" else limit - {tag})
+            if depth:
+                cut(depth)
 
     while at < end:
-        m = _TAG.search(source, at)
+        m = _MARKUP.search(source, at)
         if m is None:
             text(source[at:])
             break
         text(source[at : m.start()])
+        m = _TAG.match(source, m.start())
+        if m is None:  # the page ends in a tag
+            break
         at = m.end()
         if not m.group(2):
             continue
         tag = m.group(2).lower()
         if m.group(1):
-            if tag == "br":
-                push("br", {})
-                continue
-            depth = len(stack) - 1
-            while depth > 0 and stack[depth].tag != tag and stack[depth].tag not in SCOPE:
-                depth -= 1
-            if depth > 0 and (stack[depth].tag == tag):
-                del stack[depth:]
-            elif tag == "table":
-                depth = max((i for i, n in enumerate(stack) if n.tag == "table"), default=0)
-                if depth:
-                    del stack[depth:]
-            elif tag in ("tr", "tbody", "thead", "tfoot"):
-                close(frozenset([tag]), frozenset(["table"]))
-            elif tag == "p":
-                push("p", {})
-                stack.pop()
+            end_tag(tag)
             continue
         attributes = attributes_of(m.group(3)) if m.group(3) else {}
         if tag in ("html", "body"):
@@ -132,8 +147,8 @@ def tree(source: str) -> tuple[Node, list[str]]:
                 close(frozenset(["head"]), frozenset())
             root.attributes = attributes | root.attributes
             continue
-        if any(n.tag == "head" for n in stack[1:2]) and tag not in HEAD_ONLY:
-            del stack[1:]
+        if opened["head"] and tag not in HEAD_ONLY:
+            close(frozenset(["head"]), frozenset())
         if tag in CLOSES_P:
             close(frozenset(["p"]), SCOPE)
         if tag in IMPLIED_END:
@@ -150,7 +165,7 @@ def tree(source: str) -> tuple[Node, list[str]]:
                 text(inner)
             at = stop.start() if stop else end
         elif m.group(3).endswith("/") and tag in ("path", "rect", "circle", "use", "line"):
-            stack.pop()
+            cut(len(stack) - 1)
     return root, styles
 
 
@@ -259,6 +274,7 @@ def _laid_out(top: Node, hiding: list) -> list[str]:
     lists: list[list] = []  # [tag, number of the next item]
     pre = 0
     done: dict[int, list[str]] = {}
+    tables: dict[int, tuple] = {}
     waiting: list[tuple[Lines, list[list], int, list[tuple]]] = []
     while True:
         if not todo:
@@ -279,11 +295,11 @@ def _laid_out(top: Node, hiding: list) -> list[str]:
                 lists.pop()
             if tag == "pre":
                 pre -= 1
-            out.indent = ending
             if tag in SPACED and not (tag in ("ul", "ol") and lists):
                 out.space()
             else:
                 out.end()
+            out.indent = ending
             if tag == "li":
                 out.marker = ""
             continue
@@ -300,9 +316,11 @@ def _laid_out(top: Node, hiding: list) -> list[str]:
                 out.add(node.attributes["alt"])
             continue
         if tag == "table":
-            rows, caption = _rows(node, hiding)
-            cells = [c for row in rows for c, _ in row] + caption
-            open_cell = next((c for c in cells if id(c) not in done), None)
+            if id(node) not in tables:
+                rows, caption = _rows(node, hiding)
+                tables[id(node)] = rows, caption, iter([c for row in rows for c, _ in row] + caption)
+            rows, caption, cells = tables[id(node)]
+            open_cell = next(cells, None)
             if open_cell is not None:
                 todo.append((node, None))
                 waiting.append((out, lists, pre, todo, open_cell))
@@ -366,9 +384,6 @@ def _rows(node: Node, hiding: list) -> tuple[list[list[tuple[Node, int]]], list[
             rows.append(row)
         else:
             rows.append([(child, 1)])
-    # Cells made here must be the same objects when the table is looked at again.
-    node.children = [Node("tr", {}, [cell for cell, _ in row]) for row in rows]
-    node.children = captions + node.children
     return rows, captions
 
 
