@@ -25,7 +25,7 @@ RULES: list[dict] = [
         name="SQL built by string formatting",
         description="A query text is assembled with the % operator before it is executed",
         message_template="Query text is built by string formatting; bind the values as parameters.",
-        remediation="Pass the values as the second argument of execute() and keep the query text constant.",
+        remediation="Leave the statement's text alone and let the driver bind what varies.",
         references=[
             "https://owasp.org/www-project-top-ten/2017/A1_2017-Injection",
             "https://cheatsheetseries.owasp.org/cheatsheets/SQL_Injection_Prevention_Cheat_Sheet.html",
@@ -43,7 +43,7 @@ RULES: list[dict] = [
         name="Shell command through os.system()",
         description="os.system() hands its text to a shell, which interprets anything a caller put in it",
         message_template="os.system() runs its argument in a shell",
-        remediation="Call subprocess.run() with a list of arguments and no shell.",
+        remediation="Look for a function of the standard library that does the same; if a program must run, fix its name in the code.",
         references=["https://owasp.org/www-community/attacks/Command_Injection"],
     ),
     dict(
@@ -58,7 +58,7 @@ RULES: list[dict] = [
         name="subprocess with a shell",
         description="A subprocess is started through a shell",
         message_template="shell=True lets the shell interpret the command text",
-        remediation="Drop shell=True and give the command as a list.",
+        remediation="Without a shell there is nothing to inject into: hand over program and arguments as separate items.",
     ),
     dict(
         id="python-eval-usage",
@@ -72,7 +72,7 @@ RULES: list[dict] = [
         name="Call of eval()",
         description="eval() runs whatever expression it is given",
         message_template="eval() executes its argument as code",
-        remediation="Parse the value instead: ast.literal_eval() for literals, json.loads() for JSON.",
+        remediation="Decide which values are legal and write, or pick, a parser for just those.",
     ),
     dict(
         id="python-exec-usage",
@@ -99,7 +99,7 @@ RULES: list[dict] = [
         name="Unpickling",
         description="Loading a pickle can run code chosen by whoever wrote it",
         message_template="Unpickling untrusted bytes can run code",
-        remediation="Exchange data as JSON or another format that carries no code.",
+        remediation="Restore data from a format that describes values only, or verify an authentication code before loading.",
     ),
     dict(
         id="python-path-traversal",
@@ -113,7 +113,7 @@ RULES: list[dict] = [
         name="Path joined by concatenation",
         description="A file is opened under a path put together with +",
         message_template="The opened path is concatenated and may leave its folder",
-        remediation="Resolve the path and check that it is still inside the intended folder.",
+        remediation="Compare the canonical form of the path with the permitted root before opening.",
     ),
     dict(
         id="python-weak-hash-md5",
@@ -127,7 +127,7 @@ RULES: list[dict] = [
         name="MD5 digest",
         description="MD5 collisions are cheap to produce",
         message_template="MD5 does not protect integrity",
-        remediation="Take hashlib.sha256() or a stronger digest.",
+        remediation="Any digest of the SHA-2 or SHA-3 family will do.",
     ),
     dict(
         id="python-weak-hash-sha1",
@@ -154,7 +154,7 @@ RULES: list[dict] = [
         name="Predictable random numbers",
         description="The random module is predictable from its output",
         message_template="Values from the random module can be predicted",
-        remediation="Draw secrets from the secrets module.",
+        remediation="For tokens and keys, ask the operating system's generator.",
     ),
     dict(
         id="python-flask-debug-true",
@@ -168,7 +168,7 @@ RULES: list[dict] = [
         name="Flask debugger on",
         description="The Flask debugger shows internals and runs code from the browser",
         message_template="The application starts with its debugger on",
-        remediation="Switch debug off outside development.",
+        remediation="Let the deployment's configuration decide, with the debugger off as its default.",
     ),
     dict(
         id="python-django-debug-true",
@@ -208,7 +208,7 @@ RULES: list[dict] = [
         name="Markup assigned to innerHTML",
         description="A computed value is assigned to innerHTML",
         message_template="A computed value reaches innerHTML unescaped",
-        remediation="Assign to textContent, or pass the markup through a sanitiser first.",
+        remediation="Write text as text; where markup is wanted, run it through an allow-list of elements.",
         references=[
             "https://cheatsheetseries.owasp.org/cheatsheets/Cross_Site_Scripting_Prevention_Cheat_Sheet.html"
         ],
@@ -238,7 +238,7 @@ RULES: list[dict] = [
         name="eval() in a script",
         description="eval() runs whatever script text it is given",
         message_template="eval() executes its argument as script",
-        remediation="Read data with JSON.parse().",
+        remediation="Data needs a data parser; behaviour belongs in functions.",
     ),
     dict(
         id="javascript-sql-injection",
@@ -252,7 +252,7 @@ RULES: list[dict] = [
         name="SQL in a template literal",
         description="A query text interpolates values",
         message_template="The query text interpolates values",
-        remediation="Keep placeholders in the query and pass the values separately.",
+        remediation="Prepared statements keep the values out of the grammar.",
     ),
     dict(
         id="javascript-command-injection",
@@ -266,7 +266,7 @@ RULES: list[dict] = [
         name="Command in a template literal",
         description="A command text interpolates values",
         message_template="The command text interpolates values",
-        remediation="Give the program and its arguments to spawn() separately.",
+        remediation="Start the program directly, each argument an element of its own.",
     ),
     dict(
         id="javascript-weak-hash-md5",
@@ -280,7 +280,7 @@ RULES: list[dict] = [
         name="MD5 digest in Node",
         description="MD5 collisions are cheap to produce",
         message_template="MD5 does not protect integrity",
-        remediation="Ask createHash() for sha256 or a stronger digest.",
+        remediation="Name a member of the SHA-2 family here.",
     ),
     dict(
         id="javascript-weak-random",
@@ -359,7 +359,7 @@ RULES: list[dict] = [
         name="Token read without verification",
         description="A token is decoded and its signature left unchecked",
         message_template="The signature of the token is not checked",
-        remediation="Call jwt.verify().",
+        remediation="Reject tokens whose signature and algorithm have not been checked against the expected key.",
     ),
     # Cross-language pack, web applications
     dict(
@@ -373,7 +373,7 @@ RULES: list[dict] = [
         pattern=r"""(execute|cursor\.execute|executemany)\s*\(\s*f?["'].*\{.*\}""",
         name="SQL in an f-string",
         description="The query text interpolates values in braces.",
-        remediation="Bind values as parameters.",
+        remediation="Braces belong in messages; in a statement, mark the spot and supply the value at execution.",
     ),
     dict(
         id="owasp-a01-injection-cmd-py",
@@ -386,7 +386,7 @@ RULES: list[dict] = [
         pattern=r"""(os\.system|subprocess\.call|subprocess\.Popen)\s*\(\s*f?["'].*\{.*\}.*shell\s*=\s*True""",
         name="Interpolated shell command",
         description="A command with interpolated values goes to a shell.",
-        remediation="Give the arguments as a list and leave the shell out.",
+        remediation="Turn the interpreter off, then check each argument against what the program may be asked to do.",
     ),
     dict(
         id="owasp-a02-broken-auth-hardcoded-py",
@@ -399,7 +399,7 @@ RULES: list[dict] = [
         pattern=r"""(?i)(password|secret|apikey|token)\s*=\s*["'][a-zA-Z0-9_\-]{8,}["']""",
         name="Credential in the source",
         description="A password, key or token is written into the source.",
-        remediation="Read credentials from the environment or a secret store.",
+        remediation="Revoke the value, since the history keeps it, and inject its successor at deployment.",
     ),
     dict(
         id="owasp-a01-injection-sql-js",
@@ -412,7 +412,7 @@ RULES: list[dict] = [
         pattern=r"query\s*\(\s*`.*\{.*\}`",
         name="SQL in a Node template literal",
         description="The query text of a Node call interpolates values.",
-        remediation="Bind values as parameters.",
+        remediation="Number the variables in the statement and list them in the call.",
     ),
     dict(
         id="owasp-a03-xss-js",
@@ -425,7 +425,7 @@ RULES: list[dict] = [
         pattern=r"dangerouslySetInnerHTML|innerHTML\s*=",
         name="Raw markup in the page",
         description="Markup is set on an element without escaping.",
-        remediation="Prefer textContent, otherwise sanitise the markup.",
+        remediation="Let the framework encode; review every exception by hand.",
     ),
     dict(
         id="owasp-a05-security-misconfig-debug-py",
@@ -438,7 +438,7 @@ RULES: list[dict] = [
         pattern=r"DEBUG\s*=\s*True",
         name="Debug setting on",
         description="The web framework runs in debug mode.",
-        remediation="Set DEBUG to False for production.",
+        remediation="Ship hardened settings by default and have tests assert them.",
     ),
     dict(
         id="owasp-a07-auth-failure-weak-hash-py",
@@ -451,7 +451,7 @@ RULES: list[dict] = [
         pattern=r"hashlib\.(md5|sha1)\(",
         name="Weak digest",
         description="A broken digest, MD5 or SHA-1, is computed.",
-        remediation="Take SHA-256 or SHA-512.",
+        remediation="Passwords want a slow, salted scheme such as Argon2id; other data a modern digest.",
     ),
     dict(
         id="owasp-a04-insecure-design-pickle-py",
@@ -464,7 +464,7 @@ RULES: list[dict] = [
         pattern=r"pickle\.loads?\(",
         name="Pickle as an input format",
         description="A pickle is read, and reading it can run code.",
-        remediation="Accept JSON from outside, never pickles.",
+        remediation="Define a schema for what comes in and read it with a decoder that creates no objects.",
     ),
     dict(
         id="owasp-a01-injection-sql-java",
@@ -477,7 +477,7 @@ RULES: list[dict] = [
         pattern=r"""(createStatement|prepareStatement)\s*\(\s*["'].*\+\s*[a-zA-Z0-9_]+\s*\+""",
         name="Concatenated JDBC statement",
         description="The text of a JDBC statement is concatenated.",
-        remediation="Use ? placeholders in a PreparedStatement.",
+        remediation="Set the variables through the statement's typed setters.",
     ),
     dict(
         id="owasp-a02-broken-auth-hardcoded-java",
@@ -490,7 +490,7 @@ RULES: list[dict] = [
         pattern=r"""(?i)(password|secret|key)\s*=\s*["'][a-zA-Z0-9_\-]{8,}["']""",
         name="Password in a Java string",
         description="A password or key is written into a Java string.",
-        remediation="Read it from the environment or a properties file.",
+        remediation="Fetch it at start-up from the platform's key store, and rotate the exposed one.",
     ),
     # Cross-language pack, web APIs
     dict(
@@ -504,7 +504,7 @@ RULES: list[dict] = [
         pattern=r"""objects\.get\(id\s*=\s*request\.(args|GET|POST|json)\.get\(["']id["']\)\)""",
         name="Object fetched by a request id",
         description="An object is fetched by an id from the request with no visible ownership check.",
-        remediation="Check that the caller owns the object.",
+        remediation="Add the session's user to the lookup, so that foreign records are simply not found.",
     ),
     dict(
         id="owasp-api-mass-assignment-js",
@@ -517,7 +517,7 @@ RULES: list[dict] = [
         pattern=r"(User|Model)\.create\(\s*req\.body\s*\)",
         name="Request body stored as is",
         description="A whole request body becomes a database record.",
-        remediation="Copy the allowed fields only.",
+        remediation="Declare which properties clients may write; everything else is set by the server.",
     ),
     dict(
         id="owasp-api-data-exposure-py",
@@ -530,7 +530,7 @@ RULES: list[dict] = [
         pattern=r"return\s*jsonify\(\s*user\.__dict__\s*\)",
         name="Whole object returned",
         description="All attributes of an object go to the client.",
-        remediation="Return the needed fields only.",
+        remediation="Describe each response by a schema and serialise through it.",
     ),
     dict(
         id="owasp-api-no-rate-limit-py",
@@ -543,7 +543,7 @@ RULES: list[dict] = [
         pattern=r"""@app\.route\(["'].*login.*["']\)\n(?!.*limiter).*\ndef""",
         name="Login without a rate limit",
         description="A login route carries no rate limiter.",
-        remediation="Put a rate limiter on login routes.",
+        remediation="Count attempts per account and per address, and slow down after a few.",
     ),
 ]
 
@@ -554,11 +554,7 @@ QUALITY_RULES: list[dict] = [
         id=f"quality_todo_{kind.lower()}",
         severity="MEDIUM" if kind in ("FIXME", "BUG") else "LOW",
         message_template=f"{kind} found: {{short}}",
-        remediations=[
-            f"Resolve the {kind}: {{match}}",
-            "Track it in an issue",
-            "Delete the comment once it is done",
-        ],
+        remediations=["Do what the note asks for, or move it, with its author and date, to the tracker: {match}"],
     )
     for kind in ("TODO", "FIXME", "HACK", "XXX", "BUG")
 ] + [
@@ -566,25 +562,25 @@ QUALITY_RULES: list[dict] = [
         id="quality_long_line",
         severity="INFO",
         message_template="Line too long ({amount} characters, maximum {limit})",
-        remediations=["Break the line up", "Move parts of the expression into named values"],
+        remediations=["Let the formatter wrap it; what is still too wide usually nests too deeply"],
     ),
     dict(
         id="quality_long_function",
         severity="MEDIUM",
         message_template="Function '{match}' too long ({amount} lines, maximum {limit})",
-        remediations=["Split the function up", "Move steps into helpers", "Give it one task only"],
+        remediations=["Name the stages of the body in a comment each; every stage with a name can become a function"],
     ),
     dict(
         id="quality_commented_code",
         severity="LOW",
         message_template="Commented-out code",
-        remediations=["Delete it", "Rely on version control for old code", "Say why if it has to stay"],
+        remediations=["The repository remembers earlier versions: take the block out in a commit that says what it did"],
     ),
     dict(
         id="quality_high_complexity",
         severity="MEDIUM",
         message_template="High complexity in '{match}' (score {amount}, maximum {limit})",
-        remediations=["Flatten the nesting", "Move branches into functions", "Simplify the conditions"],
+        remediations=["Return early from the special cases", "Replace chains of conditions by a table"],
     ),
 ]
 

@@ -14,12 +14,6 @@ LINES = [
     "    if a: for b", "        while c else", "", "   ", "# note", "  # note", "x = 1", "    y = 2", "return f(", "else if (b) (",
     "# TODO: one", "# todo two", "// FIXME", "/* HACK: x */ # BUG: y", "//if a", "# import os", "é = 'if' # XXX:\tend ",
 ]
-HEADERS = {
-    "python": r"^\s*def\s+(\w+)\s*\(",
-    "javascript": r"^\s*function\s+(\w+)\s*\(",
-    "java": r"^\s*(public|private|protected)?\s*(static)?\s*\w+\s+(\w+)\s*\(",
-}
-
 
 def _texts(n):
     rng = random.Random(3)
@@ -32,35 +26,6 @@ def _texts(n):
     return rows
 
 
-def _long_functions(code, language, limit):
-    """Open functions are closed by a shallow line, replaced by a new header, or end with the text."""
-    if language not in HEADERS:
-        return set()
-    lines, found, start = code.split("\n"), set(), None
-    indent = lambda s: len(s) - len(s.lstrip())
-    for at, line in enumerate(lines):
-        header = re.match(HEADERS[language], line)
-        if header:
-            start = at if header[1] else None
-        elif start is not None and line.strip() and line[0] != "#" and indent(line) <= indent(lines[start]):
-            if at - start > limit:
-                found.add((start + 1, at - start))
-            start = None
-    if start is not None and len(lines) - start > limit:
-        found.add((start + 1, len(lines) - start))
-    return found
-
-
-def _complexity(code, limit):
-    scores, start = {}, None
-    for at, line in enumerate(map(str.strip, code.split("\n")), 1):
-        if re.match(r"(def|function|public|private|protected)\s+", line):
-            start, scores[at] = at, 1
-        elif start:
-            scores[start] += len(re.findall(r"\b(?:if|for|while|case|catch|elif|else)\b", line))
-    return {(at, score) for at, score in scores.items() if score > limit}
-
-
 def _comments(code, patterns, flags=0):
     return [
         (code[: m.start()].count("\n") + 1, m) for p in patterns for m in re.finditer(p, code, flags)
@@ -80,23 +45,48 @@ def _got(frame, *columns):
     return result
 
 
-def test_complexity(sample):
-    rows, files = sample
+# (text, {line: score} over 2), worked out by hand.
+COMPLEX = [
+    ("def f(x):\n    if a:\n        for b in c:\n            pass\nx = 1", {1: 3}),
+    ("def f(x):\n    if a: pass\n", {}),
+    ("function h(z) {\n  if (a) {} else if (b) {} else {}\n}", {1: 5}),
+    ("x\npublic void m() {\n  switch (x) { case 1: case 2: }\n}\nprivate int n() {\n  while (c) {}\n}", {2: 3}),
+    ("if a: pass\nfor b in c: pass\nwhile d: pass", {}),
+    ("def f():\n  # if for while\ndef g():\n  iffy = forward", {1: 4}),
+    ("", {}),
+]
+
+
+def test_complexity(make_files):
+    files = make_files([(str(i), "python", code) for i, (code, _) in enumerate(COMPLEX)])
     score = F.regexp_extract("message", r"score (\d+)", 1).cast("int")
-    got = _got(Q.high_complexity(files), "line", score)
-    assert {f: set(v) for f, v in got.items()} == {f: e for f, _, c in rows if (e := _complexity(c, 10))}
+    got = _got(Q.high_complexity(files, 2), "line", score)
+    assert {int(f): dict(v) for f, v in got.items()} == {i: e for i, (_, e) in enumerate(COMPLEX) if e}
 
 
-def test_long_functions(sample):
-    rows, files = sample
+# (language, text, {line: lines} over 3), worked out by hand.
+LONG = [
+    ("python", "def f():\n    a\n    b\n    c\nd", {1: 4}),
+    ("python", "def f():\n    a\n    b\nd\n    e", {}),
+    ("python", "def f():\n    a\n    b\n    c", {1: 4}),
+    ("python", "def f():\n    a\n\n# note\n    b\n    c\nd", {1: 6}),
+    ("python", "def f():\n    a\n    b\n    c\n    def g():\n        d", {}),
+    ("javascript", "x\n  function h(z) {\n    a\n    b\n    c\n    d\n  }\ny", {2: 5}),
+    ("java", "public static void m(\n  a\n  b\n  c\n}", {1: 4}),
+    ("go", "def f():\n    a\n    b\n    c\nd", {}),
+]
+
+
+def test_long_functions(make_files):
+    files = make_files([(str(i), language, code) for i, (language, code, _) in enumerate(LONG)])
     size = F.regexp_extract("message", r"\((\d+) lines", 1).cast("int")
-    got = _got(Q.long_functions(files, max_lines=12), "line", size)
-    expected = {f: e for f, lang, c in rows if (e := _long_functions(c, lang, 12))}
-    assert expected and {f: set(v) for f, v in got.items()} == expected
+    got = _got(Q.long_functions(files, max_lines=3), "line", size)
+    assert {int(f): dict(v) for f, v in got.items()} == {i: e for i, (_, _, e) in enumerate(LONG) if e}
 
 
 def test_todos_and_commented_code(sample):
     rows, files = sample
+    # The comment styles and the beginnings of code.
     styles = [rf"{o}\s*(TODO|FIXME|HACK|XXX|BUG)[\s:](.*)" for o in ("#", "//", r"/\*")]
     got = _got(Q.todos(files), "line", "rule_id", "message")
     for file, _, code in rows:
