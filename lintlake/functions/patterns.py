@@ -57,12 +57,12 @@ def _adapt(pattern: str) -> str:
                 continue
         elif pattern.startswith("(?P<", i):
             end = pattern.index(">", i)
-            out.append("(?<" + pattern[i + 4 : end].replace("_", "") + ">")
+            out.append("(?<" + _group_name(pattern[i + 4 : end]) + ">")
             i = end + 1
             continue
         elif pattern.startswith("(?P=", i):
             end = pattern.index(")", i)
-            out.append(r"\k<" + pattern[i + 4 : end].replace("_", "") + ">")
+            out.append(r"\k<" + _group_name(pattern[i + 4 : end]) + ">")
             i = end + 1
             continue
         out.append(ch)
@@ -70,6 +70,19 @@ def _adapt(pattern: str) -> str:
     return "".join(out)
 
 
+def _group_name(name: str) -> str:
+    """Java names are letters and digits: every other character, and the escape Z itself, is written out."""
+    return "g" + "".join(c if c.isascii() and c.isalnum() and c != "Z" else f"Z{ord(c):x}Z" for c in name)
+
+
+# Written in Python only: conditional groups, characters by name or by eight digits, the flags a, L and u.
+_UNTRANSLATABLE = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?\(|\\N\{|\\U[0-9A-Fa-f]{8}|\(\?[imsx]*[aLu])")
+
+
+def translatable(pattern: str) -> bool:
+    return _UNTRANSLATABLE.search(pattern) is None
+
+
 def compiles(pattern: str | None) -> bool:
     try:
         re.compile(pattern)

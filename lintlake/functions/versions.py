@@ -15,7 +15,9 @@ def clean_version(version: Column | str) -> Column:
 def version_key_sql(version: str) -> str:
     text = f"regexp_replace({version}, '^[vV](?=[0-9])', '')"
     parts = f"split(regexp_replace({text}, '([.]0*)+$', ''), '[.]')"
-    number = "CAST(concat('0', regexp_extract(part, '^0*([0-9]{0,37})', 1)) AS DECIMAL(38, 0))"
+    digits = "regexp_extract(part, '^0*([0-9]*)', 1)"
+    # More digits make a larger number; of as many, the text decides.
+    number = f"named_struct('size', length({digits}), 'digits', {digits})"
     return f"IF({text} RLIKE '^[0-9.]', transform({parts}, part -> {number}), NULL)"
 
 
@@ -23,7 +25,7 @@ def version_key(version: Column | str) -> Column:
     """Numeric parts of a version, comparable as an array.
 
     Trailing zero parts are dropped so that 2.0 and 2.0.0 are the same; a part
-    counts by its leading digits.  Null when the text does not start like a
+    counts by its leading digits, of which there may be any number.  Null when the text does not start like a
     version (`*`, `latest`, a URL).
     """
     return evaluate(version_key_sql, version=version)

@@ -13,7 +13,7 @@ from lintlake.support import explode_once, spread
 def duplicate_blocks(files: DataFrame, k: int = 6, salts: int = 16) -> DataFrame:
     """Every place of every block of `k` consecutive lines that occurs at least twice.
 
-    Lines are compared with their whitespace normalised.  Blocks are grouped by
+    Lines are compared with their whitespace normalised, and a block of blank lines is none.  Blocks are grouped by
     two hashes, 96 bits in all, and a block found many times stays one row per
     place.  Such a block would put all its places into one task of the join, so
     places are spread over `salts` parts of the key and the few block counts are
@@ -26,11 +26,12 @@ def duplicate_blocks(files: DataFrame, k: int = 6, salts: int = 16) -> DataFrame
     place = let(
         f"array_join(slice(lines, at, {k}), chr(10))",
         "block",
-        "named_struct('line', at, 'h1', xxhash64(block), 'h2', crc32(encode(block, 'UTF-8')))",
+        "IF(length(translate(block, chr(10), '')) = 0, NULL, "
+        "named_struct('line', at, 'h1', xxhash64(block), 'h2', crc32(encode(block, 'UTF-8'))))",
     )
     # A filter on the number of lines would compute the lines a second time.
     starts = f"IF(size(lines) < {k}, CAST(array() AS ARRAY<INT>), sequence(1, size(lines) - {k - 1}))"
-    windows = F.expr(f"transform({starts}, at -> {place})")
+    windows = F.expr(f"array_compact(transform({starts}, at -> {place}))")
     places = explode_once(normal, windows, "b", "file").select("file", "b.line", "b.h1", "b.h2")
     counts = places.groupBy("h1", "h2").agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)
     repeated = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

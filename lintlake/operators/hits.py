@@ -19,7 +19,7 @@ from lintlake.functions.matching import snippet_sql, strip_sql
 from lintlake.functions.severity import cvss_score_sql, cvss_vector_sql, rank_sql
 from lintlake.functions.sqltext import let
 from lintlake.schema import FINDINGS
-from lintlake.support import explode_once, small_table
+from lintlake.support import small_table
 
 # Arrival order of the analyzers.
 SAST, SECRET, QUALITY, DEPENDENCY = range(4)
@@ -94,14 +94,17 @@ def _snippet_sql(lines: str, h: str) -> str:
 def explode_hits(files: DataFrame, hits: str, *keep: str) -> DataFrame:
     """One row per hit: file, the `keep` columns, the fields of the hit, a snippet.
 
-    The text is split into lines only for files with hits.
+    The text is split into lines only for files with hits.  The array of hits holds no snippets: each is cut from
+    the lines in its own output row, so a long line with many hits is in memory once.
     """
     fields = "line rule_id analyzer seq column text amount limit".split()
-    full = ", ".join(f"'{f}', h.{f}" for f in fields)
-    shaped = f"transform(found, h -> named_struct({full}, 'snippet', {_snippet_sql('lines', 'h')}))"
-    none = f"CAST(array() AS {HITS[:-2]}, snippet: STRING>>)"
-    every = let(hits, "found", f"IF(size(found) = 0, {none}, {let('split(code, chr(10), -1)', 'lines', shaped)})")
-    return explode_once(files, F.expr(every), "hit", "file", *keep).select("file", *keep, "hit.*")
+    found = files.select("file", "code", *keep, F.expr(hits).alias("_found"))
+    lines = F.expr("IF(size(_found) = 0, CAST(array() AS ARRAY<STRING>), split(code, chr(10), -1))")
+    lined = found.select("file", *keep, "_found", lines.alias("_lines"))
+    # An outer explode, then the filter: a plain one would test the size of the array, and make it twice.
+    rows = lined.select("file", *keep, "_lines", F.explode_outer("_found").alias("_hit")).filter("_hit IS NOT NULL")
+    snippet = F.expr(_snippet_sql("_lines", "_hit")).alias("snippet")
+    return rows.select("file", *keep, *[F.col(f"_hit.{f}") for f in fields], snippet)
 
 
 def timestamp(now: datetime | str | Column | None) -> Column:

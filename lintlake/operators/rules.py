@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.functions.patterns import compiles, java_pattern, matches_empty
+from lintlake.functions.patterns import compiles, java_pattern, matches_empty, translatable
 from lintlake.schema import RULES, SEVERITIES
 
 _REQUIRED = ("id", "name", "description", "pattern", "severity", "language")
@@ -18,6 +18,8 @@ def _problem(pattern: str | None) -> str | None:
         return None
     if not compiles(pattern):
         return "pattern does not compile"
+    if not translatable(pattern):
+        return "pattern has a construct without a counterpart"
     return "pattern can match nothing" if matches_empty(pattern) else None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.builtin.tables import CWE_REMEDIATION, DEFAULT_REMEDIATION
@@ -40,10 +40,23 @@ TODO = "quality_todo"
 
 
 def selected_rules(rules: DataFrame) -> tuple[list[Row] | None, DataFrame]:
-    """Enabled rules as driver rows, or None when there are too many to compile."""
+    """Enabled rules as driver rows, or None when there are too many to compile.
+
+    A pattern that the JVM does not take after all is left out: it must not end a scan.
+    """
     enabled = rules.filter("enabled")
     rows = enabled.limit(COMPILE_LIMIT + 1).collect()
-    return (rows if len(rows) <= COMPILE_LIMIT else None), enabled
+    if len(rows) > COMPILE_LIMIT:
+        return None, enabled
+    return [r for r in rows if jvm_compiles(rules.sparkSession, r["pattern"])], enabled
+
+
+def jvm_compiles(spark: SparkSession, pattern: str) -> bool:
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
+    except Exception:  # the gateway wraps what the JVM throws
+        return False
+    return True
 
 
 def with_folded(texts: DataFrame) -> DataFrame:
@@ -151,18 +164,18 @@ def rule_info_rows(rules: list) -> list[dict]:
     return rows
 
 
-def joined_hits(files: DataFrame, rules: DataFrame, dedup_rows: bool = True) -> DataFrame:
+def joined_hits(files: DataFrame, rules: DataFrame, dedup_rows: bool = True, *keep: str) -> DataFrame:
     """Exploded hits of a rule table of any size: files joined to rules by language.
 
     No broadcast is asked for: Spark broadcasts the rules when they are small
     and otherwise sorts and merges, splitting a hot language at run time.
     """
     patterns = rules.select("language", F.col("id").alias("_rule"), to_java("pattern").alias("_pattern"))
-    texts = spread(files.select("file", "code", "language"))
+    texts = spread(files.select("file", "code", F.lower("language").alias("language"), *keep))
     matched = texts.join(patterns, "language").filter("code RLIKE _pattern")
     hit = hit_sql("m.line", "_rule", SAST, "i", "m.column", "m.text")
     found = f"transform({locate_sql('code', '_pattern')}, (m, i) -> {hit})"
-    return explode_hits(matched, first_per_line_sql(found) if dedup_rows else found)
+    return explode_hits(matched, first_per_line_sql(found) if dedup_rows else found, *keep)
 
 
 def sast_findings(
@@ -176,7 +189,7 @@ def sast_findings(
     if rows is None:
         return findings_of(joined_hits(files, enabled, dedup_rows=False), rule_info(enabled), now)
     marks = rule_marks_sql("code", "language", rows, prefilter)
-    texts = with_folded(spread(files.select("file", "code", "language")))
+    texts = with_folded(spread(files.select("file", "code", F.lower("language").alias("language"))))
     marked = texts.select("file", "code", F.expr(marks).alias("_marks"))
     hits = explode_hits(marked, marked_hits_sql("code", "_marks"))
     return findings_of(hits, info_table(files.sparkSession, rule_info_rows(rows)), now)

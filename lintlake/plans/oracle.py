@@ -414,7 +414,7 @@ def oracle_sql() -> dict[str, str]:
             f"sq AS (SELECT file, n, {squeezed} AS t FROM ln)",
             f"""bl AS (SELECT file, n, concat(t, {_NL}, lead(t, 1) OVER w, {_NL}, lead(t, 2) OVER w) AS b, lead(t, 2) OVER w AS last
                 FROM sq WINDOW w AS (PARTITION BY file ORDER BY n))""",
-            "cp AS (SELECT *, count(*) OVER (PARTITION BY b) AS copies FROM bl WHERE last IS NOT NULL)")
+            f"cp AS (SELECT *, count(*) OVER (PARTITION BY b) AS copies FROM bl WHERE last IS NOT NULL AND replace(b, {_NL}, '') <> '')")
         + "SELECT file, CAST(n AS INTEGER) AS line, copies FROM cp WHERE copies > 1",
         "manifests": _with(MANIFESTS) + "SELECT file, split_part(file, '/', -1) AS base_name FROM mfs",
         "requirements_parse": _with(*REQ) + "SELECT * FROM req",

@@ -48,7 +48,7 @@ from lintlake.support import spread
 
 @dataclass(frozen=True)
 class Options:
-    """What to scan for.  The defaults are those of a plain run.
+    """What to scan for.  By default no path is left out; `EXCLUDE_PATTERNS` has the stock patterns.
 
     languages          scan only these; None for every supported language
     exclude            path globs to leave out; None for none
@@ -83,7 +83,7 @@ def selected_files(files: DataFrame, options: Options) -> DataFrame:
     """The files a run covers, the unsupported ones included."""
     kept = exclude_paths(files, options.exclude) if options.exclude else files
     if options.languages:
-        kept = kept.filter(F.col("language").isin([x.lower() for x in options.languages]))
+        kept = kept.filter(F.lower("language").isin([x.lower() for x in options.languages]))
     return kept
 
 
@@ -103,7 +103,7 @@ def file_findings(
     """
     spark = files.sparkSession
     wanted = options.severities()
-    needed = files.select("file", "code", "language", *keep)
+    needed = files.select("file", "code", F.lower("language").alias("language"), *keep)
     usable = spread(limit_size(supported_only(needed), options.max_mb))
     if rules is None:
         rows, enabled = [r for r in builtin_rule_rows() if r["severity"] in wanted], None
@@ -134,8 +134,8 @@ def file_findings(
         hits = explode_hits(marked, first_per_line_sql(every), *keep)
         tables.append(findings_of(hits, info_table(spark, info), options.now, *keep))
     if rows is None:
-        hits = joined_hits(usable, enabled)
-        tables.append(findings_of(hits, rule_info(enabled), options.now))
+        hits = joined_hits(usable, enabled, True, *keep)
+        tables.append(findings_of(hits, rule_info(enabled), options.now, *keep))
     return union_findings(*tables)
 
 

@@ -73,9 +73,16 @@ def _yaml_rules(spark: SparkSession, path: str) -> list[dict]:
         import yaml
     except ImportError as e:
         raise ImportError("YAML rule packs need PyYAML; give the rules as JSON or Parquet instead") from e
-    # One configuration file, written by hand.
-    [row] = spark.read.text(path, wholetext=True).collect()
-    return (yaml.safe_load(row[0]) or {}).get("rules", [])
+    # Configuration files, written by hand; a pack that cannot be read leaves the others as they are.
+    rules = []
+    for row in spark.read.text(path, wholetext=True).collect():
+        try:
+            pack = yaml.safe_load(row[0])
+        except yaml.YAMLError:
+            continue
+        if isinstance(pack, dict) and isinstance(pack.get("rules"), list):
+            rules += [r for r in pack["rules"] if isinstance(r, dict)]
+    return rules
 
 
 def builtin_secret_patterns(spark: SparkSession) -> DataFrame:

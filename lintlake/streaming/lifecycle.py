@@ -12,14 +12,23 @@ from lintlake.operators.hits import timestamp
 _LATEST = "coalesce(current.{0}, previous.{0}) AS {0}"
 
 
-def merge_lifecycle(previous: DataFrame, current: DataFrame, now: datetime | str | None = None) -> DataFrame:
+def merge_lifecycle(
+    previous: DataFrame, current: DataFrame, now: datetime | str | None = None, scanned: DataFrame | None = None
+) -> DataFrame:
     """The finding table after a run, from the table before and the run's findings.
 
     A finding keeps the time it was first seen; one that is gone is `fixed` and
     keeps its last-seen time; one that came back is `open` again.  What was set
     to `ignored`, `false_positive` or `in_progress` stays so while it is found,
-    and the first two also afterwards.
+    and the first two also afterwards.  `scanned` has the `file`s that the run
+    covered: findings of other files stay as they were.  Without it the run
+    covered all.
     """
+    if scanned is None:
+        previous = previous.withColumn("_scanned", F.lit(True))
+    else:
+        files = scanned.select("file").distinct().withColumn("_seen", F.lit(True))
+        previous = previous.join(files, "file", "left").withColumn("_scanned", F.coalesce("_seen", F.lit(False)))
     kept = "id first_seen last_seen status".split()
     others = [c for c in current.columns if c not in kept]
     joined = previous.alias("previous").join(current.alias("current"), "id", "full_outer")
@@ -28,6 +37,7 @@ def merge_lifecycle(previous: DataFrame, current: DataFrame, now: datetime | str
     status = f"""CASE
         WHEN NOT ({known}) THEN 'open'
         WHEN previous.status IN ('ignored', 'false_positive') THEN previous.status
+        WHEN NOT ({found}) AND NOT previous._scanned THEN previous.status
         WHEN NOT ({found}) THEN 'fixed'
         WHEN previous.status = 'in_progress' THEN previous.status
         ELSE 'open' END AS status"""

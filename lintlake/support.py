@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,11 +22,6 @@ def small_table(spark: SparkSession, rows: Iterable[dict], schema: T.StructType)
     return spark.createDataFrame(table, schema=schema)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind `value` once and use it several times inside `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def explode_once(table: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
     """One row per element of a computed array, beside the `keep` columns.
 
@@ -63,10 +58,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for streaming state and intermediate tables.
 
     The cluster names it in `spark.checkpoint.dir`; only a session without that
-    setting (a local test) falls back to a scratch folder.
+    setting on a local master (a test) falls back to a scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="lintlake-")
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="lintlake-")
 
 
 def column(value: Column | str) -> Column:
