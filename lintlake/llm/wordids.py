@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -11,7 +12,7 @@ from lintlake.llm.common import cached
 VOCABULARY = "word_bpe_49k.json"
 
 # Words kept by a worker; beyond it starts anew.
-_KEPT = 800_000
+_KEPT = 600_000
 # A lower-case word of Latin letters, then marks: neither half can join the other in normalising or splitting.
 _PARTS = re.compile(r"([a-zß-öø-ÿ]+)([!\"#$%&()*+,\-./:;?@\[\\\]^_`{|}~]*)")
 
@@ -39,7 +40,6 @@ class Words:
 
     def _reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.cores: dict[str, np.ndarray] = {}
         self.ids = np.zeros(1 << 20, np.uint16 if len(self.last) <= 1 << 16 else np.uint32)
         self.ends = np.zeros(1 << 18, np.int64)
         self.used = 0
@@ -48,56 +48,59 @@ class Words:
         """All ids of all texts, and how many each text has."""
         if len(self.number) > _KEPT:
             self._reset()
-        words = [t.lower().split(" ") if "\n" not in t and "\t" not in t else re.split("[ \n\t]", t.lower()) for t in texts]
-        number = self.number
-        new = dict.fromkeys(w for ws in words for w in ws if w not in number)
+        words = [t.replace("\n", " ").replace("\t", " ").lower().split(" ") for t in texts]
+        new = set(chain.from_iterable(words)).difference(self.number)
         if new:
-            self._learn(list(new))
+            self._learn(new)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((number[w] for ws in words for w in ws), np.int64, int(sizes.sum()))
-        starts = np.where(at > 0, self.ends[at - 1], 0)
-        lengths = self.ends[at] - starts
-        flat = _ranges(starts, lengths)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        starts, lengths = self._places(at)
         per_text = np.add.reduceat(np.append(lengths, 0), np.cumsum(sizes) - sizes) if len(texts) else lengths
-        return self.ids[flat], per_text
-
-    def _learn(self, words: list[str]) -> None:
-        parts = [_PARTS.fullmatch(w) for w in words]
-        wanted = dict.fromkeys(p for m in parts if m for p in m.groups() if p and p not in self.cores)
-        self._learn_cores(list(wanted))
-        whole = [w for w, m in zip(words, parts, strict=True) if m is None]
-        others = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
-        for word, m in zip(words, parts, strict=True):
-            if m is None:
-                self._add(word, next(others).ids)
-            else:
-                self._add(word, *(self.cores[p] for p in m.groups() if p))
+        return self.ids[_ranges(starts, lengths)], per_text
+
+    def _places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.where(at > 0, self.ends[at - 1], 0)
+        return starts, self.ends[at] - starts
+
+    def _learn(self, words: set[str]) -> None:
+        cores = [w for w in words if w.isascii() and w.isalpha()]
+        others = words.difference(cores)
+        parts = {w: m.groups() for w in others if (m := _PARTS.fullmatch(w))}
+        whole = [w for w in others if w not in parts]
+        self._learn_cores([*cores, *(w for w, (_, marks) in parts.items() if not marks)])
+        self._add(whole, [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)])
+        joined = [w for w, (_, marks) in parts.items() if marks]
+        self._learn_cores([p for p in {p for w in joined for p in parts[w]} if p not in self.number])
+        pairs = np.array([self.number[p] for w in joined for p in parts[w]], np.int64)
+        starts, lengths = self._places(pairs)
+        self._extend(joined, self.ids[_ranges(starts, lengths)], lengths.reshape(-1, 2).sum(1))
 
     def _learn_cores(self, cores: list[str]) -> None:
         """Every core is one piece to the tokenizer, and only its last id ends a word: many go in one call."""
         for start in range(0, len(cores), 4096):
             some = cores[start : start + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(self.last[ids]) + 1
-            if len(cuts) == len(some):
-                for core, piece in zip(some, np.split(ids, cuts[:-1]), strict=True):
-                    self.cores[core] = piece
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                self._extend(some, ids, np.diff(ends, prepend=0))
             else:
-                for core, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.cores[core] = np.array(found.ids, np.int64)
+                self._add(some, [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+
+    def _add(self, words: list[str], ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._extend(words, np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum())), lengths)
 
-    def _add(self, word: str, *pieces) -> None:
-        count = len(self.number)
-        if count == len(self.ends):
+    def _extend(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Takes up new words whose ids lie one after another."""
+        count, used = len(self.number), self.used + len(ids)
+        while count + len(words) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        for piece in pieces:
-            end = self.used + len(piece)
-            while end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : end] = piece
-            self.used = end
-        self.ends[count] = self.used
-        self.number[word] = count
+        while used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : used] = ids
+        self.ends[count : count + len(words)] = self.used + np.cumsum(lengths)
+        self.used = used
+        self.number.update(zip(words, range(count, count + len(words)), strict=True))
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
