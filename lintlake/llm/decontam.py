@@ -46,7 +46,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept by the worker and made longer when a longer batch comes."""
     held: dict = cached("powers", dict)
     if len(held.get("up", ())) < size:
-        length = 1 << max(20, size.bit_length())
+        length = 1 << max(21, size.bit_length())
         for name, base in (("up", int(_BASE)), ("down", _inverse(int(_BASE)))):
             factors = np.full(length, np.uint64(base))
             factors[0] = 1
@@ -158,7 +158,7 @@ def seed_filter(seeds: DataFrame, bits: int) -> bytes:
 
 
 # Bytes of texts hashed at once; a longer text is hashed alone.
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def training_regions(docs: DataFrame, passing: bytes, kinds: list[int], context: int, key: str, text: str) -> DataFrame:
