@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -48,7 +49,7 @@ class Words:
         """All ids of all texts, and how many each text has."""
         if len(self.number) > _KEPT:
             self._reset()
-        words = [t.replace("\n", " ").replace("\t", " ").lower().split(" ") for t in texts]
+        words = [_folded(t.replace("\n", " ").replace("\t", " ")).split(" ") for t in texts]
         new = set(chain.from_iterable(words)).difference(self.number)
         if new:
             self._learn(new)
@@ -103,6 +104,15 @@ class Words:
         self.number.update(zip(words, range(count, count + len(words)), strict=True))
 
 
+def _folded(text: str) -> str:
+    """In lower case, where the tokenizer would make the same of it: it composes first, and letter by letter."""
+    lower = text.lower()
+    if text.isascii():
+        return lower
+    safe = "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", lower)
+    return lower if safe else text
+
+
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one after another."""
     some = lengths > 0

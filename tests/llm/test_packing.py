@@ -69,7 +69,7 @@ def test_large_counts_make_short_plans():
     [
         "", " ", "Don't stop 'til you're... \"quoted\" it's", "a\tb\nc d\xa0e　f", "ÀÉÎ straße İstanbul ǅ", "é x̸= ≠",
         "<|endoftext|> <|startoftext|>x", "....,,,;;; a.b.c a--b #### 123 4567 ½ ² ٣", "\U0001f600\U0001f600 zwj‍x ​", "word, word. word! (word) [word] word",
-        "'s 's's don''t '. .' ***'s", "日本語 テキスト 한국어 ไทย", "\x00\x01\x0b\x0c\x1c\x85x",
+        "'s 's's don''t '. .' ***'s", "ΟΔΟΣ ὈΔΥΣΣΕΎΣ", "日本語 テキスト 한국어 ไทย", "\x00\x01\x0b\x0c\x1c\x85x",
     ],
 )
 def test_ids_are_those_of_the_tokenizer(text):
