@@ -16,11 +16,11 @@ from lintlake.llm.suffixes import SuffixBlocks, same_start
 
 LENGTH = 50
 # Bytes of a seed: every string of LENGTH bytes goes where its seed of the least hash sends it.
-SEED = 20
+SEED = 16
 
 # Bytes of texts cut at once, of fragments in a bucket, and suffixes in a block.
 _CHUNK = 1 << 21
-_BUCKET = 48 << 20
+_BUCKET = 16 << 20
 _BLOCK = 1 << 20
 _FILTER = 1 << 23
 
@@ -32,16 +32,12 @@ def _seed_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the SEED bytes from each byte on, where as many follow."""
     count = len(data) - SEED + 1
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    four = np.ndarray((len(data) - 3,), "<u4", data, strides=(1,))
     found = eight[:count] * _A
     found ^= found >> np.uint64(32)
     found += eight[8 : count + 8] * _B
     found ^= found >> np.uint64(29)
     found *= _C
-    found += four[16 : count + 16] * _A
-    found ^= found >> np.uint64(32)
-    found *= _B
-    return found ^ found >> np.uint64(29)
+    return found ^ found >> np.uint64(32)
 
 
 def _least(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -100,7 +96,7 @@ def _dealt(keys: np.ndarray, tags: np.ndarray, texts: list[bytes], offsets: np.n
 
     Of fragments with the same bytes only those of the smallest key are dealt: the others are repeats already.
     """
-    compress = zstandard.ZstdCompressor(level=3).compress
+    compress = zstandard.ZstdCompressor(level=6).compress
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
