@@ -101,8 +101,11 @@ def explode_hits(files: DataFrame, hits: str, *keep: str) -> DataFrame:
     found = files.select("file", "code", *keep, F.expr(hits).alias("_found"))
     lines = F.expr("IF(size(_found) = 0, CAST(array() AS ARRAY<STRING>), split(code, chr(10), -1))")
     lined = found.select("file", *keep, "_found", lines.alias("_lines"))
-    # An outer explode, then the filter: a plain one would test the size of the array, and make it twice.
-    rows = lined.select("file", *keep, "_lines", F.explode_outer("_found").alias("_hit")).filter("_hit IS NOT NULL")
+    # An outer explode, then the filter: a plain one would test the size of the array, and make it twice.  Generated
+    # code gathers all rows of an explode, each with a copy of the lines; with a lambda in it, Spark takes the plain
+    # operator, which hands on row after row.
+    one_by_one = F.explode_outer(F.expr("transform(_found, h -> h)"))
+    rows = lined.select("file", *keep, "_lines", one_by_one.alias("_hit")).filter("_hit IS NOT NULL")
     snippet = F.expr(_snippet_sql("_lines", "_hit")).alias("snippet")
     return rows.select("file", *keep, *[F.col(f"_hit.{f}") for f in fields], snippet)
 
