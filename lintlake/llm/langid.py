@@ -225,6 +225,8 @@ def _shares(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
                 hits[:, 8 * byte + bit] = table_[:, (np.arange(256) >> bit & 1).astype(bool)].sum(1)
         with np.errstate(invalid="ignore", divide="ignore"):
             share = (hits / total[:, None] - model.false_positive) / (1 - model.false_positive)
+        # A filter that is all but full says nothing.
+        share = np.where(model.false_positive < 0.9, share, 0)
         sums += np.where(total[:, None] > 0, share, 0)
         sizes += total > 0
     return sums / np.maximum(sizes, 1)[:, None], letters

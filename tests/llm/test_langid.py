@@ -57,7 +57,7 @@ def test_held_out_accuracy(spark):
     assert expected == found.filter("held_out").count()
 
 
-@pytest.mark.parametrize("bits", [1 << 8, 1 << 20])
+@pytest.mark.parametrize("bits", [1 << 8, 1 << 12, 1 << 20])
 def test_correction_for_false_positives(spark, bits):
     """A crowded filter answers yes by chance: a text of unknown n-grams must not score."""
     rows = [(i, " ".join(f"{chr(97 + i % 20)}{chr(97 + i // 20 % 20)}o" for _ in range(3)), "xy"[i % 2]) for i in range(200)]
