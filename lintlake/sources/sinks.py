@@ -107,14 +107,20 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     )
 
 
+def _with_commas(entries: DataFrame) -> DataFrame:
+    """A comma before every entry but the first, which a subquery finds; equal places are told apart by their text."""
+    first = entries.agg(F.min(F.struct("at", "text"))).scalar()
+    comma = F.when(F.struct("at", "text") == first, F.lit("")).otherwise(F.lit(","))
+    return entries.withColumn("text", F.concat(comma, "text"))
+
+
 def to_sarif(findings: DataFrame, tool: str = "lintlake") -> DataFrame:
     """One SARIF log of deduplicated findings as ordered text lines: (part, at, text).
 
     Sorted by (part, at) and joined, the lines are one JSON document.  It is
     never held in one place: every result is its own line.  All but the first
-    entry of a list carry the comma in front, so the first places, one row per
-    list, are joined back to their list.  The findings are read several times:
-    give a stored table, not a scan.
+    entry of a list carry the comma in front.  The findings are read several
+    times: give a stored table, not a scan.
     """
     results = findings.select(
         F.lit(3).alias("part"),
@@ -148,21 +154,12 @@ def to_sarif(findings: DataFrame, tool: str = "lintlake") -> DataFrame:
             )
         ).alias("text"),
     )
-    entries = rules.unionAll(results)
-    # The first of several equal places is told apart by its text.
-    firsts = entries.groupBy("part").agg(F.min(F.struct("at", "text")).alias("first"))
-    marked = entries.join(firsts, "part").select(
-        "part",
-        "at",
-        F.when((F.col("at") == F.col("first.at")) & (F.col("text") == F.col("first.text")), F.col("text"))
-        .otherwise(F.concat(F.lit(","), "text"))
-        .alias("text"),
-    )
+    marked = _with_commas(rules).unionAll(_with_commas(results))
     head = f'{{"version":"{SARIF_VERSION}","$schema":"{SARIF_SCHEMA}","runs":[{{"tool":{{"driver":'
     head += f'{{"name":"{tool}","version":"{_TOOL_VERSION}","rules":['
     frame = [(0, head), (2, ']}},"results":['), (4, "]}]}")]
     rows = [{"part": part, "text": text} for part, text in frame]
-    at = F.lit(None).cast(entries.schema["at"].dataType).alias("at")
+    at = F.lit(None).cast(marked.schema["at"].dataType).alias("at")
     fixed = small_table(findings.sparkSession, rows, _FRAME).select("part", at, "text")
     return marked.unionAll(fixed)
 
