@@ -24,6 +24,7 @@ from lintlake.operators.sast import sast_findings
 from lintlake.operators.secrets import secrets
 from lintlake.plans.scan import scan
 from lintlake.plans.views import corpus, manifest_files, part_rules, table
+from lintlake.schema import SEVERITIES
 from lintlake.sources import sinks
 from lintlake.sources.files import as_files, decode_text, read_files
 from lintlake.sources.tables import (
@@ -502,6 +503,14 @@ def scanned(spark, sf_dir):
     return _places(_scan(spark, sf_dir), "severity", "finding_type")
 
 
+@query
+def scanned_project(spark, sf_dir):
+    """Source files and manifests in one scan, with findings of all four types."""
+    manifests = manifest_files(spark, sf_dir).withColumn("language", F.lit("unknown"))
+    files = corpus(spark, sf_dir).drop("doc_id").unionByName(manifests)
+    return _places(scan(files, now=NOW, severity="INFO", order=False), "severity", "finding_type")
+
+
 @query
 def scanned_unique_files(spark, sf_dir):
     return _places(_scan(spark, sf_dir, unique_files=True), "severity", "finding_type")
@@ -562,8 +571,8 @@ def run_metrics(spark, sf_dir):
     metrics = A.run_metrics(_scan(spark, sf_dir), corpus(spark, sf_dir))
     return metrics.select(
         "total_findings", "risk_score", "files_scanned", "findings_per_file", "errors",
-        *[F.coalesce(F.col("by_severity")[s], F.lit(0)).alias(s.lower()) for s in ("CRITICAL", "HIGH", "LOW")],
-        F.col("by_type")["quality"].alias("quality"),
+        *[F.coalesce(F.col("by_severity")[s], F.lit(0)).alias(s.lower()) for s in SEVERITIES],
+        *[F.coalesce(F.col("by_type")[t], F.lit(0)).alias(t) for t in ("vulnerability", "secret", "quality")],
     )
 
 
@@ -605,6 +614,31 @@ def written_report(spark, sf_dir):
     return back.select("rule_id", "severity", "file", "line")
 
 
+@query
+def csv_report(spark, sf_dir):
+    """Findings written as CSV and read back."""
+    path = f"{checkpoint_root(spark)}/report-{uuid.uuid4().hex}"
+    sinks.write_findings(_scan(spark, sf_dir), path, "csv")
+    back = spark.read.option("escape", '"').option("multiLine", True).csv(path, header=True)
+    return back.select("rule_id", "severity", "finding_type", "file", F.col("line").cast("int"))
+
+
+@query
+def sarif_document(spark, sf_dir):
+    """The results of a SARIF log written from stored findings and read back."""
+    stored, path = (f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}" for name in ("findings", "sarif"))
+    _scan(spark, sf_dir).write.parquet(stored)
+    sinks.write_sarif(spark.read.parquet(stored), path)
+    place = "locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int, startColumn: int>>>>"
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("value")).filter("value LIKE '{\"ruleId%'")
+    result = lines.select(F.from_json("value", f"ruleId string, level string, {place}").alias("r"))
+    at = F.col("r.locations")[0]["physicalLocation"]
+    return result.select(
+        F.col("r.ruleId").alias("rule_id"), "r.level", at["artifactLocation"]["uri"].alias("uri"),
+        at["region"]["startLine"].alias("start_line"), at["region"]["startColumn"].alias("start_column"),
+    )
+
+
 # Over time
 
 
@@ -620,6 +654,22 @@ def lifecycle(spark, sf_dir):
     previous = _sightings(Q.long_lines(docs, 120, BEFORE)).withColumn("status", states)
     current = _sightings(N.union_findings(Q.long_lines(docs, 400, NOW), N.dedup(secrets(docs, now=NOW))))
     merged = merge_lifecycle(previous, current, NOW)
+    return _history(merged)
+
+
+@query
+def lifecycle_in_scope(spark, sf_dir):
+    """A run over the English documents: what is known of the others stays as it was."""
+    docs = _documents(spark, sf_dir)
+    states = F.expr("element_at(array('open', 'ignored', 'false_positive', 'in_progress'), CAST(line % 4 AS INT) + 1)")
+    previous = _sightings(Q.long_lines(docs, 120, BEFORE)).withColumn("status", states)
+    english = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    scope = english.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file"))
+    current = _sightings(Q.long_lines(docs.join(scope, "file", "left_semi"), 400, NOW))
+    return _history(merge_lifecycle(previous, current, NOW, scope))
+
+
+def _history(merged: DataFrame) -> DataFrame:
     return merged.select(
         "file", "line", "rule_id", "status",
         F.date_format("first_seen", "yyyy").alias("first_year"), F.date_format("last_seen", "yyyy").alias("last_year"),

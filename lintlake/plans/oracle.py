@@ -436,6 +436,23 @@ def oracle_sql() -> dict[str, str]:
         + """SELECT d.file, d.line, d.name, d.version, w.latest FROM keyed d JOIN newest w
             ON d.language = w.language AND d.name = w.name WHERE d.k < w.lk""",
         "scanned": _with(*SCAN) + f"SELECT {_PLACES}, severity, finding_type FROM scan",
+        "scanned_project": _with(*SCAN, *DEP_HITS) + f"""SELECT {_PLACES}, severity, finding_type FROM scan UNION ALL
+            SELECT DISTINCT file, line, CAST(1 AS INTEGER), concat('dependency_', cve), severity, 'dependency' FROM hit""",
+        "csv_report": _with(*SCAN) + "SELECT rule_id, severity, finding_type, file, line FROM scan",
+        "sarif_document": _with(*SCAN) + """SELECT rule_id, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error'
+            ELSE 'warning' END AS level, file AS uri, line AS start_line, col AS start_column FROM scan""",
+        "lifecycle_in_scope": _with(DOCS, *_LONG_BEFORE, *_LONG_NOW,
+            "scope AS (SELECT concat('doc/', CAST(doc_id AS VARCHAR)) AS file FROM documents WHERE lang = 'en')",
+            "cur AS (SELECT file, line, rule_id FROM now_long WHERE file IN (SELECT file FROM scope))",
+            """prev AS (SELECT file, line, rule_id, ['open', 'ignored', 'false_positive', 'in_progress'][CAST(line % 4 AS INT) + 1]
+                AS st FROM before)""")
+        + """SELECT coalesce(c.file, p.file) AS file, coalesce(c.line, p.line) AS line, coalesce(c.rule_id, p.rule_id) AS rule_id,
+            CASE WHEN p.st IS NULL THEN 'open' WHEN p.st IN ('ignored', 'false_positive') THEN p.st
+                WHEN c.file IS NULL AND p.file NOT IN (SELECT file FROM scope) THEN p.st
+                WHEN c.file IS NULL THEN 'fixed' ELSE p.st END AS status,
+            CASE WHEN p.st IS NULL THEN '2024' ELSE '2023' END AS first_year,
+            CASE WHEN c.file IS NULL THEN '2023' ELSE '2024' END AS last_year
+            FROM prev p FULL OUTER JOIN cur c ON p.file = c.file AND p.line = c.line AND p.rule_id = c.rule_id""",
         "scanned_unique_files": _with(*SCAN) + f"SELECT {_PLACES}, severity, finding_type FROM scan",
         "severity_filter": _with(*SCAN)
         + f"SELECT {_PLACES}, severity FROM scan WHERE severity IN ('CRITICAL', 'HIGH', 'MEDIUM')",
@@ -452,7 +469,10 @@ def oracle_sql() -> dict[str, str]:
         "run_metrics": _with(*SCAN) + f"""SELECT count(*) AS total_findings, {_RISK} AS risk_score,
             CAST({_FILES} AS BIGINT) AS files_scanned, round(count(*) / CAST({_FILES} AS DOUBLE), 2) AS findings_per_file,
             CAST(0 AS INTEGER) AS errors, count(*) FILTER (severity = 'CRITICAL') AS critical,
-            count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'LOW') AS low,
+            count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
+            count(*) FILTER (severity = 'LOW') AS low, count(*) FILTER (severity = 'INFO') AS info,
+            count(*) FILTER (finding_type = 'vulnerability') AS vulnerability,
+            count(*) FILTER (finding_type = 'secret') AS secret,
             count(*) FILTER (finding_type = 'quality') AS quality FROM scan""",
         "summary": _with(*SCAN) + _SUMMARY,
         "vuln_stats": _with(*SAST) + _stats("m", {"severity": "severity", "cwe": "cwe", "owasp": "owasp", "category": "category"},
