@@ -6,6 +6,7 @@ import sys
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,27 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+# Bits of a filter of keys.
+_FILTER = 1 << 23
+
+
+def key_bits(keys: list[str]) -> list[Column]:
+    """Two places of a row's keys in the filter: `bit0, bit1`."""
+    return [F.pmod(F.xxhash64(*keys, F.lit(i)), F.lit(_FILTER)).alias(f"bit{i}") for i in range(2)]
+
+
+def key_filter(frame: DataFrame, keys: list[str]) -> bytes:
+    """A filter of fixed size, low bits first, that has both bits of every key of `frame`, and of few others.
+
+    As more keys come in it lets more others pass, up to all: what passes has to be joined still.
+    """
+    words = frame.select(F.explode(F.array(*key_bits(keys))).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word"))
+    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("mask")).toArrow()
+    filled = np.zeros(_FILTER // 64, "<i8")
+    filled[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
+    return filled.tobytes()
+
+
 def cached(key: str, make: Callable[[], object]) -> object:
     """An object that a Python worker builds once and keeps for its later tasks."""
     kept = vars(sys).setdefault("_lintlake_llm", {})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import by_batch, stored, table
+from lintlake.llm.common import by_batch, key_bits, key_filter, stored, table
 from lintlake.llm.graph import components
 
 SHINGLE = 4
@@ -119,23 +120,28 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) ->
     dealt = dealt.repartition("set", "block").sortWithinPartitions("set", "block", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
-        for batch in batches:
-            now = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if rest is not None:
-                now = tuple(np.concatenate(pair) for pair in zip(rest, now, strict=True))
-            if not len(now[0]):
-                continue
-            last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-            cut = int(np.argmax(last))
-            rest = tuple(column[cut:] for column in now)
-            yield _as_links(_linked(*(column[:cut] for column in now), radius))
-        if rest is not None:
-            yield _as_links(_linked(*rest, radius))
+        for sets, shared, fps in _whole_groups(batches):
+            yield _as_links(_linked(sets, shared, fps, radius))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of sorted batches, cut where the first two of them change."""
+    rest: tuple[np.ndarray, ...] | None = None
+    for batch in batches:
+        now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if rest is not None:
+            now = tuple(np.concatenate(pair) for pair in zip(rest, now, strict=True))
+        if len(now[0]):
+            cut = int(np.argmax((now[0] == now[0][-1]) & (now[1] == now[1][-1])))
+            rest = tuple(column[cut:] for column in now)
+            if cut:
+                yield tuple(column[:cut] for column in now)
+    if rest is not None:
+        yield rest
+
+
 def _as_links(pairs: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in pairs], names=["a", "b"])
 
@@ -212,17 +218,137 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+# What the pipeline takes for near-duplicates, and the sketch that finds candidates for it.  Of texts with this
+# similarity, fingerprints of two-word shingles differ in up to eight bits, those of longer shingles in far more.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+SKETCH_SHINGLE, SKETCH_RADIUS = 2, 8
+
+# In a group, a text is a candidate for so many of the nearest ones.
+_NEAREST = 12
+_PAIRS = 1 << 21
+
+
+def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """`id, fp, digest`: the fingerprint of two-word shingles, and a hash of the whole sequence of words."""
+
+    def batch(rows: pa.RecordBatch) -> dict:
+        words = [xxhash.xxh64_intdigest(b" ".join((t.as_py() or b"").lower().split()), SEED) for t in rows.column(1)]
+        fps = _simhash(rows.column(1), SKETCH_SHINGLE).view(np.int64)
+        return {"id": rows.column(0), "fp": fps, "digest": np.array(words, np.uint64).view(np.int64)}
+
+    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    return by_batch(slim, batch, "id long, fp long, digest long")
+
+
+def sketch_blocks(count: int, radius: int) -> int:
+    """The number of blocks with the least work: rows dealt, and a five-hundredth of a row for each comparison."""
+
+    def work(blocks: int) -> float:
+        return comb(blocks, radius) * (1 + count / 2 ** (64 * (blocks - radius) / blocks) / 500)
+
+    return min(range(radius + 1, 2 * radius + 1), key=work)
+
+
+def candidates(nodes: DataFrame, radius: int = SKETCH_RADIUS, blocks: int | None = None) -> DataFrame:
+    """`a, b`: pairs of `node`s whose fingerprints `fp` are within `radius` bits.
+
+    A group is compared block by block, and each member gives its nearest ones, so that pairs stay in proportion to
+    the members.  Of a very dense group that are not all pairs; but a copy is nearer to what it was copied from than
+    other copies are, and pairs are looked for in every group that two members share.
+    """
+    masks = block_masks(blocks or sketch_blocks(nodes.count(), radius), radius)
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(F.lit(m)).alias("block"))
+                               for i, m in enumerate(masks)]))
+    dealt = nodes.select("fp", "node", keys.alias("k")).select("k.set", "k.block", "fp", "node")
+    dealt = dealt.repartition("set", "block").sortWithinPartitions("set", "block", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets, shared, fps, node in _whole_groups(batches):
+            cuts = np.flatnonzero((sets[1:] != sets[:-1]) | (shared[1:] != shared[:-1])) + 1
+            fps = fps.astype(np.int64).view(np.uint64)
+            found = [_nearest(f, n, radius) for f, n in zip(np.split(fps, cuts), np.split(node, cuts), strict=True) if len(f) > 1]
+            a, b = (np.concatenate([node[:0], *[pair[i] for pair in found]]) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _nearest(fps: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    left, right = [node[:0]], [node[:0]]
+    step = max(1, _PAIRS // len(fps))
+    for start in range(0, len(fps), step):
+        apart = np.bitwise_count(fps[start : start + step, None] ^ fps[None, :])
+        rows = np.arange(len(apart))
+        apart[rows, start + rows] = 255
+        if len(fps) > _NEAREST + 1:
+            limit = np.partition(apart, _NEAREST - 1, axis=1)[:, _NEAREST - 1]
+            crowded = np.flatnonzero(limit <= radius)
+            if len(crowded):
+                order = np.argsort(apart[crowded], axis=1, kind="stable")[:, _NEAREST:]
+                apart[crowded[:, None], order] = 255
+        i, j = np.nonzero(apart <= radius)
+        left.append(node[start + i])
+        right.append(node[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _shingle_set(text: bytes) -> bytes:
+    words = text.lower().split()
+    spans = [b" ".join(words[i : i + SIMILAR_WORDS]) for i in range(max(1, len(words) - SIMILAR_WORDS + 1))]
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(x, SEED) for x in spans), "<u4", len(spans))).tobytes()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs whose texts' sets of five-word shingles have a Jaccard similarity of at least 0.8.
+
+    Only the texts that are in a pair are looked at: a filter of fixed size tells most of the others.
+    """
+    members = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(key_filter(members, ["key"]))  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
+        for batch in batches:
+            hit = held[batch.column(2).to_numpy()] & held[batch.column(3).to_numpy()]
+            batch = batch.filter(pa.array(hit.astype(bool)))
+            sets = [_shingle_set(x.as_py() or b"") for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "shingles"])
+
+    slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
+    sets = slim.select("*", *key_bits(["key"])).mapInArrow(run, "key long, shingles binary")
+    sets = stored(sets, "shingles")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(common >= SIMILARITY * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the row of the smallest doc_id stays.
 
-    Rows that repeat the kept key (or a null key) are told apart by their order in the table as stored, so one
-    of them stays.
+    Texts of the same words are one; others are linked if their five-word shingles have a similarity of 0.8 or more.
+    Rows that repeat the kept key (or a null key) are told apart by their order in the table as stored, so one of
+    them stays.  Texts without a word are one group.
     """
     columns = docs.columns
     numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select(F.col("_row"), F.col("doc_id"), F.col("text")), "_row")
-    keyed = found.join(numbered.select(F.col("_row").alias("id"), "doc_id"), "id")
+    prints = stored(sketches(numbered, "_row", "text"), "sketches")
+    nodes = stored(prints.groupBy("fp", "digest").agg(F.min("id").alias("node")), "nodes")
+    pairs = stored(candidates(nodes), "candidates")
+    links = verified(pairs, numbered, "_row", "text")
+    rooted = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = prints.join(rooted.select("fp", "digest", "root"), ["fp", "digest"]).select("id", "root")
+    keyed = stored(keyed.join(numbered.select(F.col("_row").alias("id"), "doc_id"), "id"), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("id"))
-    kept = keyed.groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = keyed.groupBy("root").agg(F.min(order).alias("first"))
     others = keyed.join(kept.select(F.col("first.id").alias("id")), "id", "left_anti")
     return numbered.join(others.select(F.col("id").alias("_row")), "_row", "left_anti").select(*columns)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import stored, table
+from lintlake.llm.common import key_bits, key_filter, stored, table
 from lintlake.llm.suffixes import SuffixBlocks, same_start
 
 LENGTH = 50
@@ -22,7 +22,6 @@ SEED = 16
 _CHUNK = 1 << 21
 _BUCKET = 16 << 20
 _BLOCK = 1 << 20
-_FILTER = 1 << 23
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _LAST = (1 << 63) - 1
@@ -282,16 +281,6 @@ def _merged(spans: list[bytes]) -> np.ndarray:
     return np.stack([pairs[new, 0], reach[last]], axis=1)
 
 
-def _filter_bits(keys: DataFrame) -> bytes:
-    """Two bits for each key in a filter of fixed size."""
-    lots = [F.pmod(F.xxhash64("key", "tag", F.lit(i)), F.lit(_FILTER)) for i in range(2)]
-    words = keys.select(F.explode(F.array(*lots)).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word"))
-    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("mask")).toArrow()
-    filled = np.zeros(_FILTER // 64, np.int64)
-    filled[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
-    return filled.tobytes()
-
-
 def _marked_texts(docs: DataFrame, bits: bytes) -> DataFrame:
     """`key, tag, packed`: compressed texts whose key may be in the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
@@ -305,8 +294,7 @@ def _marked_texts(docs: DataFrame, bits: bytes) -> DataFrame:
             packed = [compress(x.as_py() or b"") for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary())], names=["key", "tag", "packed"])
 
-    lots = [F.pmod(F.xxhash64("key", "tag", F.lit(i)), F.lit(_FILTER)).alias(f"bit{i}") for i in range(2)]
-    return docs.select("key", "tag", "text", *lots).mapInArrow(run, "key long, tag long, packed binary")
+    return docs.select("key", "tag", "text", *key_bits(["key", "tag"])).mapInArrow(run, "key long, tag long, packed binary")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +330,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("key", F.coalesce("key", F.lit(_LAST)))
     found = stored(repeats(rows), "repeats")
     spans = found.groupBy("key", "tag").agg(F.collect_list("spans").alias("spans"))
-    texts = _marked_texts(rows, _filter_bits(found.select("key", "tag"))).dropDuplicates(["key", "tag"])
+    texts = _marked_texts(rows, key_filter(found, ["key", "tag"])).dropDuplicates(["key", "tag"])
     joined = texts.join(spans, ["key", "tag"]).select("key", "tag", "packed", "spans")
     cut = joined.mapInArrow(_cut, "key long, tag long, n_removed long, n_spans long, digest string")
     whole = rows.select("key", "tag", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
