@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import cached, stored, table
 
-# Fixed masks over twelve tokens: 1 counts, 0 is ignored.  Each has eight counted positions; what two substitutions
-# spoil in one mask, another mask ignores.
-MASKS = ("110110110110", "101101101101", "111001110011", "111100001111")
-SPAN = 12
+# Fixed masks: 1 counts, 0 is ignored.  Wherever a fifth of 16 or more tokens in line is substituted, one of MASKS still
+# fits somewhere; SHORT_MASKS do the same for items of 8 to 15 tokens whose first and last token are equal.  A stretch
+# of 32 tokens or more has a half that agrees as well as itself, so stretches up to 31 are all that tests enumerate.
+MASKS = ("11101111", "111010001011", "11000110111", "11011010000101", "1100101111")
+SHORT_MASKS = ("111011", "11001011", "11111")
+_EVERY = MASKS + SHORT_MASKS
 # Shifts of a seed hash that give its bits in the filter.
 PROBES = (0, 20, 39)
 
@@ -24,7 +26,8 @@ PROBES = (0, 20, 39)
 class Settings:
     """least: tokens in an overlap; agree: share of them that are equal; bits: positions of the seed filter.
 
-    An item of fewer tokens than `least` is matched whole if it has at least `shortest` tokens, and never below.
+    An item of fewer tokens than `least` is matched from its first to its last token, of which the share `agree` is
+    equal, if it has at least `shortest` tokens, and never below.
     """
 
     least: int = 16
@@ -79,20 +82,16 @@ def token_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seed_hashes(tokens: np.ndarray, mask: int) -> np.ndarray:
-    """One hash for every place where the mask fits; it takes no notice of the ignored positions."""
-    places = [i for i, c in enumerate(MASKS[mask]) if c == "1"]
-    return _mixed_sum(tokens, places, mask)
-
+    """One hash for every place where the mask fits; it takes no notice of the ignored positions.
 
-def whole_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
-    """One hash for every run of `length` tokens."""
-    return _mixed_sum(tokens, list(range(length)), 100 + length)
+    The masks for short items are numbered on from those for long ones.
+    """
+    places = [i for i, c in enumerate(_EVERY[mask]) if c == "1"]
+    return _mixed_sum(tokens, places, mask)
 
 
 def _mixed_sum(tokens: np.ndarray, places: list[int], salt: int) -> np.ndarray:
     count = len(tokens) - places[-1]
-    if places[-1] < SPAN - 1 and salt < 100:
-        count = len(tokens) - SPAN + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
     total = np.full(count, np.uint64((salt + 1) * int(_MIX) & (1 << 64) - 1))
@@ -104,8 +103,11 @@ def _mixed_sum(tokens: np.ndarray, places: list[int], salt: int) -> np.ndarray:
 
 
 def _seeds_of(tokens: np.ndarray, settings: Settings) -> list[tuple[int, np.ndarray]]:
-    """(kind, hash at every place): kinds under 100 are masks, 100 + n are whole items of n tokens."""
-    return [(m, seed_hashes(tokens, m)) for m in range(len(MASKS))]
+    """(mask, hash at every place) of an item, by the masks for its length."""
+    if len(tokens) < settings.shortest:
+        return []
+    masks = range(len(MASKS)) if len(tokens) >= settings.least else range(len(MASKS), len(_EVERY))
+    return [(m, seed_hashes(tokens, m)) for m in masks]
 
 
 def benchmark_seeds(items: DataFrame, settings: Settings, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -119,12 +121,7 @@ def benchmark_seeds(items: DataFrame, settings: Settings, key: str = "item_id",
             out: dict[str, list] = {"kind": [], "seed": [], "item": [], "version": [], "at": [], "tokens": []}
             for item, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens, _ = token_hashes(np.frombuffer(value.as_py() or b"", np.uint8))
-                if len(tokens) < settings.least:
-                    fits = len(tokens) >= settings.shortest
-                    found = [(100 + len(tokens), whole_hashes(tokens, len(tokens)))] if fits else []
-                else:
-                    found = _seeds_of(tokens, settings)
-                for kind, seeds in found:
+                for kind, seeds in _seeds_of(tokens, settings):
                     for at, seed in enumerate(seeds.view(np.int64).tolist()):
                         out["kind"].append(kind)
                         out["seed"].append(seed)
@@ -157,6 +154,8 @@ def seed_filter(seeds: DataFrame, bits: int) -> bytes:
     return filled.tobytes()
 
 
+_LONGEST = max(map(len, _EVERY))
+
 # Bytes of texts hashed at once; a longer text is hashed alone.
 _CHUNK = 1 << 20
 
@@ -197,8 +196,8 @@ def _regions(keys: list, parts: list[bytes], bitset: np.ndarray, kinds: list[int
     last = np.searchsorted(owner, np.arange(len(parts)), side="right")
     hits: list[tuple[int, int, int]] = []
     for kind in kinds:
-        length = SPAN if kind < 100 else kind - 100
-        seeds = seed_hashes(tokens, kind) if kind < 100 else whole_hashes(tokens, length)
+        length = len(_EVERY[kind])
+        seeds = seed_hashes(tokens, kind)
         left = np.flatnonzero(owner[: len(seeds)] == owner[length - 1 : length - 1 + len(seeds)]) if len(seeds) else seeds
         for shift in PROBES:
             bit = seeds[left] >> np.uint64(shift) & np.uint64(len(bitset) * 8 - 1)
@@ -214,7 +213,7 @@ def _regions(keys: list, parts: list[bytes], bitset: np.ndarray, kinds: list[int
         end = at + 1
         while end < len(hits) and owner[hits[end][0]] == row and hits[end][0] - hits[end - 1][0] <= context:
             end += 1
-        high = min(last[row], hits[end - 1][0] + SPAN + context)
+        high = min(last[row], hits[end - 1][0] + _LONGEST + context)
         out["doc"].append(keys[row])
         out["start"].append(int(low - first[row]))
         out["tokens"].append(tokens[low:high].tobytes())
@@ -233,28 +232,36 @@ CONTEXT = 48
 def overlap(doc: np.ndarray, item: np.ndarray, settings: Settings) -> tuple[int, int, int]:
     """First, end and equal tokens of the longest stretch of two aligned token runs in which enough agree.
 
-    Equal tokens count 1 - agree, others -agree: a stretch with a sum of zero or more agrees in that share.
+    Tokens that differ at its ends are trimmed.
     """
     same = doc == item
+    i, j = _longest(same, settings)
+    while i < j and not same[i]:
+        i += 1
+    while j > i and not same[j - 1]:
+        j -= 1
+    return i, j, int(same[i:j].sum())
+
+
+def _longest(same: np.ndarray, settings: Settings) -> tuple[int, int]:
+    """First and end of the longest stretch in which enough agree.
+
+    Equal tokens count 1 - agree, others -agree: a stretch with a sum of zero or more agrees in that share.
+    """
     sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - settings.agree, -settings.agree))])
-    # The longest i < j with sums[i] <= sums[j], that starts and ends with an equal token.
+    # The longest i < j with sums[i] <= sums[j].
     low = np.minimum.accumulate(sums)
     high = np.maximum.accumulate(sums[::-1])[::-1]
-    best, i, j = (0, 0, 0), 0, 0
+    best, i, j = (0, 0), 0, 0
     n = len(sums)
     while j < n and i < n:
         if low[i] <= high[j] + 1e-9:
             if j - i > best[1] - best[0]:
-                best = (i, j, 0)
+                best = (i, j)
             j += 1
         else:
             i += 1
-    i, j, _ = best
-    while i < j and not same[i]:
-        i += 1
-    while j > i and not same[j - 1]:
-        j -= 1
-    return i, j, int(same[i:j].sum())
+    return best
 
 
 def _verify(rows, settings: Settings):
@@ -267,9 +274,10 @@ def _verify(rows, settings: Settings):
             theirs, ours = np.frombuffer(known, np.uint64), np.frombuffer(around, np.uint64)
             # The item's token 0 lies at token `shift` of the text.
             low, high = max(shift, start), min(shift + len(theirs), start + len(ours))
-            first, end, equal = overlap(ours[low - start : high - start], theirs[low - shift : high - shift], settings)
-            whole = len(theirs) < settings.least
-            if end - first >= min(settings.least, len(theirs)) and (not whole or equal == len(theirs)):
+            own, its = ours[low - start : high - start], theirs[low - shift : high - shift]
+            first, end, equal = overlap(own, its, settings)
+            i, j = (first, end) if len(theirs) < settings.least else _longest(own == its, settings)
+            if j - i >= min(settings.least, len(theirs)):
                 for name, value in zip(out, (doc, item, hits, low + first, low + end, equal), strict=True):
                     out[name].append(value)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -281,8 +289,8 @@ def contaminated(
 ) -> DataFrame:
     """`doc, item, n_hits, first, end, equal`: texts that hold a passage of a benchmark item, a row for each pair.
 
-    A pair needs a stretch of at least `least` tokens (or the whole item, if shorter) on one diagonal in which the
-    share `agree` of tokens is equal.  `first` and `end` bound its verified stretches in the text, in tokens; `equal`
+    A pair needs a stretch of at least `least` tokens (or a shorter item from its first to its last token) on one
+    diagonal in which the share `agree` of tokens is equal.  `first` and `end` bound its verified stretches in the text, in tokens; `equal`
     is the most equal tokens in one of them.  Null or empty texts and items have no tokens; repeated rows count
     as one.  Texts are only looked at where a seed passes a filter of fixed size; the seeds there are joined with
     those of the items, and what meets on one diagonal is compared token by token.
@@ -290,7 +298,7 @@ def contaminated(
     seeds = benchmark_seeds(items, settings, item_key).dropDuplicates(["kind", "seed", "item", "version", "at"])
     seeds = stored(seeds, "seeds")
     passing = seed_filter(seeds, settings.bits)
-    kinds = sorted(r[0] for r in seeds.select("kind").distinct().collect())  # masks, and lengths under `least`
+    kinds = sorted(r[0] for r in seeds.select("kind").distinct().collect())  # of the masks
     regions = training_regions(docs, passing, kinds, CONTEXT, key, "text")
     regions = stored(regions.withColumn("region", F.monotonically_increasing_id()), "regions")
     hits = regions.select("region", F.explode(F.arrays_zip("kinds", "seeds", "ats")).alias("h")).select(

@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -89,3 +90,42 @@ def test_whole_query_finds_every_verbatim_item_and_no_clean_text(spark):
         grams = {tuple(wanted[i][k : k + 3]) for k in range(len(wanted[i]) - 2)}
         own = texts[d].split()
         assert sum(tuple(own[k : k + 3]) in grams for k in range(len(own) - 2)) >= 5
+
+
+def missed(masks, length, places):
+    """Choices of a fifth of `length` tokens, among `places`, that leave no room for a mask."""
+    changed = np.array(list(combinations(places, length // 5)), np.int64)
+    left = (np.int64(1) << changed).sum(1)
+    for mask in masks:
+        bits = sum(1 << i for i, c in enumerate(mask) if c == "1")
+        for at in range(length - len(mask) + 1):
+            left = left[left & np.int64(bits << at) != 0]
+    return len(left)
+
+
+# With as many substitutions, a longer stretch has all the room that a shorter one has; one of 32 or more has a half of 16.
+@pytest.mark.parametrize("length", [16, 20, 25, 30])
+def test_a_mask_fits_wherever_a_fifth_is_substituted(length):
+    assert missed(decontam.MASKS, length, range(length)) == 0
+
+
+@pytest.mark.parametrize("length", range(8, 16))
+def test_a_mask_fits_in_a_short_item_wherever_a_fifth_is_substituted(length):
+    assert missed(decontam.SHORT_MASKS, length, range(1, length - 1)) == 0
+
+
+def test_substituted_passages(spark):
+    rng = random.Random(8)
+    sizes = [16] * 60 + [20] * 60 + [15] * 60 + [8] * 20
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(n))) for i, n in enumerate(sizes)]
+    docs = []
+    for i, item in items:
+        part = item.split()
+        inner = range(len(part)) if len(part) >= 16 else range(1, len(part) - 1)
+        for place in rng.sample(inner, len(part) // 5):
+            part[place] = "other"
+        docs.append((i, " ".join(["before", *part, "after"])))
+    docs.append((1000, " ".join([*items[0][1].split()[:12], "after"])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = decontam.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc"], r["item"]) for r in found} == {(i, i) for i, _ in items}
