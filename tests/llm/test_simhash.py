@@ -82,3 +82,22 @@ def test_majority_of_very_many_shingles():
     found = simhash._simhash(pa.array([words.encode(), b"a b", b""]), 4)
     assert found.tolist() == [naive(words), naive("a b"), 0]
     assert found.dtype == np.uint64
+
+
+def test_copies_among_many_texts_of_one_fingerprint(spark):
+    rng = random.Random(7)
+    line = " ".join(f"line{i}" for i in range(11))
+    texts = [[f"w{rng.getrandbits(40)}" for _ in range(900)] for _ in range(40)]
+    texts.append([w if i % 300 else "other" for i, w in enumerate(texts[-1])])
+    rows = [(i, " ".join([*[line] * 1000, *own]), 0) for i, own in enumerate(texts)]
+    assert len({simhash._simhash([_Text(t)], simhash.SKETCH_SHINGLE)[0] for _, t, _ in rows}) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()} == set(range(40))
+
+
+class _Text:
+    def __init__(self, text):
+        self.text = text.encode()
+
+    def as_py(self):
+        return self.text
