@@ -101,3 +101,29 @@ class _Text:
 
     def as_py(self):
         return self.text
+
+
+def barely_similar(rng, count):
+    """Pairs of texts with a five-word similarity of 0.80 to 0.85, by scattered substitutions."""
+    pairs = []
+    while len(pairs) < count:
+        own = [f"w{rng.getrandbits(40)}" for _ in range(rng.choice([60, 100, 200, 300]))]
+        copy = list(own)
+        for at in rng.sample(range(len(own)), max(1, len(own) * rng.randint(15, 30) // 1000)):
+            copy[at] = f"x{rng.getrandbits(40)}"
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (own, copy))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            pairs.append((" ".join(own), " ".join(copy)))
+    return pairs
+
+
+def test_barely_similar_pairs_are_all_found(spark):
+    pairs = barely_similar(random.Random(11), 400)
+    prints = [simhash._simhash([_Text(a), _Text(b)], simhash.SKETCH_SHINGLE) for a, b in pairs]
+    far = sum(int(np.bitwise_count(x ^ y)) > simhash.SKETCH_RADIUS for x, y in prints)
+    assert far > 20  # the fingerprints alone miss these
+    rows = [(2 * i + k, pair[k], 0) for i, pair in enumerate(pairs) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()}
+    print("far", far, "kept", len(kept))
+    assert kept == set(range(0, 800, 2))
