@@ -18,8 +18,8 @@ from lintlake.llm.common import by_batch, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 NEVER_SHOWN = frozenset(
-    "area audio base canvas col colgroup datalist embed head iframe input link meta noembed noframes object param script "
-    "select source style svg template title track video".split()
+    "area audio base canvas col colgroup datalist embed head iframe input link meta noembed noframes param script "
+    "source style svg template title track video".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -48,11 +48,15 @@ SCOPE = frozenset(["table", "td", "th", "caption", "html", "object", "template"]
 
 _MARKUP = re.compile(r"<(?=[a-zA-Z!?/])")
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|</[^a-zA-Z][^>]*+>", re.DOTALL
-)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)"
+    # A quote opens a value right after the equals sign only; elsewhere it is a character like others.
+    r"((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>))|(?!\s*+=)))*+)>"
+    r"|</>|</[^a-zA-Z>][^>]*+>", re.DOTALL
+)
+_ATTRIBUTE = re.compile(r"(=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*+))?)?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_RULE = re.compile(r"([^{};]*)([{};])")
+_MEDIA = re.compile(r"(?:only\s+)?(?:screen|all)|not\s+(?:print|speech)")
 _SIMPLE = re.compile(r"(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)*")
 
 
@@ -85,6 +89,8 @@ def tree(source: str) -> tuple[Node, list[str]]:
 
     def text(piece: str) -> None:
         if piece:
+            if stack[-1].tag == "head" and piece.strip():
+                cut(len(stack) - 1)
             stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
 
     def push(tag: str, attributes: dict[str, str]) -> None:
@@ -163,20 +169,47 @@ def tree(source: str) -> tuple[Node, list[str]]:
                 styles.append(inner)
             elif tag in ("textarea", "title"):
                 text(inner)
+            elif tag == "xmp" and inner:
+                stack[-1].children.append(inner)
             at = stop.start() if stop else end
         elif m.group(3).endswith("/") and tag in ("path", "rect", "circle", "use", "line"):
             cut(len(stack) - 1)
     return root, styles
 
 
+def screen_rules(sheet: str) -> list[tuple[str, str]]:
+    """Selectors and declarations of the rules for any screen; what depends on more than that is left out."""
+    found: list[tuple[str, str]] = []
+    opened: list[tuple[str, bool]] = []  # what stands before each open brace, and whether it applies
+    body = ""
+    for m in _RULE.finditer(sheet):
+        piece, mark = m.group(1).strip(), m.group(2)
+        if mark == "{":
+            name, _, rest = piece.partition(" ") if piece.startswith("@") else ("", "", "")
+            applies = not opened or opened[-1][1]
+            if name.startswith("@"):
+                media = name.lower() == "@media" and any(_MEDIA.fullmatch(q.strip().lower()) for q in rest.split(","))
+                applies &= media or name.lower() == "@layer"
+            opened.append((piece, applies))
+            body = ""
+        elif opened:
+            body += piece + ";"
+            if mark == "}":
+                head, applies = opened.pop()
+                if applies and not head.startswith("@"):
+                    found.append((head, body))
+                body = ""
+    return found
+
+
 def hidden_selectors(styles: list[str]) -> list[tuple[str, frozenset[str], frozenset[str]]]:
     """Tag, classes and ids of the simple selectors that a style sheet hides."""
     found = []
     for sheet in styles:
-        for m in _RULE.finditer(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)):
-            if not _HIDING.search(m.group(2)):
+        for selectors, body in screen_rules(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)):
+            if not _HIDING.search(body):
                 continue
-            for selector in (s.strip() for s in m.group(1).split(",")):
+            for selector in (s.strip() for s in selectors.split(",")):
                 if selector and _SIMPLE.fullmatch(selector):
                     tag = re.match(r"[a-zA-Z][\w-]*", selector)
                     found.append((

@@ -76,3 +76,20 @@ def test_whole_query_keeps_every_visible_word(spark):
         expected = html.unescape(re.sub(r"<(?:/?(?:b|a|i|span)\b[^>]*)>", "", source).replace("<", " <"))
         expected = re.sub(r"<[^>]*>", " ", expected).split()
         assert [w for w in row["text"].split() if w != "-"] == [w for w in expected if w != "-"]
+
+
+@pytest.mark.parametrize(
+    ("source", "expected"),
+    [
+        ("<a href=/o'brien>O'Brien</a> x", "O'Brien x"), ("<p class=a'>b</p>c", "b\n\nc"), ('<p title = "a>b" x\'y>c', "c"),
+        ("a</>words<b>c</b>", "awordsc"), ("a<!-->b<!-- x --!>c", "abc"), ("<a title=\"b>c", ""),
+        ("<style>@media print{.x{display:none}}</style><p class=x>a", "a"),
+        ("<style>@media print{.y{color:red}} .x{display:none}</style><p class=x>a</p>b", "b"),
+        ("<style>@import 'z';@media screen, print{.x{color:red;display:none}}</style><p class=x>a</p>b", "b"),
+        ("<style>@media (max-width: 600px){.x{display:none}}</style><p class=x>a", "a"),
+        ("a<xmp><b>&amp;</xmp>c", "a<b>&amp;c"), ("<head>a<title>t</title></head>b", "ab"),
+        ("a <select><option>b<option>c</select>", "a\nb\nc"), ("a <object data=x>b</object>", "a b"),
+    ],
+)
+def test_what_a_screen_shows(source, expected):
+    assert render(source) == expected
