@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lintlake.llm import quality, ranked, reputation
+from lintlake.llm.alignment import op11_token_alignment
 from lintlake.llm.decontam import op10_benchmark_overlaps
 from lintlake.llm.langid import op1_language_id
 from lintlake.llm.lm import op3_lm_scores
@@ -22,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id, op2_packed_sequences, op3_lm_scores, quality.op4_quality_rules, op5_secret_scan, op6_html_text,
         op7_suffix_dedup, op8_simhash_components, reputation.op9_url_reputation, op10_benchmark_overlaps,
-        op12_token_counts, ranked.op13_ranked_search,
+        op11_token_alignment, op12_token_counts, ranked.op13_ranked_search,
     )
 }
 
