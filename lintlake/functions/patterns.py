@@ -119,6 +119,7 @@ def required_literals(pattern: str, folded: bool = False) -> list[str]:
 # The letters that match an ASCII letter when case is ignored and that `lower`
 # does not turn into it.
 _ODD_CASES = {"s": "\u017f", "i": "\u0131\u0130", "k": "\u212a"}
+ODD_CASES = "".join(_ODD_CASES.values())
 
 
 def contains_sql(code: str, pattern: str, folded: str | None = None) -> str | None:

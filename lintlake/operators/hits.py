@@ -9,8 +9,9 @@ messages, advice and scores are attached afterwards, from small tables.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,7 @@ HITS = (
     "column: INT, text: STRING, amount: INT, limit: INT>>"
 )
 NO_HITS = f"CAST(array() AS {HITS})"
+_FIELDS = "line rule_id analyzer seq column text amount limit".split()
 
 RULE_INFO = T.StructType(
     [
@@ -97,7 +99,6 @@ def explode_hits(files: DataFrame, hits: str, *keep: str) -> DataFrame:
     The text is split into lines only for files with hits.  The array of hits holds no snippets: each is cut from
     the lines in its own output row, so a long line with many hits is in memory once.
     """
-    fields = "line rule_id analyzer seq column text amount limit".split()
     found = files.select("file", "code", *keep, F.expr(hits).alias("_found"))
     lines = F.expr("IF(size(_found) = 0, CAST(array() AS ARRAY<STRING>), split(code, chr(10), -1))")
     lined = found.select("file", *keep, "_found", lines.alias("_lines"))
@@ -107,7 +108,26 @@ def explode_hits(files: DataFrame, hits: str, *keep: str) -> DataFrame:
     one_by_one = F.explode_outer(F.expr("transform(_found, h -> h)"))
     rows = lined.select("file", *keep, "_lines", one_by_one.alias("_hit")).filter("_hit IS NOT NULL")
     snippet = F.expr(_snippet_sql("_lines", "_hit")).alias("snippet")
-    return rows.select("file", *keep, *[F.col(f"_hit.{f}") for f in fields], snippet)
+    return rows.select("file", *keep, *[F.col(f"_hit.{f}") for f in _FIELDS], snippet)
+
+
+def union_hits(spark: SparkSession, tables: list[DataFrame], *keep: T.StructField) -> DataFrame:
+    """All exploded hits; without a table an empty one."""
+    if tables:
+        return reduce(DataFrame.unionByName, tables)
+    fields = [T.StructField(n, T.StringType()) for n in ("file",)] + list(keep)
+    hit = spark.range(0).select(F.expr(f"get({NO_HITS}, 0)").alias("h"))
+    empty = hit.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields], "h.*", F.lit("").alias("snippet"))
+    return empty.select("file", *[f.name for f in keep], *_FIELDS, "snippet")
+
+
+def dedup_hits(hits: DataFrame) -> DataFrame:
+    """One hit per (file, line, rule_id): the first by analyzer and match order.
+
+    Hits are slim: messages, advice and scores are attached to what is left.
+    """
+    first = F.row_number().over(Window.partitionBy("file", "line", "rule_id").orderBy("analyzer", "seq", "column"))
+    return hits.withColumn("_rank", first).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def timestamp(now: datetime | str | Column | None) -> Column:

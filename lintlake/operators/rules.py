@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lintlake.builtin.rules import RULES as BUILTIN
 from lintlake.functions.patterns import compiles, java_pattern, matches_empty, translatable
 from lintlake.schema import RULES, SEVERITIES
 
@@ -23,15 +24,47 @@ def _problem(pattern: str | None) -> str | None:
     return "pattern can match nothing" if matches_empty(pattern) else None
 
 
-# Rule tables are small; these run on one row per rule, never per file.
-@F.pandas_udf(T.StringType())
-def pattern_problem(patterns: pd.Series) -> pd.Series:
-    return patterns.map(_problem)
+# Rule tables are small; this runs on one row per rule, never per file.
+@F.pandas_udf(T.StructType([T.StructField("problem", T.StringType()), T.StructField("java", T.StringType())]))
+def _translated(patterns: pd.Series) -> pd.DataFrame:
+    problems = patterns.map(_problem)
+    usable = [None if problem or pattern is None else java_pattern(pattern) for problem, pattern in zip(problems, patterns)]
+    return pd.DataFrame({"problem": problems.astype(object), "java": usable}, dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def to_java(patterns: pd.Series) -> pd.Series:
-    return patterns.map(java_pattern)
+def with_java(rules: DataFrame, problem: str = "problem") -> DataFrame:
+    """The rules with their pattern as the JVM takes it in `java`, or null and what is wrong with it.
+
+    The JVM itself compiles every pattern: it lacks a few constructs that compile in Python.
+    """
+    judged = rules.withColumn("_java", _translated("pattern"))
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.coalesce("_java.java", F.lit("")))
+    refused = F.col("_java.java").isNotNull() & compiled.isNull()
+    return judged.withColumns(
+        {
+            "java": F.when(~refused, F.col("_java.java")),
+            problem: F.coalesce("_java.problem", F.when(refused, F.lit("pattern has a construct without a counterpart"))),
+        }
+    ).drop("_java")
+
+
+def with_defaults(rule: dict) -> dict:
+    """A rule as given on the driver, with the fields a table would hold."""
+    full = {f.name: rule.get(f.name) for f in RULES.fields}
+    for name, fold in (("severity", str.upper), ("language", str.lower)):
+        if full[name] is not None:
+            full[name] = fold(full[name])
+    if "message_template" not in rule:
+        full["message_template"] = full["description"]
+    full["references"] = full["references"] or []
+    full["tags"] = full["tags"] or []
+    full["enabled"] = True if full["enabled"] is None else full["enabled"]
+    full["category"] = full["category"] or "security"
+    return full
+
+
+def builtin_rule_rows() -> list[dict]:
+    return list(map(with_defaults, BUILTIN))
 
 
 def normalise_rules(rules: DataFrame) -> DataFrame:
@@ -67,11 +100,11 @@ def validate_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     for name in reversed(_REQUIRED):
         missing = F.when(F.col(name).isNull(), F.lit(f"missing {name}")).otherwise(missing)
     bad_severity = F.when(~F.col("severity").isin(*SEVERITIES), F.lit("unknown severity"))
-    own = F.coalesce(missing, bad_severity, pattern_problem("pattern"))
+    own = F.coalesce(missing, bad_severity, "_problem")
     rank = F.row_number().over(
         Window.partitionBy("id").orderBy(F.col("reason").isNotNull(), "name", "pattern")
     )
-    judged = rules.withColumn("reason", own).withColumn("_rank", rank)
+    judged = with_java(rules, "_problem").withColumn("reason", own).drop("_problem", "java").withColumn("_rank", rank)
     reason = F.coalesce("reason", F.when(F.col("_rank") > 1, F.lit("duplicate id")))
     judged = judged.withColumn("reason", reason).drop("_rank")
     ok = judged.filter(F.col("reason").isNull()).drop("reason")

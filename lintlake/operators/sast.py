@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lintlake.builtin.tables import CWE_REMEDIATION, DEFAULT_REMEDIATION
@@ -19,14 +19,12 @@ from lintlake.operators.hits import (
     first_per_line_sql,
     hit_sql,
     info_table,
+    union_hits,
 )
-from lintlake.operators.rules import to_java
+from lintlake.operators.rule_index import candidates, matching_sql, rule_blocks
+from lintlake.operators.rules import builtin_rule_rows
 from lintlake.support import spread
 
-# Up to this many rules become expressions of one projection; larger rule tables
-# are joined to the files by language instead.
-COMPILE_LIMIT = 200
-
 # Name of the column with the text in lower case; patterns that ignore case share it.
 FOLDED = "_folded"
 
@@ -39,26 +37,6 @@ NO_MARKS = f"CAST(array() AS {MARKS})"
 TODO = "quality_todo"
 
 
-def selected_rules(rules: DataFrame) -> tuple[list[Row] | None, DataFrame]:
-    """Enabled rules as driver rows, or None when there are too many to compile.
-
-    A pattern that the JVM does not take after all is left out: it must not end a scan.
-    """
-    enabled = rules.filter("enabled")
-    rows = enabled.limit(COMPILE_LIMIT + 1).collect()
-    if len(rows) > COMPILE_LIMIT:
-        return None, enabled
-    return [r for r in rows if jvm_compiles(rules.sparkSession, r["pattern"])], enabled
-
-
-def jvm_compiles(spark: SparkSession, pattern: str) -> bool:
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
-    except Exception:  # the gateway wraps what the JVM throws
-        return False
-    return True
-
-
 def with_folded(texts: DataFrame) -> DataFrame:
     return texts.withColumn(FOLDED, F.lower("code"))
 
@@ -164,32 +142,35 @@ def rule_info_rows(rules: list) -> list[dict]:
     return rows
 
 
-def joined_hits(files: DataFrame, rules: DataFrame, dedup_rows: bool = True, *keep: str) -> DataFrame:
-    """Exploded hits of a rule table of any size: files joined to rules by language.
+def indexed_hits(files: DataFrame, rules: list[Row], dedup_rows: bool = True, *keep: str) -> DataFrame:
+    """Exploded hits of one block of a rule table; `files` has (file, code, language)."""
+    tried = files.withColumn("_candidates", candidates(rules, SAST, files)("code", "language"))
+    marked = tried.select("file", "code", *keep, F.expr(matching_sql("code", "_candidates")).alias("_marks"))
+    hits = marked_hits_sql("code", "_marks")
+    return explode_hits(marked, first_per_line_sql(hits) if dedup_rows else hits, *keep)
 
-    No broadcast is asked for: Spark broadcasts the rules when they are small
-    and otherwise sorts and merges, splitting a hot language at run time.
-    """
-    patterns = rules.select("language", F.col("id").alias("_rule"), to_java("pattern").alias("_pattern"))
-    texts = spread(files.select("file", "code", F.lower("language").alias("language"), *keep))
-    matched = texts.join(patterns, "language").filter("code RLIKE _pattern")
-    hit = hit_sql("m.line", "_rule", SAST, "i", "m.column", "m.text")
-    found = f"transform({locate_sql('code', '_pattern')}, (m, i) -> {hit})"
-    return explode_hits(matched, first_per_line_sql(found) if dedup_rows else found, *keep)
+
+def compiled_hits(files: DataFrame, rules: list, prefilter: bool = True) -> DataFrame:
+    """Exploded hits of a few rules on the driver, all of them tested by expressions of one projection."""
+    marks = rule_marks_sql("code", "language", rules, prefilter)
+    marked = with_folded(files).select("file", "code", F.expr(marks).alias("_marks"))
+    return explode_hits(marked, marked_hits_sql("code", "_marks"))
 
 
 def sast_findings(
     files: DataFrame,
-    rules: DataFrame,
+    rules: DataFrame | None = None,
     now: datetime | str | None = None,
     prefilter: bool = True,
 ) -> DataFrame:
-    """One finding per match of every enabled rule of the file's language."""
-    rows, enabled = selected_rules(rules)
-    if rows is None:
-        return findings_of(joined_hits(files, enabled, dedup_rows=False), rule_info(enabled), now)
-    marks = rule_marks_sql("code", "language", rows, prefilter)
-    texts = with_folded(spread(files.select("file", "code", F.lower("language").alias("language"))))
-    marked = texts.select("file", "code", F.expr(marks).alias("_marks"))
-    hits = explode_hits(marked, marked_hits_sql("code", "_marks"))
-    return findings_of(hits, info_table(files.sparkSession, rule_info_rows(rows)), now)
+    """One finding per match of every enabled rule of the file's language.
+
+    The built-in rules, of which there is a fixed number, are compiled into one projection; those of a table are
+    looked up in an index, block by block.
+    """
+    texts = spread(files.select("file", "code", F.lower("language").alias("language")))
+    if rules is None:
+        own = builtin_rule_rows()
+        return findings_of(compiled_hits(texts, own, prefilter), info_table(files.sparkSession, rule_info_rows(own)), now)
+    tables = [indexed_hits(texts, block, False) for block in rule_blocks(rules)]
+    return findings_of(union_hits(files.sparkSession, tables), rule_info(rules.filter("enabled")), now)

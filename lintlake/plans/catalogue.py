@@ -23,14 +23,13 @@ from lintlake.operators.duplicates import duplicate_blocks
 from lintlake.operators.sast import sast_findings
 from lintlake.operators.secrets import secrets
 from lintlake.plans.scan import scan
-from lintlake.plans.views import corpus, manifest_files, part_rules, table
+from lintlake.plans.views import corpus, manifest_files, many_part_rules, part_rules, table
 from lintlake.schema import SEVERITIES
 from lintlake.sources import sinks
 from lintlake.sources.files import as_files, decode_text, read_files
 from lintlake.sources.tables import (
     builtin_advisories,
     builtin_cwe_remediation,
-    builtin_rules,
     load_rules,
 )
 from lintlake.streaming.incremental import run_available, scan_stream
@@ -71,7 +70,7 @@ def _places(findings: DataFrame, *more: str) -> DataFrame:
 
 
 def _sast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sast_findings(corpus(spark, sf_dir), builtin_rules(spark), NOW)
+    return sast_findings(corpus(spark, sf_dir), None, NOW)
 
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,6 +316,13 @@ def own_rules(spark, sf_dir):
     return _places(sast_findings(_documents(spark, sf_dir), load_rules(spark, pack), NOW), "message")
 
 
+@query
+def many_rules(spark, sf_dir):
+    """A rule pack with a rule for every part, thousands of them, on the documents."""
+    found = sast_findings(_documents(spark, sf_dir), load_rules(spark, many_part_rules(spark, sf_dir)), NOW)
+    return _places(found, "severity")
+
+
 @query
 def enrich_remediation(spark, sf_dir):
     rules = part_rules(spark, sf_dir).select(

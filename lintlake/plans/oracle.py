@@ -18,7 +18,7 @@ from lintlake.builtin.tables import (
 )
 from lintlake.functions.severity import CVSS, RANK
 from lintlake.plans.catalogue import CREDENTIAL, LINK
-from lintlake.plans.views import CORPUS, PACKAGE_JSON, PART_RULES, REQUIREMENTS, as_sql
+from lintlake.plans.views import CORPUS, MANY_RULES, PACKAGE_JSON, PART_RULES, REQUIREMENTS, as_sql
 
 _NL = "chr(10)"
 
@@ -379,6 +379,9 @@ def oracle_sql() -> dict[str, str]:
         "own_rules": _with(DOCS, *_places("""SELECT d.file, d.code, concat('passage-', CAST(b.item_id AS VARCHAR)) AS rule_id,
             concat('(?ms)', b.text) AS pat FROM docs d, benchmark b"""))
         + f"SELECT {_PLACES}, 'A passage of the benchmark' AS message FROM m",
+        "many_rules": _with(DOCS, f"many AS ({as_sql(MANY_RULES, 'part')})", *_places("""SELECT d.file, d.code, r.id AS rule_id, r.severity,
+            concat('(?ms)', r.pattern) AS pat FROM docs d JOIN many r ON contains(lower(d.code), r.word)"""))
+        + f"SELECT {_PLACES}, severity FROM m",
         "enrich_remediation": _with(_RULE_TABLE, _values("texts", "cwe, advice", cwe_rows)) + f"""SELECT name,
             coalesce(nullif(concat_ws('|', CASE WHEN enabled THEN nullif(description, '') END, advice), ''),
                 {_q(DEFAULT_REMEDIATION)}) AS remediations

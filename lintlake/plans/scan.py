@@ -20,29 +20,32 @@ from lintlake.operators.dependencies import manifests as manifests_of
 from lintlake.operators.files import exclude_paths, limit_size, supported_only
 from lintlake.operators.findings import dedup, ordered, union_findings
 from lintlake.operators.hits import (
+    SAST,
     canonical,
     concat_sql,
+    dedup_hits,
     explode_hits,
     findings_of,
     first_per_line_sql,
     info_table,
+    union_hits,
 )
 from lintlake.operators.quality import quality_hits_sql, quality_info_rows, quality_marks_sql
 from lintlake.operators.rollups import run_metrics
-from lintlake.operators.rules import filter_rules
+from lintlake.operators.rule_index import candidates, matching_sql, rule_blocks
+from lintlake.operators.rules import builtin_rule_rows, filter_rules
 from lintlake.operators.sast import (
-    joined_hits,
+    indexed_hits,
     marked_hits_sql,
     rule_info,
     rule_info_rows,
     rule_marks_sql,
-    selected_rules,
     with_folded,
 )
 from lintlake.operators.secrets import secret_info_rows, secret_marks_sql, secret_rows
 from lintlake.schema import SEVERITIES
 from lintlake.sources.files import read_files
-from lintlake.sources.tables import builtin_advisories, builtin_rule_rows
+from lintlake.sources.tables import builtin_advisories
 from lintlake.support import spread
 
 
@@ -93,28 +96,30 @@ def file_findings(
     options: Options = Options(),
     secret_patterns: DataFrame | None = None,
     keep: Iterable[str] = (),
+    unique: bool = False,
 ) -> DataFrame:
     """Findings of all per-file detectors, one per (row, line, rule).
 
-    All detectors run in one projection, so every file is read once.  Rules
-    below the wanted severity are not run at all; a rule has one severity, so
+    All detectors run in one projection, so every file is read once; a rule table of several blocks takes a further
+    pass for each.  Rules below the wanted severity are not run at all; a rule has one severity, so
     this equals filtering their findings.  Without `rules` the built-in ones run.  `keep` names further columns of the
-    files to carry along.
+    files to carry along.  `unique` leaves one finding per (file, line, rule) over all rows.
     """
     spark = files.sparkSession
     wanted = options.severities()
     needed = files.select("file", "code", F.lower("language").alias("language"), *keep)
     usable = spread(limit_size(supported_only(needed), options.max_mb))
-    if rules is None:
-        rows, enabled = [r for r in builtin_rule_rows() if r["severity"] in wanted], None
-    else:
-        rows, enabled = selected_rules(filter_rules(rules, severities=wanted))
+    blocks: list[list] = []
     marks: list[str] = []
     parts: list[str] = []
     info: list[dict] = []
-    if rows:
+    if rules is None:
+        rows = [r for r in builtin_rule_rows() if r["severity"] in wanted]
         marks.append(rule_marks_sql("code", "language", rows))
         info += rule_info_rows(rows)
+    else:
+        rules = filter_rules(rules, severities=wanted)
+        blocks = list(rule_blocks(rules))
     if options.secrets:
         patterns = [r for r in secret_rows(secret_patterns) if r["severity"] in wanted]
         marks.append(secret_marks_sql("code", patterns))
@@ -123,20 +128,25 @@ def file_findings(
         marks.append(quality_marks_sql("code", wanted))
         parts += quality_hits_sql("code", "language", wanted)
         info += [r for r in quality_info_rows() if r["severity"] in wanted]
+    texts = usable
+    if blocks:
+        texts = texts.withColumn("_candidates", candidates(blocks[0], SAST, files)("code", "language"))
+        marks.append(matching_sql("code", "_candidates"))
     tables = []
     if marks:
         # The marks are a column of their own: all patterns are tested there, in
         # generated code, and only what occurs reaches the position walk.
-        marked = with_folded(usable).select(
+        marked = with_folded(texts).select(
             "file", "code", "language", *keep, F.expr(f"concat({', '.join(marks)})").alias("_marks")
         )
         every = concat_sql([marked_hits_sql("code", "_marks"), *parts])
-        hits = explode_hits(marked, first_per_line_sql(every), *keep)
-        tables.append(findings_of(hits, info_table(spark, info), options.now, *keep))
-    if rows is None:
-        hits = joined_hits(usable, enabled, True, *keep)
-        tables.append(findings_of(hits, rule_info(enabled), options.now, *keep))
-    return union_findings(*tables)
+        tables.append(explode_hits(marked, first_per_line_sql(every), *keep))
+    tables += [indexed_hits(usable, block, True, *keep) for block in blocks[1:]]
+    hits = union_hits(spark, tables, *[files.schema[name] for name in keep])
+    known = info_table(spark, info)
+    if rules is not None:
+        known = known.unionByName(rule_info(rules))
+    return findings_of(dedup_hits(hits) if unique else hits, known, options.now, *keep)
 
 
 def scan(
@@ -158,10 +168,8 @@ def scan(
     spark = files.sparkSession
     options = Options(**{**options.__dict__, **changes})
     chosen = selected_files(files, options)
-    found = file_findings(chosen, rules, options, secret_patterns)
-    if not options.unique_files:
-        found = dedup(found)
-    elif options.order:
+    found = file_findings(chosen, rules, options, secret_patterns, unique=not options.unique_files)
+    if options.unique_files and options.order:
         # Sorting samples its input first; without a shuffle in between that
         # would scan the texts twice.
         found = found.repartition("file")

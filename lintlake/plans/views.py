@@ -99,6 +99,27 @@ PART_RULES = {
 }
 
 
+# A usable rule for every part: a word of three syllables, chosen by the key, in one of four kinds of patterns.
+_SYLLABLES = "er on th in re ea nd st ha es or nt ed an at is he en ou le".split()
+
+
+def _syllable(place: str) -> str:
+    return f"CASE {place} % {len(_SYLLABLES)} " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SYLLABLES)) + " END"
+
+
+MANY_WORD = f"concat({_syllable('p_partkey')}, {_syllable('p_size')}, {_syllable('CAST(floor(p_partkey / 20.0) AS BIGINT)')})"
+MANY_RULES = {
+    "id": f"concat('many-', {_num('p_partkey')})",
+    "name": "p_name",
+    "description": "p_type",
+    "word": MANY_WORD,
+    "pattern": f"""CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN {MANY_WORD} WHEN 1 THEN concat({MANY_WORD}, '[a-z]+')
+        WHEN 2 THEN concat('(?i)', {MANY_WORD}, 's?') ELSE concat('[A-Z][a-z]*', {MANY_WORD}, '[.]') END""",
+    "severity": "CASE p_size % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END",
+    "language": "'unknown'",
+}
+
+
 def as_sql(columns: dict[str, str], name: str) -> str:
     """The derived table as a query on a given table."""
     return "SELECT " + ", ".join(f"{e} AS {a}" for a, e in columns.items()) + f" FROM {name}"
@@ -123,6 +144,10 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(part, REQUIREMENTS).unionByName(_select(part, PACKAGE_JSON))
 
 
+def many_part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(table(spark, sf_dir, "part"), MANY_RULES).drop("word")
+
+
 def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _select(table(spark, sf_dir, "part"), PART_RULES)
     return raw.selectExpr("*", "split(tag, ' ') AS tags").drop("tag")

@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lintlake.builtin.rules import RULES, SECRET_RULES
+from lintlake.builtin.rules import SECRET_RULES
 from lintlake.builtin.tables import ADVISORIES, CWE_REMEDIATION, LANGUAGE_OF_EXTENSION
-from lintlake.operators.rules import normalise_rules, validate_rules
+from lintlake.operators.rules import builtin_rule_rows, normalise_rules, validate_rules
+from lintlake.operators.rules import with_defaults as _with_defaults
 from lintlake.schema import ADVISORIES as ADVISORY_SCHEMA
 from lintlake.schema import CWE_REMEDIATION as CWE_SCHEMA
 from lintlake.schema import EXTENSIONS as EXTENSION_SCHEMA
@@ -21,25 +22,6 @@ _SECRET_SCHEMA = T.StructType(
 )
 
 
-def _with_defaults(rule: dict) -> dict:
-    """A rule as given on the driver, with the fields a table would hold."""
-    full = {f.name: rule.get(f.name) for f in RULE_SCHEMA.fields}
-    for name, fold in (("severity", str.upper), ("language", str.lower)):
-        if full[name] is not None:
-            full[name] = fold(full[name])
-    if "message_template" not in rule:
-        full["message_template"] = full["description"]
-    full["references"] = full["references"] or []
-    full["tags"] = full["tags"] or []
-    full["enabled"] = True if full["enabled"] is None else full["enabled"]
-    full["category"] = full["category"] or "security"
-    return full
-
-
-def builtin_rule_rows() -> list[dict]:
-    return list(map(_with_defaults, RULES))
-
-
 def builtin_rules(spark: SparkSession) -> DataFrame:
     return small_table(spark, builtin_rule_rows(), RULE_SCHEMA)
 

@@ -1,12 +1,17 @@
 """Rule tables and their application."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lintlake.builtin.rules import RULES
+from lintlake.functions.patterns import java_pattern
+from lintlake.operators import rule_index, sast
 from lintlake.operators import rules as R
-from lintlake.operators import sast
+from lintlake.schema import RULES as RULE_SCHEMA
 from lintlake.sources.tables import builtin_rules, load_rules
+from lintlake.support import small_table
 
 # rule -> (text with a hit, text without).
 EXAMPLES = {
@@ -69,17 +74,66 @@ def test_each_rule_hits_and_misses(spark, make_files):
         assert (f"{rule}/miss", rule) not in got, rule
 
 
-def test_joined_and_compiled_plans_agree(spark, make_files, monkeypatch):
+def test_indexed_and_compiled_rules_agree(spark, make_files, monkeypatch):
     files = _example_files(make_files)
     rules = builtin_rules(spark)
     columns = ["id", "rule_id", "file", "line", "column", "message", "code_snippet", "severity", "cwe", "cvss",
                "remediations", "references", "context"]
     key = lambda r: (r.file, r.rule_id, r.line, r.column)
-    compiled = sorted(sast.sast_findings(files, rules).select(columns).collect(), key=key)
-    plain = sorted(sast.sast_findings(files, rules, prefilter=False).select(columns).collect(), key=key)
-    monkeypatch.setattr(sast, "COMPILE_LIMIT", 5)
-    joined = sorted(sast.sast_findings(files, rules).select(columns).collect(), key=key)
-    assert compiled == joined == plain and len(compiled) >= 39
+    found = lambda *a, **o: sorted(sast.sast_findings(files, *a, **o).select(columns).collect(), key=key)
+    compiled, plain, indexed = found(), found(prefilter=False), found(rules)
+    monkeypatch.setattr(rule_index, "BLOCK", 500)
+    assert len(list(rule_index.rule_blocks(rules))) > 5
+    assert compiled == plain == indexed == found(rules) and len(compiled) >= 39
+
+
+def _rows(*patterns, language="python"):
+    return [(f"r{i}", language, p, java_pattern(p)) for i, p in enumerate(patterns)]
+
+
+def test_candidates_are_all_rules_that_can_match():
+    texts = [
+        "eval(x) os.system(y)", "EVAL(x)", "the K\u212aLMN \u017fecret", "", "abcabd ab", "password = 'x'", "ﬁ ıjk", "x" * 50 + "needle",
+        "aws AWS Aws", "line1\nline2\n", "\u0130jk",
+    ]
+    patterns = [
+        r"eval\(", r"(?i)eval\(", r"(?i)klmn", r"(?i)secret", r"ab[cd]ab", r"(abc|abd) ab", r"\w+ = '", r"needle$", r"(?i)ijk", r"^line2",
+        r"[A-Z]{3}", r"(?i:aws) Aws", r"(?:foo)?bar|baz", r"(?i)(aws|eval)", r"aa?bc",
+    ]
+    index = rule_index.Index(_rows(*patterns) + _rows("eval", language="java"))
+    for text in texts:
+        found = index.candidates(text, "python")
+        matching = [i for i, p in enumerate(patterns) if re.search(p, text, re.M | re.S)]
+        assert set(matching) <= set(found), text
+        assert all(i < len(patterns) for i in found)
+    assert index.candidates("eval", "java") == [len(patterns)]
+    assert index.candidates(None, "python") == index.candidates("eval", None) == []
+    assert index.candidates("zzz", "python") == [4, 10, 14]
+
+
+def test_thousands_of_rules_try_few_candidates(spark, make_files):
+    rules = [dict(id=f"r{i}", name="n", description="d", severity="high", language="python", pattern=f"w{i}x+") for i in range(5000)]
+    files = make_files([(f"{i}.py", "python", f"w{i}x w{i + 1}xx\nw{i}") for i in range(0, 5000, 50)])
+    found = sast.sast_findings(files, load_rules(spark, rules))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "code" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    want = {(f"{i}.py", f"r{j}", 1) for i in range(0, 5000, 50) for j in (i, i + 1)}
+    assert {(r.file, r.rule_id, r.line) for r in found.collect()} == want
+
+
+def test_patterns_that_only_python_takes_are_rejected(spark, make_files):
+    patterns = ["(?#c)a", r"\0x", r"[\b]x", "fine"]
+    rules = [dict(id=p, name="n", description="d", severity="high", language="python", pattern=p) for p in patterns]
+    good, bad = R.validate_rules(R.normalise_rules(builtin_rules(spark).limit(0).unionByName(load_table(spark, rules))))
+    assert [r.id for r in good.collect()] == ["fine"]
+    assert {(r.id, r.reason) for r in bad.collect()} == {(p, "pattern has a construct without a counterpart") for p in patterns[:3]}
+    many = [dict(r, id=f"{r['id']}{i}") for i in range(80) for r in rules]
+    found = sast.sast_findings(make_files([("a.py", "python", "fine a x")]), load_table(spark, many)).collect()
+    assert {r.rule_id for r in found} == {f"fine{i}" for i in range(80)}
+
+
+def load_table(spark, rules):
+    return small_table(spark, map(R.with_defaults, rules), RULE_SCHEMA)
 
 
 def test_findings_carry_rule_data(spark, make_files):
