@@ -26,7 +26,7 @@ from lintlake.plans.scan import scan
 from lintlake.plans.views import corpus, manifest_files, many_part_rules, part_rules, table
 from lintlake.schema import SEVERITIES
 from lintlake.sources import sinks
-from lintlake.sources.files import as_files, decode_text, read_files
+from lintlake.sources.files import as_files, decode_text, read_bytes
 from lintlake.sources.tables import (
     builtin_advisories,
     builtin_cwe_remediation,
@@ -34,6 +34,7 @@ from lintlake.sources.tables import (
 )
 from lintlake.streaming.incremental import run_available, scan_stream
 from lintlake.streaming.lifecycle import lifecycle_stream, merge_lifecycle, merge_sightings
+from lintlake.streaming.tracking import Tracker
 from lintlake.support import checkpoint_root, explode_once, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,8 +205,10 @@ def decoded_text(spark, sf_dir):
 
 @query
 def tree_listing(spark, sf_dir):
-    files = read_files(spark, sf_dir, extensions=[".parquet"], max_mb=1 << 30)
-    return files.select(F.substring_index("file", "/", -1).alias("file"), "size")
+    """The files of the given tables, with a digest of their content."""
+    files = read_bytes(spark, sf_dir, extensions=[".parquet"], max_mb=256)
+    name = F.substring_index("path", "/", -1)
+    return files.select(name.alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
 
 
 def _page_path():
@@ -682,6 +685,32 @@ def _history(merged: DataFrame) -> DataFrame:
     )
 
 
+def _arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The corpus in three batches: files that are new, rewritten, as they were, and removed."""
+    files = corpus(spark, sf_dir).withColumn("removed", F.lit(False))
+    first, second = F.col("doc_id") % 3 != 2, F.col("doc_id") % 5 == 1
+    third, gone = F.col("doc_id") % 5 == 2, F.col("doc_id") % 4 == 3
+    above, below = F.concat(F.lit("x = eval(y)\n"), "code"), F.concat("code", F.lit("\nz = eval(w)"))
+    again = files.filter(first & ~second & (F.col("doc_id") % 7 == 0))
+    return [
+        files.filter(first),
+        files.filter(~first).union(files.filter(first & second).withColumn("code", above)).union(again),
+        files.filter(third & ~gone).withColumn("code", below).union(files.filter(gone).withColumns({"removed": F.lit(True), "code": F.lit(None)})),
+    ]
+
+
+@query
+def tracked_files(spark, sf_dir):
+    """The history of all findings after three batches of a stream."""
+    root = f"{checkpoint_root(spark)}/tracked-{uuid.uuid4().hex}"
+    tracker = Tracker(spark, f"{root}/tables", buckets=16, severity="INFO", now=NOW)
+    for n, batch in enumerate(_arrivals(spark, sf_dir)):
+        batch.drop("doc_id").write.parquet(f"{root}/arrivals/batch={n}")
+        arrived = spark.readStream.schema("file string, language string, code string, removed boolean")
+        tracker.run_available(arrived.parquet(f"{root}/arrivals/batch=*"), f"{root}/checkpoint")
+    return _places(tracker.findings(), "status", "severity")
+
+
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "documents").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)

@@ -208,6 +208,20 @@ SCAN = [
         SELECT {_COLS}, 'secret' AS finding_type, 1 AS a, 0, i FROM sm) {_FIRST})""",
 ]
 
+# Three versions of files over time, each scanned; what is in the last one of a file that is there is open.
+_VERSIONS = f"""versions AS (SELECT 1 AS v, b.* FROM ({as_sql(CORPUS, 'documents')}) b
+    UNION ALL BY NAME SELECT 2 AS v, * REPLACE (concat('x = eval(y)', {_NL}, code) AS code) FROM ({as_sql(CORPUS, 'documents')})
+        WHERE doc_id % 5 = 1 AND doc_id % 3 <> 2
+    UNION ALL BY NAME SELECT 3 AS v, * REPLACE (concat(code, {_NL}, 'z = eval(w)') AS code) FROM ({as_sql(CORPUS, 'documents')})
+        WHERE doc_id % 5 = 2 AND doc_id % 4 <> 3)"""
+TRACKED = [
+    _VERSIONS,
+    "tpl AS (SELECT doc_id, concat(CAST(v AS VARCHAR), '|', file) AS file, language, code FROM versions)",
+    *[part for part in SCAN if part != TPL],
+    "lasts AS (SELECT file, CASE WHEN any_value(doc_id) % 4 = 3 THEN 0 ELSE max(v) END AS last FROM versions GROUP BY file)",
+    """seen AS (SELECT substr(file, 3) AS file, CAST(left(file, 1) AS INTEGER) AS v, line, col, rule_id, severity FROM scan)""",
+]
+
 _VERSION_KEY = r"""list_transform(string_split(regexp_replace({0}, '(\.0*)+$', ''), '.'),
     lambda p: CAST(concat('0', regexp_extract(p, '^[0-9]+')) AS BIGINT))"""
 REQ = [
@@ -513,6 +527,9 @@ def _streaming() -> dict[str, str]:
     ]
     name = "concat(file, ':', CAST(line AS VARCHAR), ':', regexp_replace(rule_id, '^quality_', ''))"
     return {
+        "tracked_files": _with(*TRACKED) + """SELECT s.file, line, arg_max(col, v) AS "column", rule_id,
+            CASE WHEN max(v) = any_value(last) THEN 'open' ELSE 'fixed' END AS status, any_value(severity) AS severity
+            FROM seen s JOIN lasts l ON s.file = l.file GROUP BY s.file, line, rule_id""",
         "incremental": _with(DOCS, *base) + "SELECT rule_id, severity, count(*) AS findings FROM found GROUP BY ALL",
         "streamed_sightings": _with(DOCS, *base) + f"SELECT DISTINCT {_uuid(name)} AS id, true AS once FROM found",
     }

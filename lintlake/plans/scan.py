@@ -191,7 +191,7 @@ def scan_tree(spark: SparkSession, path: str, options: Options = Options(), **ch
     """
     options = Options(**{**options.__dict__, **changes})
     files = read_files(spark, path, max_mb=options.max_mb)
-    named = read_files(spark, path, [*MANIFEST_NAMES, MANIFEST_SUFFIX], options.max_mb, complete=False)
+    named = read_files(spark, path, [*MANIFEST_NAMES, MANIFEST_SUFFIX], options.max_mb)
     found = manifests_of(named, root=path.removeprefix("file://"))
     return scan(files, manifests=found, options=options), files
 

@@ -14,8 +14,8 @@ from lintlake.sources.files import decode_text, read_files
 def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("tree")
     texts = {
-        "__init__.py": b"a = 1", "pkg/__init__.py": b"eval(x)", "pkg/m.py": b"\xef\xbb\xbfx\r\ny\rz\xff\xc3(", "pkg/sp ace.js": b"",
-        ".github/ci.yml": b"a: b", "__tests__/deep/t.ts": b"let a", "UPPER.JS": b"x", "script": b"#!/bin/sh\nls", "big.py": b"x" * 50_000,
+        "a.py": b"a = 1", "pkg/b.py": b"eval(x)", "pkg/m.py": b"\xef\xbb\xbfx\r\ny\rz\xff\xc3(", "pkg/sp ace.js": b"x", "pkg/empty.py": b"",
+        "__init__.py": b"x", ".github/ci.yml": b"a: b", "tests/deep/t.ts": b"let a", "UPPER.JS": b"x", "script": b"#!/bin/sh\nls", "big.py": b"x" * 50_000,
     }
     for name, content in texts.items():
         path = root / name
@@ -24,25 +24,25 @@ def tree(tmp_path_factory):
     return root, texts
 
 
-def test_tree_scan_sees_hidden_names(spark, tree):
+def test_tree_scan(spark, tree):
     root, texts = tree
     rows = {r.file.removeprefix(f"{root}/"): r for r in read_files(spark, str(root), max_mb=0.01).collect()}
-    assert set(rows) == set(texts) - {"UPPER.JS", "script", "big.py"}
-    assert rows["pkg/m.py"].code == "﻿x\ny\nz("
-    assert rows["pkg/__init__.py"].language == "python" and rows["pkg/__init__.py"].size == 7
-    assert rows[".github/ci.yml"].mtime is not None
-    assert rows["pkg/sp ace.js"].code == "" and rows["pkg/sp ace.js"].size == 0
+    passed_over = {"pkg/empty.py", "__init__.py", ".github/ci.yml"}
+    assert set(rows) == set(texts) - {"UPPER.JS", "script", "big.py"} - passed_over
+    assert rows["pkg/m.py"].code == "\ufeffx\ny\nz("
+    assert rows["pkg/b.py"].language == "python" and rows["pkg/b.py"].size == 7
+    assert rows["tests/deep/t.ts"].mtime is not None
 
 
 def test_single_files_bypass_the_suffix_filter(spark, tree):
     root, _ = tree
     assert read_files(spark, f"{root}/script").first().language == "shell"
     assert read_files(spark, f"{root}/UPPER.JS").first().language == "javascript"
-    assert read_files(spark, f"{root}/pkg/__init__.py").first().code == "eval(x)"
+    assert read_files(spark, f"{root}/pkg/b.py").first().code == "eval(x)"
 
 
 def test_size_limit_reaches_the_scan(spark, tree):
-    frame = read_files(spark, str(tree[0]), complete=False)
+    frame = read_files(spark, str(tree[0]))
     assert "LessThanOrEqual(length" in frame._jdf.queryExecution().executedPlan().toString()
 
 

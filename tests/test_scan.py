@@ -177,7 +177,7 @@ def test_new_files_are_scanned_once(spark, tmp_path):
 
 
 def test_tree_to_findings(spark, tmp_path):
-    (tmp_path / "__init__.py").write_text("import os\nos.system('x')\n")
+    (tmp_path / "main.py").write_text("import os\nos.system('x')\n")
     (tmp_path / "sub").mkdir()
     for folder in (tmp_path, tmp_path / "sub"):
         (folder / "requirements.txt").write_text("\nflask==1.0\n")
