@@ -14,6 +14,7 @@ from lintlake.functions.identity import finding_id
 from lintlake.functions.language import language_by_shebang, language_for_extension, language_of, suffix_of
 from lintlake.functions.severity import sarif_level, severity_rank
 from lintlake.operators import dependencies as D
+from lintlake.operators import duplicates as B
 from lintlake.operators import files as P
 from lintlake.operators import findings as N
 from lintlake.operators import quality as Q
@@ -436,6 +437,13 @@ def duplicated_blocks(spark, sf_dir):
     return duplicate_blocks(_documents(spark, sf_dir), k=3).select("file", "line", "copies")
 
 
+@query
+def maximal_blocks(spark, sf_dir):
+    """Blocks of three lines or more, on the corpus: the same lines stand in front of very many files."""
+    files = corpus(spark, sf_dir).drop("doc_id").unionByName(_documents(spark, sf_dir))
+    return B.maximal_blocks(files, k=3).select("file", "line", "lines", "copies")
+
+
 # Dependencies
 
 

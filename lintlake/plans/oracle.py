@@ -433,6 +433,19 @@ def oracle_sql() -> dict[str, str]:
                 FROM sq WINDOW w AS (PARTITION BY file ORDER BY n))""",
             f"cp AS (SELECT *, count(*) OVER (PARTITION BY b) AS copies FROM bl WHERE last IS NOT NULL AND replace(b, {_NL}, '') <> '')")
         + "SELECT file, CAST(n AS INTEGER) AS line, copies FROM cp WHERE copies > 1",
+        "maximal_blocks": _with(DOCS, TPL, _lines("SELECT file, code FROM docs UNION ALL SELECT file, code FROM tpl"),
+            f"sq AS (SELECT file, n, {squeezed} AS t FROM ln)",
+            f"""bl AS (SELECT file, n, concat(t, {_NL}, lead(t, 1) OVER w, {_NL}, lead(t, 2) OVER w) AS b, lead(t, 2) OVER w AS last
+                FROM sq WINDOW w AS (PARTITION BY file ORDER BY n))""",
+            f"runs AS (SELECT file, n, b, count(*) OVER (PARTITION BY b) AS copies FROM bl WHERE last IS NOT NULL AND replace(b, {_NL}, '') <> '')",
+            """nx AS (SELECT r.*, x.b AS nb, x.copies AS ncopies FROM runs r LEFT JOIN runs x ON x.file = r.file AND x.n = r.n + 1)""",
+            "pr AS (SELECT *, count(*) OVER (PARTITION BY b, nb) AS pairs FROM nx)",
+            "lk AS (SELECT *, nb IS NOT NULL AND pairs = copies AND copies = ncopies AS linked FROM pr WHERE copies > 1)",
+            """bg AS (SELECT l.*, CASE WHEN p.linked THEN 0 ELSE 1 END AS begins
+                FROM lk l LEFT JOIN lk p ON p.file = l.file AND p.n = l.n - 1)""",
+            "gr AS (SELECT *, sum(begins) OVER (PARTITION BY file ORDER BY n) AS g FROM bg)")
+        + """SELECT file, CAST(min(n) AS INTEGER) AS line, CAST(count(*) + 2 AS INTEGER) AS lines, any_value(copies) AS copies
+            FROM gr GROUP BY file, g""",
         "manifests": _with(MANIFESTS) + "SELECT file, split_part(file, '/', -1) AS base_name FROM mfs",
         "requirements_parse": _with(*REQ) + "SELECT * FROM req",
         "package_json_parse": _with(MANIFESTS, *NPM) + "SELECT * FROM npm",

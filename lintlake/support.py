@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -68,5 +69,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="lintlake-")
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back: what follows reads them again instead of making them again,
+    also after the loss of an executor."""
+    path = f"{checkpoint_root(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
