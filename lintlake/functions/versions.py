@@ -49,10 +49,10 @@ def bound_sql(spec: str) -> str:
 
 
 def _semantic_sql(version: str, spec: str) -> str:
-    return within_sql(version_key_sql(version), spec, bound_sql(spec))
+    return _within_sql(version_key_sql(version), spec, bound_sql(spec))
 
 
-def within_sql(have: str, spec: str, bound: str) -> str:
+def _within_sql(have: str, spec: str, bound: str) -> str:
     """Whether the parts of a version are in a range with these bound parts."""
     return (
         f"coalesce(CASE WHEN startswith({spec}, '<=') THEN {have} <= {bound} "
@@ -60,6 +60,23 @@ def within_sql(have: str, spec: str, bound: str) -> str:
     )
 
 
+def range_sql(spec: str, mode: str = "semantic") -> str:
+    """An advisory range as a struct: `key`, comparable with `comparable_sql` of a version; `below`, whether it covers
+    the versions below the key, or only the one; and `inclusive`, whether the key's own version is among them."""
+    if mode == "semantic":
+        return (
+            f"named_struct('key', {bound_sql(spec)}, 'below', startswith({spec}, '<'), "
+            f"'inclusive', startswith({spec}, '<='))"
+        )
+    exact = f"IF(startswith({spec}, '=='), trim(substr({spec}, 3)), {spec})"
+    key = f"IF(startswith({spec}, '<'), trim(substr({spec}, 2)), {exact})"
+    return f"named_struct('key', {key}, 'below', startswith({spec}, '<'), 'inclusive', false)"
+
+
+def comparable_sql(version: str, mode: str = "semantic") -> str:
+    return version_key_sql(version) if mode == "semantic" else version
+
+
 def version_matches(version: Column | str, spec: Column | str, mode: str = "semantic") -> Column:
     """Whether a version falls under an advisory range (`<x`, `<=x`, `==x`, `x`).
 

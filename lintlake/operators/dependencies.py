@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.builtin.tables import (
@@ -17,13 +17,7 @@ from lintlake.functions.identity import finding_id_sql
 from lintlake.functions.patterns import SPACE
 from lintlake.functions.severity import rank_sql
 from lintlake.functions.sqltext import chain, let, quote
-from lintlake.functions.versions import (
-    bound_sql,
-    version_key_sql,
-    version_lt,
-    version_matches,
-    within_sql,
-)
+from lintlake.functions.versions import comparable_sql, range_sql, version_lt
 from lintlake.operators.hits import timestamp
 from lintlake.support import explode_once
 
@@ -109,23 +103,61 @@ def dependencies(manifest_table: DataFrame) -> DataFrame:
     return _exploded(manifest_table, cases, f"IF({_IS_PACKAGE_JSON}, 'javascript', 'python')")
 
 
+# Advisories of a package that are looked through as one.
+_BLOCK_BITS = 8
+
+
+def _upper_bounds(known: DataFrame) -> DataFrame:
+    """Ranges without a lower end, per package in blocks of ascending bounds: (language, _package, entries, most)."""
+    order = Window.partitionBy("language", "_package").orderBy("range.key", "range.inclusive")
+    block = F.shiftright(F.row_number().over(order) - 1, _BLOCK_BITS)
+    entry = F.struct("range.key", "range.inclusive", "version_spec", "cve", "severity")
+    return (
+        known.filter("range.below")
+        .withColumn("_block", block)
+        .groupBy("language", "_package", "_block")
+        .agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.max("range.key").alias("most"))
+        .drop("_block")
+    )
+
+
+def _covering_sql(have: str, entries: str) -> str:
+    """The entries that cover a version: the last ones from a place on, which is found by bisection."""
+    covers = f"e.key > {have} OR (e.key = {have} AND e.inclusive)"
+    middle = "CAST((s.low + s.high) DIV 2 AS INT)"
+    lower, upper = "named_struct('low', s.low, 'high', mid)", "named_struct('low', mid + 1, 'high', s.high)"
+    step = let(middle, "mid", let(f"get({entries}, mid)", "e", f"IF({covers}, {lower}, {upper})"))
+    start = f"named_struct('low', 0, 'high', size({entries}))"
+    place = f"aggregate(sequence(0, {_BLOCK_BITS}), {start}, (s, i) -> IF(s.low < s.high, {step}, s), s -> s.low)"
+    return let(place, "low", f"slice({entries}, low + 1, size({entries}))")
+
+
 def match_advisories(deps: DataFrame, advisories: DataFrame, mode: str = "semantic") -> DataFrame:
     """Every (dependency, advisory) pair whose range covers the version.
 
-    Spark chooses the join by the size of the advisory table: broadcast when
-    small, otherwise sort-merge with run-time splitting of hot packages.
+    Advisories of one version are joined by it.  Ranges come in blocks of ascending bounds, hundreds to a row: a block
+    that ends below the version is no row, and in the others bisection finds the ranges that cover it.  So a package
+    with very many advisories makes no rows but those that match.  Spark chooses the joins by the size of the advisory
+    table: broadcast when small, otherwise sort-merge with run-time splitting of hot packages.
     """
+    if mode not in ("semantic", "string"):
+        raise ValueError(f"unknown version mode: {mode}")
     known = advisories.select(
-        "language", F.lower("package").alias("_package"), "version_spec", "cve", "severity"
+        "language", F.lower("package").alias("_package"), "version_spec", "cve", "severity",
+        F.expr(range_sql("version_spec", mode)).alias("range"),
+    ).filter("range.key IS NOT NULL")
+    keyed = deps.withColumns({"_package": F.lower("name"), "_have": F.expr(comparable_sql("version", mode))})
+    # One pass over the dependencies: a row for each block and, in a block of their own, for the advisories of its version.
+    exact = known.filter("NOT range.below").groupBy("language", "_package", F.col("range.key").alias("most")).agg(
+        F.collect_list(F.struct("range.key", F.lit(True).alias("inclusive"), "version_spec", "cve", "severity")).alias("entries")
     )
-    if mode == "semantic":
-        known = known.withColumn("_bound", F.expr(bound_sql("version_spec")))
-        condition = F.expr(let(version_key_sql("version"), "have", within_sql("have", "version_spec", "_bound")))
-    else:
-        known = known.withColumn("_bound", F.lit(None))
-        condition = version_matches("version", "version_spec", mode)
-    keyed = deps.withColumn("_package", F.lower("name"))
-    return keyed.join(known, ["language", "_package"]).filter(condition).drop("_package", "_bound")
+    blocks = _upper_bounds(known).withColumn("_only", F.lit(False)).unionByName(exact.withColumn("_only", F.lit(True)))
+    reaches = F.when(F.col("_only"), F.col("most") == F.col("_have")).otherwise(F.col("most") >= F.col("_have"))
+    joined = keyed.join(blocks, ["language", "_package"]).filter(reaches)
+    covering = F.expr(f"IF(_only, entries, {_covering_sql('_have', 'entries')})")
+    names = [F.col(c) for c in deps.columns]
+    found = joined.select(*names, F.explode(covering).alias("_found"))
+    return found.select(*names, "_found.version_spec", "_found.cve", "_found.severity")
 
 
 def dependency_findings(matched: DataFrame, now: datetime | str | None = None) -> DataFrame:

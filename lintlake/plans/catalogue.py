@@ -24,7 +24,7 @@ from lintlake.operators.duplicates import duplicate_blocks
 from lintlake.operators.sast import sast_findings
 from lintlake.operators.secrets import secrets
 from lintlake.plans.scan import scan
-from lintlake.plans.views import corpus, manifest_files, many_part_rules, part_rules, table
+from lintlake.plans.views import MANY_ADVISORIES, corpus, manifest_files, many_part_rules, part_rules, table
 from lintlake.schema import SEVERITIES
 from lintlake.sources import sinks
 from lintlake.sources.files import as_files, decode_text, read_bytes
@@ -36,7 +36,7 @@ from lintlake.sources.tables import (
 from lintlake.streaming.incremental import run_available, scan_stream
 from lintlake.streaming.lifecycle import lifecycle_stream, merge_lifecycle, merge_sightings
 from lintlake.streaming.tracking import Tracker
-from lintlake.support import checkpoint_root, explode_once, spread
+from lintlake.support import checkpoint_root, explode_once, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -481,6 +481,17 @@ def advisory_join_by_text(spark, sf_dir):
     return _matched(spark, sf_dir, "string").select("file", "line", "name", "version", "cve", "severity")
 
 
+@query
+def many_advisories(spark, sf_dir):
+    """An advisory for every part, thousands of them for each of three packages, on all versions in use."""
+    advisories = table(spark, sf_dir, "part").selectExpr(*[f"{e} AS {a}" for a, e in MANY_ADVISORIES.items()])
+    versions = _deps(spark, sf_dir).select("language", "name", "version").distinct()
+    found = D.match_advisories(versions, advisories)
+    return found.groupBy("name", "version").agg(
+        F.count("*").alias("advisories"), F.min("cve").alias("first_cve"), F.max("cve").alias("last_cve")
+    )
+
+
 @query
 def dependency_findings(spark, sf_dir):
     found = D.dependency_findings(_matched(spark, sf_dir), NOW)
@@ -494,7 +505,7 @@ def dep_stats(spark, sf_dir):
 
 @query
 def vulnerable_dependencies(spark, sf_dir):
-    listed = D.vulnerabilities_of(_deps(spark, sf_dir), builtin_advisories(spark))
+    listed = D.vulnerabilities_of(stored(_deps(spark, sf_dir), "dependencies"), builtin_advisories(spark))
     return D.with_vulnerabilities(listed).select(
         "file", "line", "name", "version", F.array_join("vulnerabilities", ",").alias("cves")
     )
@@ -505,7 +516,7 @@ def outdated(spark, sf_dir):
     """Against the newest version of each package in use anywhere."""
     from lintlake.functions.versions import version_key
 
-    deps = _deps(spark, sf_dir)
+    deps = stored(_deps(spark, sf_dir), "dependencies")
     latest = deps.groupBy("language", F.col("name").alias("package")).agg(
         F.max_by("version", F.struct(version_key("version"), "version")).alias("latest")
     )
@@ -643,9 +654,8 @@ def csv_report(spark, sf_dir):
 @query
 def sarif_document(spark, sf_dir):
     """The results of a SARIF log written from stored findings and read back."""
-    stored, path = (f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}" for name in ("findings", "sarif"))
-    _scan(spark, sf_dir).write.parquet(stored)
-    sinks.write_sarif(spark.read.parquet(stored), path)
+    path = f"{checkpoint_root(spark)}/sarif-{uuid.uuid4().hex}"
+    sinks.write_sarif(stored(_scan(spark, sf_dir), "findings"), path)
     place = "locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int, startColumn: int>>>>"
     lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("value")).filter("value LIKE '{\"ruleId%'")
     result = lines.select(F.from_json("value", f"ruleId string, level string, {place}").alias("r"))

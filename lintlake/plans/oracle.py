@@ -18,7 +18,7 @@ from lintlake.builtin.tables import (
 )
 from lintlake.functions.severity import CVSS, RANK
 from lintlake.plans.catalogue import CREDENTIAL, LINK
-from lintlake.plans.views import CORPUS, MANY_RULES, PACKAGE_JSON, PART_RULES, REQUIREMENTS, as_sql
+from lintlake.plans.views import CORPUS, MANY_ADVISORIES, MANY_RULES, PACKAGE_JSON, PART_RULES, REQUIREMENTS, as_sql
 
 _NL = "chr(10)"
 
@@ -452,6 +452,14 @@ def oracle_sql() -> dict[str, str]:
         "advisory_join": _with(*DEP_HITS) + "SELECT file, line, name, version, cve, severity FROM hit",
         "advisory_join_by_text": _with(*_matched("version < substr(spec, 2)"))
         + "SELECT file, line, name, version, cve, severity FROM hit",
+        "many_advisories": _with(*DEPS, f"many AS ({as_sql(MANY_ADVISORIES, 'part')})",
+            f"""ranges AS (SELECT *, {_VERSION_KEY.format("trim(regexp_replace(version_spec, '^(<=|==|<)', ''))")} AS bound
+                FROM many WHERE version_spec <> '<latest')""",
+            f"used AS (SELECT DISTINCT language, name, version, {_VERSION_KEY.format('version')} AS have FROM deps)")
+        + """SELECT name, version, count(*) AS advisories, min(cve) AS first_cve, max(cve) AS last_cve
+            FROM used u JOIN ranges r ON u.language = r.language AND lower(u.name) = lower(r.package)
+            WHERE CASE WHEN version_spec LIKE '<=%' THEN have <= bound WHEN version_spec LIKE '<%' THEN have < bound
+                ELSE have = bound END GROUP BY name, version""",
         "dependency_findings": _with(*DEP_HITS) + f"""SELECT file, line, CAST(1 AS INTEGER) AS "column",
             concat('dependency_', cve) AS rule_id, {_uuid("concat(file, ':', CAST(line AS VARCHAR), ':dep_', cve)")} AS id,
             severity, 'CWE-1035' AS cwe, 'A06:2021 - Vulnerable and Outdated Components' AS owasp, name AS package, cve,

@@ -120,6 +120,18 @@ MANY_RULES = {
 }
 
 
+# An advisory for every part, of three packages, with ranges of all kinds.
+_BOUND = f"concat({_num('p_size % 6')}, '.', {_num('p_partkey % 30')}, '.', {_num('p_partkey % 7')})"
+MANY_ADVISORIES = {
+    "language": "'python'",
+    "package": "CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN 'Django' WHEN 1 THEN 'flask' ELSE 'requests' END",
+    "version_spec": f"""CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN concat('<', {_BOUND}) WHEN 1 THEN concat('<=', {_BOUND})
+        WHEN 2 THEN concat('== ', {_BOUND}) WHEN 3 THEN {_BOUND} ELSE '<latest' END""",
+    "cve": f"concat('CVE-', {_num('p_partkey')})",
+    "severity": "'HIGH'",
+}
+
+
 def as_sql(columns: dict[str, str], name: str) -> str:
     """The derived table as a query on a given table."""
     return "SELECT " + ", ".join(f"{e} AS {a}" for a, e in columns.items()) + f" FROM {name}"

@@ -1,5 +1,7 @@
 """Manifests, versions and advisories."""
 
+import random
+
 import pytest
 
 from lintlake.functions.versions import clean_version, version_matches
@@ -78,3 +80,29 @@ def test_findings_and_vulnerability_lists(spark, manifests):
 def test_small_advisories_are_broadcast(spark, manifests):
     plan = D.match_advisories(D.dependencies(D.manifests(manifests)), builtin_advisories(spark))
     assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("mode", ["semantic", "string"])
+def test_many_ranges_of_one_package(spark, mode):
+    rng = random.Random(3)
+    version = lambda: ".".join(str(rng.randint(0, 12)) for _ in range(rng.randint(1, 3)))
+    specs = [rng.choice(["<", "<=", "==", "== ", "", "< "]) + version() for _ in range(1500)] + ["<latest", "", "<", "==", "1.0", "1.0"]
+    advisories = spark.createDataFrame(
+        [("python", rng.choice(["P", "p"]), spec, f"CVE-{i}", "HIGH") for i, spec in enumerate(specs)]
+        + [("java", "p", "<99", "CVE-java", "LOW"), ("python", "q", "<99", "CVE-q", "LOW")],
+        "language string, package string, version_spec string, cve string, severity string",
+    )
+    used = [version() for _ in range(150)] + ["1.0", "1.0", "v1.0", "latest", "", None, "13"]
+    deps = spark.createDataFrame([(i, "p", v, "python") for i, v in enumerate(used)], "line int, name string, version string, language string")
+    found = {(r.line, r.cve) for r in D.match_advisories(deps, advisories, mode).collect()}
+    known = advisories.filter("language = 'python' AND lower(package) = 'p'")
+    want = deps.crossJoin(known.drop("language", "package")).filter(version_matches("version", "version_spec", mode))
+    assert found == {(r.line, r.cve) for r in want.collect()} and len(found) > 10_000
+
+
+def test_very_many_advisories_make_no_rows_that_do_not_match(spark):
+    advisories = spark.range(100_000).selectExpr("'python' AS language", "'p' AS package", "concat('<1.', id) AS version_spec",
+                                                 "concat('CVE-', id) AS cve", "'LOW' AS severity")
+    deps = spark.range(200).selectExpr("'python' AS language", "'p' AS name", "concat('1.', 100000 - id % 20) AS version", "CAST(id AS INT) AS line")
+    found = D.match_advisories(deps, advisories)
+    assert found.count() == 10 * sum(max(0, i - 1) for i in range(20))
