@@ -18,7 +18,7 @@ from lintlake.functions.patterns import SPACE
 from lintlake.functions.severity import rank_sql
 from lintlake.functions.sqltext import chain, let, quote
 from lintlake.functions.versions import comparable_sql, range_sql, version_lt
-from lintlake.operators.hits import timestamp
+from lintlake.operators.hits import DEPENDENCY, hit_sql, timestamp
 from lintlake.support import explode_once
 
 # Fixed value: a pinned requirement is name, operator, version.
@@ -29,6 +29,10 @@ def base_name(file: Column) -> Column:
     return F.substring_index(file, "/", -1)
 
 
+def is_manifest(file: Column) -> Column:
+    return base_name(file).isin(MANIFEST_NAMES) | F.endswith(file, F.lit(MANIFEST_SUFFIX))
+
+
 def manifests(files: DataFrame, root: str | None = None) -> DataFrame:
     """(file, base_name, text) of the dependency manifests among `files`.
 
@@ -132,6 +136,32 @@ def _covering_sql(have: str, entries: str) -> str:
     return let(place, "low", f"slice({entries}, low + 1, size({entries}))")
 
 
+# What parts the fields in the id of a dependency among the hits.
+_PART = "chr(0)"
+
+
+def entry_hits_sql(code: str) -> str:
+    """The dependencies of a manifest as hits, beside those of other detectors; the file's `base_name` is at hand."""
+    cases = [(_IS_REQUIREMENTS, _requirements_sql(code)), (_IS_PACKAGE_JSON, _package_json_sql(code))]
+    language = f"IF({_IS_PACKAGE_JSON}, 'javascript', 'python')"
+    name = f"concat_ws({_PART}, {language}, d.name, d.version)"
+    return f"transform({chain(cases, _NO_ENTRIES)}, (d, i) -> {hit_sql('d.line', name, DEPENDENCY, 'i', text=name)})"
+
+
+def entries_of(hits: DataFrame) -> DataFrame:
+    """The dependencies among the hits of a scan.
+
+    The filter is on all that findings are made of, and nothing on what hits are made unique by: so this part of a plan
+    and the other one need the same rows and columns of the hits, and Spark makes them once for both.
+    """
+    rest = "coalesce(snippet, text, string(amount), string(limit), string(column), string(seq)) IS NOT NULL"
+    parts = F.split("text", "\\x00", -1)
+    return hits.filter(F.col("analyzer") == DEPENDENCY).filter(rest).select(
+        "file", F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(2)).alias("version"), F.get(parts, F.lit(0)).alias("language"),
+        F.lit(None).cast("string").alias("operator"), "line",
+    )
+
+
 def match_advisories(deps: DataFrame, advisories: DataFrame, mode: str = "semantic") -> DataFrame:
     """Every (dependency, advisory) pair whose range covers the version.
 

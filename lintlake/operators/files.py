@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.builtin.tables import DEPENDENCY_LANGUAGES, EXCLUDE_PATTERNS, SUPPORTED_LANGUAGES
@@ -19,21 +19,34 @@ def _glob_regex(pattern: str) -> str:
     return fnmatch.translate(f"*{pattern}*")
 
 
-def exclude_paths(files: DataFrame, patterns: list[str] | tuple[str, ...] = tuple(EXCLUDE_PATTERNS)) -> DataFrame:
-    """Drop files whose path matches any of the globs anywhere."""
+def is_excluded(file: Column, patterns: list[str] | tuple[str, ...]) -> Column:
+    """Whether a path matches any of the globs anywhere."""
     if not patterns:
-        return files
+        return F.lit(False)
     either = "|".join(f"(?:{java_pattern(_glob_regex(p), multiline=False)})" for p in patterns)
-    return files.filter(~F.rlike("file", F.lit(f"^(?:{either})")))
+    return F.rlike(file, F.lit(f"^(?:{either})"))
+
+
+def exclude_paths(files: DataFrame, patterns: list[str] | tuple[str, ...] = tuple(EXCLUDE_PATTERNS)) -> DataFrame:
+    """Drop files whose path matches any of the globs anywhere."""
+    return files.filter(~is_excluded(F.col("file"), patterns)) if patterns else files
+
+
+def is_supported(language: Column) -> Column:
+    return F.lower(language).isin(SUPPORTED_LANGUAGES)
 
 
 def supported_only(files: DataFrame) -> DataFrame:
-    return files.filter(F.lower("language").isin(SUPPORTED_LANGUAGES))
+    return files.filter(is_supported(F.col("language")))
+
+
+def fits(code: Column, max_mb: float) -> Column:
+    return F.length(code) <= int(max_mb * _MIB)
 
 
 def limit_size(files: DataFrame, max_mb: float = 10) -> DataFrame:
     """Drop files of more than `max_mb` MiB of characters."""
-    return files.filter(F.length("code") <= int(max_mb * _MIB))
+    return files.filter(fits(F.col("code"), max_mb))
 
 
 def relative_paths(table: DataFrame, root: str, col: str = "file") -> DataFrame:

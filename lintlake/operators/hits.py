@@ -24,6 +24,8 @@ from lintlake.support import small_table
 
 # Arrival order of the analyzers.
 SAST, SECRET, QUALITY, DEPENDENCY = range(4)
+# Rows beside the hits: what went wrong with a file.
+ERROR = 4
 TYPE_OF = {SAST: "vulnerability", SECRET: "secret", QUALITY: "quality", DEPENDENCY: "dependency"}
 
 # Sorting an array of hits puts those of one (line, rule_id) next to each other,
@@ -126,6 +128,9 @@ def dedup_hits(hits: DataFrame) -> DataFrame:
 
     Hits are slim: messages, advice and scores are attached to what is left.
     """
+    # All hits have a rule; said here, it need not be concluded by one of two joins that follow, which could then not
+    # share the shuffle.
+    hits = hits.filter(F.col("rule_id").isNotNull())
     first = F.row_number().over(Window.partitionBy("file", "line", "rule_id").orderBy("analyzer", "seq", "column"))
     return hits.withColumn("_rank", first).filter(F.col("_rank") == 1).drop("_rank")
 

@@ -5,9 +5,11 @@ Every rollup reads its input once and counts before it shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.schema import FINDING_TYPES, SEVERITIES
+
 # Weight of a finding in the risk score, and the score's ceiling.
 RISK_WEIGHTS = {"CRITICAL": 100, "HIGH": 50, "MEDIUM": 20, "LOW": 5}
 MAX_RISK = 100
@@ -48,28 +50,52 @@ def risk_score(findings: DataFrame, files: DataFrame) -> DataFrame:
     return _with_files(findings, files, "severity").agg(_risk().alias("risk_score"))
 
 
-def run_metrics(findings: DataFrame, files: DataFrame, errors: int = 0) -> DataFrame:
-    """One row of run metrics; counts by severity and type are maps without zeros."""
-    from lintlake.schema import FINDING_TYPES, SEVERITIES
+def finding_counts() -> list[Column]:
+    """How many findings there are, and of each severity and type: to aggregate, or to observe while they are written."""
+    kinds = [("severity", v) for v in SEVERITIES] + [("finding_type", v) for v in FINDING_TYPES]
+    return [F.count("*").alias("findings"), *[F.count_if(F.col(c) == v).alias(f"{c}_{v}") for c, v in kinds]]
 
-    both = _with_files(findings, files, "severity", "finding_type")
-    total = F.count_if(F.col("is_file") == 0)
+
+def _metrics(counts: DataFrame) -> DataFrame:
+    """One row of run metrics, of one row of `finding_counts`, `files` and `errors`."""
 
     def histogram(col: str, values: tuple[str, ...]) -> Column:
-        pairs = [F.struct(F.lit(v).alias("key"), F.count_if(F.col(col) == v).alias("value")) for v in values]
+        pairs = [F.struct(F.lit(v).alias("key"), F.col(f"{col}_{v}").alias("value")) for v in values]
         return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"] > 0))
 
-    return both.agg(
-        total.alias("total_findings"),
+    files = F.greatest("files", F.lit(1))
+    weighted = sum((F.col(f"severity_{name}") * weight for name, weight in RISK_WEIGHTS.items()), F.lit(0))
+    return counts.select(
+        F.col("findings").alias("total_findings"),
         histogram("severity", SEVERITIES).alias("by_severity"),
         histogram("finding_type", FINDING_TYPES).alias("by_type"),
-        _risk().alias("risk_score"),
-        _files_count().alias("files_scanned"),
-        F.round(total / F.greatest(_files_count(), F.lit(1)), 2).alias("findings_per_file"),
-        F.lit(errors).alias("errors"),
+        F.round(F.least(weighted / files, F.lit(float(MAX_RISK))), 2).alias("risk_score"),
+        F.col("files").alias("files_scanned"),
+        F.round(F.col("findings") / files, 2).alias("findings_per_file"),
+        F.col("errors").cast("int").alias("errors"),
     )
 
 
+def run_metrics(findings: DataFrame, files: DataFrame, errors: DataFrame | int = 0) -> DataFrame:
+    """One row of run metrics; counts by severity and type are maps without zeros.
+
+    `errors` is a number, or a table with a row for each error.
+    """
+    both = _with_files(findings, files, "severity", "finding_type")
+    found = F.col("is_file") == 0
+    counts = [F.count_if(found).alias("findings"), *finding_counts()[1:]]
+    counted = both.agg(*counts, _files_count().alias("files"))
+    if isinstance(errors, DataFrame):
+        return _metrics(counted.crossJoin(F.broadcast(errors.agg(F.count("*").alias("errors")))))
+    return _metrics(counted.withColumn("errors", F.lit(errors)))
+
+
+def metrics_of(spark: SparkSession, counts: dict[str, int], files: int, errors: int) -> DataFrame:
+    """Run metrics of what was observed during a run."""
+    row = {**counts, "files": files, "errors": errors}
+    return _metrics(spark.createDataFrame([tuple(row.values())], ", ".join(f"`{name}` long" for name in row)))
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """(stat, key, findings): the total and both histograms."""
     grouped = findings.groupingSets(

@@ -23,7 +23,7 @@ from lintlake.operators import rules as R
 from lintlake.operators.duplicates import duplicate_blocks
 from lintlake.operators.sast import sast_findings
 from lintlake.operators.secrets import secrets
-from lintlake.plans.scan import scan
+from lintlake.plans.scan import scan, write_scan
 from lintlake.plans.views import MANY_ADVISORIES, corpus, manifest_files, many_part_rules, part_rules, table
 from lintlake.schema import SEVERITIES
 from lintlake.sources import sinks
@@ -533,10 +533,31 @@ def scanned(spark, sf_dir):
 
 @query
 def scanned_project(spark, sf_dir):
-    """Source files and manifests in one scan, with findings of all four types."""
+    """Source files and manifests in one scan, with findings of all four types; texts are read once."""
+    path = f"{checkpoint_root(spark)}/project-{uuid.uuid4().hex}"
+    write_scan(_project(spark, sf_dir), path, now=NOW, severity="INFO")
+    return _places(spark.read.parquet(f"{path}/findings"), "severity", "finding_type")
+
+
+def _project(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifests = manifest_files(spark, sf_dir).withColumn("language", F.lit("unknown"))
-    files = corpus(spark, sf_dir).drop("doc_id").unionByName(manifests)
-    return _places(scan(files, now=NOW, severity="INFO", order=False), "severity", "finding_type")
+    return corpus(spark, sf_dir).drop("doc_id").unionByName(manifests)
+
+
+@query
+def observed_metrics(spark, sf_dir):
+    """Run metrics that were observed while the findings were written; some files cannot be read, some are too large."""
+    key = F.substring_index("file", "/f", -1)
+    files = _project(spark, sf_dir).withColumn("code", F.when(~F.endswith(key, F.lit("7.py")), F.col("code")))
+    path = f"{checkpoint_root(spark)}/observed-{uuid.uuid4().hex}"
+    metrics = write_scan(files, path, now=NOW, severity="INFO", max_mb=0.005)
+    errors = spark.read.parquet(f"{path}/errors").agg(*[F.count_if(F.col("error") == e).alias(e) for e in ("unreadable", "too_large")])
+    types = ("vulnerability", "secret", "quality", "dependency")
+    return metrics.crossJoin(errors).select(
+        "total_findings", "risk_score", "files_scanned", "findings_per_file", "errors", "unreadable", "too_large",
+        *[F.coalesce(F.col("by_severity")[s], F.lit(0)).alias(s.lower()) for s in SEVERITIES],
+        *[F.coalesce(F.col("by_type")[t], F.lit(0)).alias(t) for t in types],
+    )
 
 
 @query

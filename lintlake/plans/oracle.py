@@ -258,6 +258,18 @@ def _matched(condition: str) -> list[str]:
 
 
 DEP_HITS = _matched(_KEYS_LT)
+# The corpus without the texts of some files, and without files over 5,242 characters.
+OBSERVED = [
+    f"""whole AS (SELECT doc_id, file, language, CASE WHEN NOT ends_with(file, '7.py') THEN code END AS code
+        FROM ({as_sql(CORPUS, 'documents')}))""",
+    "tpl AS (SELECT * FROM whole WHERE length(code) <= 5242)",
+    *[part for part in [*SCAN, *DEP_HITS] if part != TPL],
+    """every AS (SELECT severity, finding_type FROM scan UNION ALL
+        SELECT severity, 'dependency' FROM (SELECT DISTINCT file, line, cve, severity FROM hit))""",
+    f"""counts AS (SELECT (SELECT count(*) FROM whole) + (SELECT count(*) FROM mfs) AS files,
+        (SELECT count(*) FROM whole WHERE code IS NULL AND language IN {SUPPORTED}) AS unreadable,
+        (SELECT count(*) FROM whole WHERE length(code) > 5242 AND language IN {SUPPORTED}) AS too_large)""",
+]
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
@@ -476,6 +488,16 @@ def oracle_sql() -> dict[str, str]:
         "scanned": _with(*SCAN) + f"SELECT {_PLACES}, severity, finding_type FROM scan",
         "scanned_project": _with(*SCAN, *DEP_HITS) + f"""SELECT {_PLACES}, severity, finding_type FROM scan UNION ALL
             SELECT DISTINCT file, line, CAST(1 AS INTEGER), concat('dependency_', cve), severity, 'dependency' FROM hit""",
+        "observed_metrics": _with(*OBSERVED) + """SELECT count(*) AS total_findings,
+            round(least(CAST(sum(CASE severity WHEN 'CRITICAL' THEN 100 WHEN 'HIGH' THEN 50 WHEN 'MEDIUM' THEN 20 WHEN 'LOW' THEN 5
+                ELSE 0 END) AS DOUBLE) / any_value(files), 100.0), 2) AS risk_score,
+            any_value(files) AS files_scanned, round(count(*) / CAST(any_value(files) AS DOUBLE), 2) AS findings_per_file,
+            CAST(any_value(unreadable) AS INTEGER) AS errors, any_value(unreadable) AS unreadable, any_value(too_large) AS too_large,
+            count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
+            count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low,
+            count(*) FILTER (severity = 'INFO') AS info, count(*) FILTER (finding_type = 'vulnerability') AS vulnerability,
+            count(*) FILTER (finding_type = 'secret') AS secret, count(*) FILTER (finding_type = 'quality') AS quality,
+            count(*) FILTER (finding_type = 'dependency') AS dependency FROM every, counts""",
         "csv_report": _with(*SCAN) + "SELECT rule_id, severity, finding_type, file, line FROM scan",
         "sarif_document": _with(*SCAN) + """SELECT rule_id, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error'
             ELSE 'warning' END AS level, file AS uri, line AS start_line, col AS start_column FROM scan""",
