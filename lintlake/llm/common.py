@@ -35,6 +35,14 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name for a column of our own that none of `columns` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # Bits of a filter of keys.
 _FILTER = 1 << 23
 

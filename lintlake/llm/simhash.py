@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import by_batch, key_bits, key_filter, stored, table
+from lintlake.llm.common import by_batch, stored, table, unused
 from lintlake.llm.graph import components
 
 SHINGLE = 4
@@ -218,273 +217,19 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-# What the pipeline takes for near-duplicates, and the sketch that finds candidates for it.  Of texts with this
-# similarity, fingerprints of two-word shingles differ in up to eight bits, those of longer shingles in far more.
-SIMILAR_WORDS, SIMILARITY = 5, 0.8
-SKETCH_SHINGLE, SKETCH_RADIUS = 2, 8
-
-# In a group, a text is a candidate for so many of the nearest ones.  What that and the radius leave out is found by
-# the prefixes.
-_NEAREST = 12
-_PAIRS = 1 << 21
-
-
-def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """`id, fp, digest`: the fingerprint of two-word shingles, and a hash of the whole sequence of words."""
-
-    def batch(rows: pa.RecordBatch) -> dict:
-        words = [xxhash.xxh64_intdigest(b" ".join((t.as_py() or b"").lower().split()), SEED) for t in rows.column(1)]
-        fps = _simhash(rows.column(1), SKETCH_SHINGLE).view(np.int64)
-        return {"id": rows.column(0), "fp": fps, "digest": np.array(words, np.uint64).view(np.int64)}
-
-    slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    return by_batch(slim, batch, "id long, fp long, digest long")
-
-
-def sketch_blocks(count: int, radius: int) -> int:
-    """The number of blocks with the least work: rows dealt, and a five-hundredth of a row for each comparison."""
-
-    def work(blocks: int) -> float:
-        return comb(blocks, radius) * (1 + count / 2 ** (64 * (blocks - radius) / blocks) / 500)
-
-    return min(range(radius + 1, 2 * radius + 1), key=work)
-
-
-def candidates(nodes: DataFrame, radius: int = SKETCH_RADIUS, blocks: int | None = None) -> DataFrame:
-    """`a, b`: pairs of `node`s whose fingerprints `fp` are within `radius` bits.
-
-    A group is compared block by block, and each member gives its nearest ones, so that pairs stay in proportion to
-    the members.  Of a very dense group that are not all pairs: these candidates join most copies at little cost, and
-    `across` gives every pair that is still apart.
-    """
-    masks = block_masks(blocks or sketch_blocks(nodes.count(), radius), radius)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(F.lit(m)).alias("block"))
-                               for i, m in enumerate(masks)]))
-    dealt = nodes.select("fp", "node", keys.alias("k")).select("k.set", "k.block", "fp", "node")
-    dealt = dealt.repartition("set", "block").sortWithinPartitions("set", "block", "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sets, shared, fps, node in _whole_groups(batches):
-            cuts = np.flatnonzero((sets[1:] != sets[:-1]) | (shared[1:] != shared[:-1])) + 1
-            fps = fps.astype(np.int64).view(np.uint64)
-            found = [_nearest(f, n, radius) for f, n in zip(np.split(fps, cuts), np.split(node, cuts), strict=True) if len(f) > 1]
-            a, b = (np.concatenate([node[:0], *[pair[i] for pair in found]]) for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _nearest(fps: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    left, right = [node[:0]], [node[:0]]
-    step = max(1, _PAIRS // len(fps))
-    for start in range(0, len(fps), step):
-        apart = np.bitwise_count(fps[start : start + step, None] ^ fps[None, :])
-        rows = np.arange(len(apart))
-        apart[rows, start + rows] = 255
-        if len(fps) > _NEAREST + 1:
-            limit = np.partition(apart, _NEAREST - 1, axis=1)[:, _NEAREST - 1]
-            crowded = np.flatnonzero(limit <= radius)
-            if len(crowded):
-                order = np.argsort(apart[crowded], axis=1, kind="stable")[:, _NEAREST:]
-                apart[crowded[:, None], order] = 255
-        i, j = np.nonzero(apart <= radius)
-        left.append(node[start + i])
-        right.append(node[j])
-    return np.concatenate(left), np.concatenate(right)
-
-
-# Shingles that are common in a sample of this many texts come last in the order of prefixes.  Any order finds the same
-# pairs; this one keeps the groups small.
-_SAMPLE, _COMMON = 20_000, 65_536
-
-
-def common_shingles(docs: DataFrame, key: str, text: str, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the commonest shingles of the sample and their numbers of texts, a bounded list."""
-    sample = docs.filter(F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 20)) < min(1.0, _SAMPLE / max(1, count)) * (1 << 20))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(_shingle_hashes(t.as_py() or b"", SIMILAR_WORDS)) for t in batch.column(0)]
-            every = np.concatenate([np.zeros(0, np.uint64), *sets])
-            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], names=["shingle"])
-
-    every = sample.select(F.col(text).cast("binary")).mapInArrow(run, "shingle long")
-    counts = every.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
-    rows = counts.orderBy(F.desc("n"), "shingle").limit(_COMMON).toArrow()
-    hashes = rows.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], rows.column("n").to_numpy().astype(np.int64)[order]
-
-
-def _prefix(shingles: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first ones of a text's distinct shingles, rare ones first, so many that two similar texts share one.
-
-    Of n shingles, 0.8 n at least are in a similar text; the other n // 5 and one more cannot all be missing there.
-    The first shared shingle in the order is among these first ones on both sides.
-    """
-    first = len(shingles) // 5 + 1
-    if not len(hashes):
-        return shingles[:first]
-    at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
-    known = np.where(hashes[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, known))[:first]] if known.any() else shingles[:first]
-
-
-def prefix_groups(docs: DataFrame, text: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """`shingle, digest, size, least, least_size`: texts of different words with the same shingle in their prefixes.
-
-    `size` is the number of a text's distinct shingles; `least` is the smallest digest of the group.  Texts with a
-    five-word similarity of 0.8 or more are together in a group.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(common)  # of bounded size
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # of this task
-        for batch in batches:
-            parts, digests, sizes = [], [], []
-            for value in batch.column(0):
-                words = b" ".join((value.as_py() or b"").lower().split())
-                digest = xxhash.xxh64_intdigest(words, SEED)
-                if words and digest not in seen:
-                    seen.add(digest)
-                    shingles = np.unique(_shingle_hashes(words, SIMILAR_WORDS))
-                    parts.append(_prefix(shingles, *shared.value))
-                    digests.append(digest)
-                    sizes.append(len(shingles))
-            times = [len(part) for part in parts]
-            columns = [
-                np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64),
-                np.repeat(np.array(digests, np.uint64).view(np.int64), times), np.repeat(np.array(sizes, np.int32), times),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "digest", "size"])
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingles, digests, sizes in _whole_groups(batches, 1):
-            new = np.concatenate([[True], (shingles[1:] != shingles[:-1]) | (digests[1:] != digests[:-1])])
-            shingles, digests, sizes = shingles[new], digests[new], sizes[new]
-            starts = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
-            many = np.diff(np.append(starts, len(shingles)))
-            first, several = np.repeat(starts, many), np.repeat(many > 1, many)
-            columns = [c[several] for c in (shingles, digests, sizes, digests[first], sizes[first])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "digest", "size", "least", "least_size"])
-
-    rows = docs.select(F.col(text).cast("binary")).mapInArrow(dealt, "shingle long, digest long, size int")
-    rows = rows.repartition("shingle").sortWithinPartitions("shingle", "digest")
-    return rows.mapInArrow(grouped, "shingle long, digest long, size int, least long, least_size int")
-
-
-def stars(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`a, b`: pairs of the first text of each group with each other one, where their sizes allow to be similar."""
-    close = F.least("size", "least_size") >= SIMILARITY * F.greatest("size", "least_size")
-    pairs = groups.filter(F.col("digest") != F.col("least")).filter(close).select("least", "digest").distinct()
-    pairs = pairs.join(nodes.select(F.col("digest").alias("least"), F.col("node").alias("x")), "least")
-    pairs = pairs.join(nodes.select("digest", F.col("node").alias("y")), "digest")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def across(groups: DataFrame, rooted: DataFrame) -> DataFrame:
-    """`a, b`: every pair of texts of a group that have different roots and sizes that allow to be similar.
-
-    Groups of one root are left out before any pair is made, so that families of copies cost no pairs here.
-    """
-    placed = stored(groups.join(rooted.select("digest", "node", "root"), "digest").select("shingle", "node", "root", "size"), "placed")
-    bounds = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    rest = placed.join(bounds.filter("low < high").select("shingle"), "shingle", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingles, *columns in _whole_groups(batches, 1):
-            cuts = np.flatnonzero(shingles[1:] != shingles[:-1]) + 1
-            left, right, held = [], [], 0
-            for node, root, size in zip(*(np.split(c, cuts) for c in columns), strict=True):
-                step = max(1, _PAIRS // len(node))
-                for start in range(0, len(node), step):
-                    part = slice(start, start + step)
-                    apart = root[part, None] != root[None, :]
-                    apart &= node[part, None] < node[None, :]
-                    apart &= np.minimum(size[part, None], size) >= SIMILARITY * np.maximum(size[part, None], size)
-                    i, j = np.nonzero(apart)
-                    left.append(node[start + i])
-                    right.append(node[j])
-                    held += len(i)
-                    if held > _PAIRS:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
-                        left, right, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
-
-    rest = rest.select("shingle", "node", "root", "size").repartition("shingle").sortWithinPartitions("shingle", "node")
-    return rest.mapInArrow(run, "a long, b long").distinct()
-
-
-def _shingle_set(text: bytes) -> bytes:
-    words = text.lower().split()
-    spans = [b" ".join(words[i : i + SIMILAR_WORDS]) for i in range(max(1, len(words) - SIMILAR_WORDS + 1))]
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(x, SEED) for x in spans), "<u4", len(spans))).tobytes()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs whose texts' sets of five-word shingles have a Jaccard similarity of at least 0.8.
-
-    Only the texts that are in a pair are looked at: a filter of fixed size tells most of the others.
-    """
-    members = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(key_filter(members, ["key"]))  # of fixed size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
-        for batch in batches:
-            hit = held[batch.column(2).to_numpy()] & held[batch.column(3).to_numpy()]
-            batch = batch.filter(pa.array(hit.astype(bool)))
-            sets = [_shingle_set(x.as_py() or b"") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "shingles"])
-
-    slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-    sets = slim.select("*", *key_bits(["key"])).mapInArrow(run, "key long, shingles binary")
-    sets = stored(sets, "shingles")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(common >= SIMILARITY * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
-
-    return both.mapInArrow(compare, "a long, b long")
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the row of the smallest doc_id stays.
 
-    Texts of the same words are one; others are linked if their five-word shingles have a similarity of 0.8 or more.
-    Near fingerprints and the stars of the prefix groups join most of them; then every pair that shares a prefix and
-    is still apart is compared, so no such link is missed.
-    Rows that repeat the kept key (or a null key) are told apart by their order in the table as stored, so one of
-    them stays.  Texts without a word are one group.
+    Groups are those of `near_duplicates`: fingerprints of four-word shingles, linked at four or fewer differing bits.
+    Texts without a word are one group.  A null doc_id comes after all others; rows that repeat the kept one are told
+    apart by their order in the table as stored, so one of them stays.  All columns stay as they are, whatever their
+    names; an empty table gives an empty one.
     """
-    columns = docs.columns
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    prints = stored(sketches(numbered, "_row", "text"), "sketches")
-    nodes = stored(prints.groupBy("fp", "digest").agg(F.min("id").alias("node")), "nodes")
-    groups = prefix_groups(numbered, "text", common_shingles(numbered, "_row", "text", prints.count()))
-    groups = stored(groups, "prefixes")
-    tried = stored(candidates(nodes).union(stars(groups, nodes)).distinct(), "candidates")
-    links = stored(verified(tried, numbered, "_row", "text"), "similar")
-    rooted = stored(_rooted(nodes, links), "rooted")
-    rest = stored(across(groups, rooted).join(tried, ["a", "b"], "left_anti"), "apart")
-    if not rest.isEmpty():
-        more = stored(verified(rest, numbered, "_row", "text"), "similar")
-        rooted = rooted if more.isEmpty() else _rooted(nodes, links.union(more))
-    keyed = prints.join(rooted.select("fp", "digest", "root"), ["fp", "digest"]).select("id", "root")
-    keyed = stored(keyed.join(numbered.select(F.col("_row").alias("id"), "doc_id"), "id"), "grouped")
+    row = unused("_row", docs.columns)
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, row, "text").select("id", "component_id")
+    keyed = stored(found.join(numbered.select(F.col(row).alias("id"), F.col("doc_id")), "id"), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("id"))
-    kept = keyed.groupBy("root").agg(F.min(order).alias("first"))
-    others = keyed.join(kept.select(F.col("first.id").alias("id")), "id", "left_anti")
-    return numbered.join(others.select(F.col("id").alias("_row")), "_row", "left_anti").select(*columns)
-
-
-def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = keyed.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.id").alias("id"))
+    others = stored(keyed.join(kept, "id", "left_anti").select(F.col("id").alias(row)), "others")
+    return numbered.join(others, row, "left_anti").select(*docs.columns)

@@ -1,14 +1,14 @@
 """Queries of this folder against their SQL; the pipeline against its stages."""
 
-import random
 import zlib
 from pathlib import Path
 
 import duckdb
 import pytest
+from test_simhash import firsts
 
 import corpus_pipeline
-from lintlake.llm import decontam, langid, secretscan, simhash
+from lintlake.llm import decontam, langid, secretscan
 from lintlake.llm.queries import QUERIES, SQL
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -31,60 +31,6 @@ def test_one_query_for_each_operator():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
-def firsts(texts):
-    """Smallest keys of the groups of texts with a similarity of 0.8 or more, each compared with each."""
-    sets, parent = {}, {}
-    for key, text in texts.items():
-        words = (text or "").encode().lower().split()
-        sets[key] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-        parent[key] = key
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    keys = sorted(sets)
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            small, large = sorted((len(sets[a]), len(sets[b])))
-            if small >= 0.8 * large:
-                common = len(sets[a] & sets[b])
-                if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
-                    x, y = sorted((find(a), find(b)))
-                    parent[y] = x
-    return [k for k in keys if find(k) == k]
-
-
-def test_near_copies_are_dropped_and_others_kept(spark):
-    rng = random.Random(11)
-    words = [f"w{i}" for i in range(2000)]
-    docs = []
-    for i in range(60):
-        text = [rng.choice(words) for _ in range(rng.randint(60, 300))]
-        docs.append(text)
-        for edits in (0, 1, 2, 3, 6, 20):
-            copy = list(text)
-            for place in rng.sample(range(len(copy)), min(edits * len(copy) // 200 + (edits > 0), len(copy))):
-                copy[place] = rng.choice(words)
-            docs.append(copy)
-    # A dense group: many near copies of one text.
-    base = [rng.choice(words) for _ in range(250)]
-    for _ in range(150):
-        copy = list(base)
-        for place in rng.sample(range(250), 3):
-            copy[place] = rng.choice(words)
-        docs.append(copy)
-    docs.append(base)
-    rows = [(i, " ".join(text)) for i, text in enumerate(docs)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    kept = {r["doc_id"] for r in simhash.keep_one(frame).collect()}
-    wanted = set(firsts(dict(rows)))
-    # Every link is verified, so nothing else is dropped; a fingerprint may miss a near copy, of short texts above all.
-    assert wanted <= kept
-    assert len(kept - wanted) <= 0.02 * (len(rows) - len(wanted))
-
-
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     """What every stage was given and what it returned."""
@@ -106,7 +52,7 @@ def test_language_stage_keeps_what_is_known(spark, stages):
 
 def test_dedup_stage_keeps_one_of_each_group(stages):
     before, after = stages["simhash_near_dedup"]
-    assert set(after.doc_id) == set(firsts(before.text))
+    assert set(after.doc_id) == firsts(before.text.to_dict())
 
 
 def test_decontamination_stage_drops_texts_with_items(spark, stages):

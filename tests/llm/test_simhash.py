@@ -84,46 +84,38 @@ def test_majority_of_very_many_shingles():
     assert found.dtype == np.uint64
 
 
-def test_copies_among_many_texts_of_one_fingerprint(spark):
-    rng = random.Random(7)
-    line = " ".join(f"line{i}" for i in range(11))
-    texts = [[f"w{rng.getrandbits(40)}" for _ in range(900)] for _ in range(40)]
-    texts.append([w if i % 300 else "other" for i, w in enumerate(texts[-1])])
-    rows = [(i, " ".join([*[line] * 1000, *own]), 0) for i, own in enumerate(texts)]
-    assert len({simhash._simhash([_Text(t)], simhash.SKETCH_SHINGLE)[0] for _, t, _ in rows}) == 1
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
-    assert {r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()} == set(range(40))
-
-
-class _Text:
-    def __init__(self, text):
-        self.text = text.encode()
-
-    def as_py(self):
-        return self.text
-
-
-def barely_similar(rng, count):
-    """Pairs of texts with a five-word similarity of 0.80 to 0.85, by scattered substitutions."""
-    pairs = []
-    while len(pairs) < count:
-        own = [f"w{rng.getrandbits(40)}" for _ in range(rng.choice([60, 100, 200, 300]))]
-        copy = list(own)
-        for at in rng.sample(range(len(own)), max(1, len(own) * rng.randint(15, 30) // 1000)):
-            copy[at] = f"x{rng.getrandbits(40)}"
-        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (own, copy))
-        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
-            pairs.append((" ".join(own), " ".join(copy)))
-    return pairs
-
-
-def test_barely_similar_pairs_are_all_found(spark):
-    pairs = barely_similar(random.Random(11), 400)
-    prints = [simhash._simhash([_Text(a), _Text(b)], simhash.SKETCH_SHINGLE) for a, b in pairs]
-    far = sum(int(np.bitwise_count(x ^ y)) > simhash.SKETCH_RADIUS for x, y in prints)
-    assert far > 20  # the fingerprints alone miss these
-    rows = [(2 * i + k, pair[k], 0) for i, pair in enumerate(pairs) for k in range(2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
-    kept = {r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()}
-    print("far", far, "kept", len(kept))
-    assert kept == set(range(0, 800, 2))
+def firsts(texts):
+    """The smallest keys of the groups of texts whose fingerprints are linked, each compared with each."""
+    prints = {k: naive(t) for k, t in texts.items()}
+    keys = sorted(prints)
+    links = [(a, b) for i, a in enumerate(keys) for b in keys[i:] if (prints[a] ^ prints[b]).bit_count() <= 4]
+    return {k for k, r in roots(links).items() if k == r}
+
+
+def test_one_of_each_group_is_kept(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    docs = []
+    for _ in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(60, 600))]
+        for edits in (0, 0, 1, 2, 3, 6, 20):
+            copy = list(text)
+            for place in rng.sample(range(len(copy)), min(edits, len(copy))):
+                copy[place] = rng.choice(words)
+            docs.append(" ".join(copy))
+    keys = rng.sample(range(10_000), len(docs))
+    rows = [(k, t, "x") for k, t in zip(keys, docs, strict=True)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(5)
+    kept = simhash.keep_one(frame).collect()
+    wanted = firsts({k: t for k, t, _ in rows})
+    assert sorted(r["doc_id"] for r in kept) == sorted(wanted)
+    assert len(wanted) < len(rows) - 60
+    assert {(r["doc_id"], r["text"], r["_row"]) for r in kept} <= set(rows)
+
+
+def test_repeated_and_null_keys(spark):
+    one, two = "a b c d e f", "some other text of quite other words"
+    rows = [(3, one), (3, one), (None, one), (None, two), (None, two), (2, None), (2, ""), (5, " ")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["text"] or "") for r in kept} == {(2, ""), (3, one), (None, two)}
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 2), (False, 3), (True, 0)]
