@@ -5,6 +5,8 @@ Every rollup reads its input once and counts before it shuffles.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,43 +107,66 @@ def summary(findings: DataFrame) -> DataFrame:
     return grouped.select(stat.alias("stat"), F.coalesce("severity", "finding_type").alias("key"), "findings")
 
 
-def _stats(findings: DataFrame, distinct: dict[str, Column], counted: dict[str, Column]) -> DataFrame:
-    """(stat, key, findings): counts per key, distinct values per `distinct` entry, total.
+# What the statistics of each kind count by key, and of what they count the distinct values; SQL texts.
+COUNTED = {
+    "vulnerability": {"severity": "severity", "cwe": "cwe", "owasp": "owasp", "category": "coalesce(category, 'other')"},
+    "dependency": {"severity": "severity", "cve": "cve"},
+    "quality": {"rule": "rule_id"},
+}
+DISTINCT = {
+    "vulnerability": {"files_affected": "file"},
+    "dependency": {"packages_affected": "package"},
+    "quality": {"files_affected": "file"},
+}
+
+
+def stats_state(findings: DataFrame, kind: str) -> DataFrame:
+    """(stat, key, n): how often each key occurs in a run, to be stored and merged with other runs'.
 
-    Counting by (stat, key) first reduces every partition to its own keys, also
-    for the distinct counts, which then only count those keys.
+    Keys of distinct counts are kept as they are, so merged counts are exact.  Every partition counts its own keys
+    before they are shuffled.
     """
+    pairs = [*COUNTED[kind].items(), *DISTINCT[kind].items(), ("total", "''")]
+    structs = [f"named_struct('stat', '{stat}', 'key', CAST({key} AS STRING))" for stat, key in pairs]
+    exploded = findings.select(F.explode(F.expr(f"array({', '.join(structs)})")).alias("p")).filter(F.col("p.key").isNotNull())
+    return exploded.groupBy("p.stat", "p.key").agg(F.count("*").alias("n"))
+
+
+def merge_stats(*states: DataFrame) -> DataFrame:
+    """The state of all runs together: counts of a key are added up."""
+    return reduce(DataFrame.unionByName, states).groupBy("stat", "key").agg(F.sum("n").alias("n"))
 
-    def pair(stat: str, key: Column) -> Column:
-        return F.struct(F.lit(stat).alias("stat"), key.cast("string").alias("key"))
 
-    pairs = [pair(s, k) for s, k in {**counted, **distinct}.items()] + [pair("total", F.lit(""))]
-    exploded = findings.select(F.explode(F.array(*pairs)).alias("p")).filter(F.col("p.key").isNotNull())
-    counts = exploded.groupBy("p.stat", "p.key").agg(F.count("*").alias("n"))
-    is_distinct = F.col("stat").isin(list(distinct)) if distinct else F.lit(False)
+def stats_of(state: DataFrame, kind: str) -> DataFrame:
+    """(stat, key, findings): counts per key, distinct values and the total of a state."""
+    is_distinct = F.col("stat").isin(list(DISTINCT[kind]))
     key = F.when(~is_distinct & (F.col("stat") != "total"), F.col("key"))
-    return counts.groupBy("stat", key.alias("key")).agg(
+    return state.groupBy("stat", key.alias("key")).agg(
         F.sum(F.when(is_distinct, F.lit(1)).otherwise(F.col("n"))).cast("bigint").alias("findings")
     )
 
 
+def stats_sketch(findings: DataFrame, kind: str) -> DataFrame:
+    """One row: sketches of the distinct values, of a size that does not depend on their number."""
+    return findings.agg(*[F.hll_sketch_agg(F.expr(f"CAST({key} AS STRING)")).alias(stat) for stat, key in DISTINCT[kind].items()])
+
+
+def merge_sketches(kind: str, *sketches: DataFrame) -> DataFrame:
+    """One row: about how many distinct values all runs have together."""
+    union = reduce(DataFrame.unionByName, sketches)
+    return union.agg(*[F.hll_sketch_estimate(F.hll_union_agg(stat)).alias(stat) for stat in DISTINCT[kind]])
+
+
 def vuln_stats(findings: DataFrame) -> DataFrame:
     """Counts by severity, cwe, owasp and category, and the files affected."""
-    counted = {
-        "severity": F.col("severity"),
-        "cwe": F.col("cwe"),
-        "owasp": F.col("owasp"),
-        "category": F.coalesce("category", F.lit("other")),
-    }
-    return _stats(findings, {"files_affected": F.col("file")}, counted)
+    return stats_of(stats_state(findings, "vulnerability"), "vulnerability")
 
 
 def dep_stats(findings: DataFrame) -> DataFrame:
     """Counts by severity and cve, and the packages affected."""
-    counted = {"severity": F.col("severity"), "cve": F.col("cve")}
-    return _stats(findings, {"packages_affected": F.col("package")}, counted)
+    return stats_of(stats_state(findings, "dependency"), "dependency")
 
 
 def quality_stats(findings: DataFrame) -> DataFrame:
     """Counts by rule, and the files affected."""
-    return _stats(findings, {"files_affected": F.col("file")}, {"rule": F.col("rule_id")})
+    return stats_of(stats_state(findings, "quality"), "quality")

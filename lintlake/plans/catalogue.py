@@ -13,6 +13,8 @@ from lintlake.functions import matching as M
 from lintlake.functions.identity import finding_id
 from lintlake.functions.language import language_by_shebang, language_for_extension, language_of, suffix_of
 from lintlake.functions.severity import sarif_level, severity_rank
+from lintlake.functions.sqlfunctions import register
+from lintlake.functions.sqltext import quote
 from lintlake.operators import dependencies as D
 from lintlake.operators import duplicates as B
 from lintlake.operators import files as P
@@ -92,6 +94,26 @@ def credential_hits(spark, sf_dir):
     return found.select("doc_id", "m.line", "m.column", F.col("m.text").alias("matched_text"))
 
 
+@query
+def credential_hits_in_sql(spark, sf_dir):
+    """The same written in SQL alone, with the functions that a session is given."""
+    register(spark)
+    return spark.sql(f"""SELECT doc_id, m.line, m.column, m.text AS matched_text
+        FROM (SELECT doc_id, lint_find_matches(text, {quote(CREDENTIAL)}) AS found FROM parquet.`{sf_dir}/documents.parquet`)
+        LATERAL VIEW OUTER explode(found) AS m WHERE m IS NOT NULL""")
+
+
+@query
+def findings_in_sql(spark, sf_dir):
+    """A detector of one's own in SQL: sentences on a line of their own, with id, place and context."""
+    register(spark)
+    return spark.sql(f"""SELECT file, m.line, m.column, lint_finding_id(file, m.line, 'sentence') AS id,
+            lint_snippet(text, m.line) AS snippet, lint_count_matches(m.text, '[a-z]+') AS words
+        FROM (SELECT concat('doc/', doc_id) AS file, text, lint_find_matches(text, '^[A-Z][a-z ]+[.]$') AS found
+            FROM parquet.`{sf_dir}/documents.parquet`)
+        LATERAL VIEW OUTER explode(found) AS m WHERE m IS NOT NULL""")
+
+
 @query
 def word_positions(spark, sf_dir):
     """Positions of a frequent pattern, many matches per text, some across lines."""
@@ -635,6 +657,15 @@ def vuln_stats(spark, sf_dir):
     return A.vuln_stats(_sast(spark, sf_dir))
 
 
+@query
+def merged_vuln_stats(spark, sf_dir):
+    """Statistics of two runs, stored apart and merged."""
+    files = corpus(spark, sf_dir)
+    runs = [files.filter(F.col("doc_id") % 3 == 0), files.filter(F.col("doc_id") % 3 != 0)]
+    states = [stored(A.stats_state(sast_findings(run, None, NOW), "vulnerability"), "stats") for run in runs]
+    return A.stats_of(A.merge_stats(*states), "vulnerability")
+
+
 # Sinks
 
 
@@ -674,9 +705,9 @@ def csv_report(spark, sf_dir):
 
 @query
 def sarif_document(spark, sf_dir):
-    """The results of a SARIF log written from stored findings and read back."""
+    """The results of a SARIF log written from a scan and read back."""
     path = f"{checkpoint_root(spark)}/sarif-{uuid.uuid4().hex}"
-    sinks.write_sarif(stored(_scan(spark, sf_dir), "findings"), path)
+    sinks.write_sarif(_scan(spark, sf_dir), path)
     place = "locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int, startColumn: int>>>>"
     lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("value")).filter("value LIKE '{\"ruleId%'")
     result = lines.select(F.from_json("value", f"ruleId string, level string, {place}").alias("r"))

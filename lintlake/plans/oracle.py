@@ -351,6 +351,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "credential_hits": _with(*_places(_CRED))
         + 'SELECT doc_id, line, col AS "column", mtext AS matched_text FROM m',
+        "credential_hits_in_sql": _with(*_places(_CRED))
+        + 'SELECT doc_id, line, col AS "column", mtext AS matched_text FROM m',
+        "findings_in_sql": _with(*_places(
+            "SELECT concat('doc/', CAST(doc_id AS VARCHAR)) AS file, text AS code, '(?ms)^[A-Z][a-z ]+[.]$' AS pat FROM documents"))
+        + f"""SELECT file, line, col AS "column", {_uuid("concat(file, ':', CAST(line AS VARCHAR), ':sentence')")} AS id,
+            {_SNIPPET} AS snippet, CAST(len(regexp_extract_all(mtext, '[a-z]+')) AS INTEGER) AS words FROM m""",
         "word_positions": _with(*_places(r"SELECT doc_id, text AS code, '(?ms)[a-z]\.\s+[A-Z]' AS pat FROM documents"))
         + 'SELECT doc_id, line, col AS "column", mtext AS matched_text FROM m',
         "pattern_count": "SELECT doc_id, CAST(len(regexp_extract_all(text, '(?ims)the [a-z]+')) AS INTEGER) AS matches FROM documents",
@@ -537,6 +543,8 @@ def oracle_sql() -> dict[str, str]:
         "summary": _with(*SCAN) + _SUMMARY,
         "vuln_stats": _with(*SAST) + _stats("m", {"severity": "severity", "cwe": "cwe", "owasp": "owasp", "category": "category"},
             {"files_affected": "file"}),
+        "merged_vuln_stats": _with(*SAST) + _stats("m", {"severity": "severity", "cwe": "cwe", "owasp": "owasp", "category": "category"},
+            {"files_affected": "file"}),
         "sarif_results": _with(*SCAN) + """SELECT rule_id, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error'
             ELSE 'warning' END AS level, file AS uri, line AS start_line, col AS start_column FROM scan""",
         "sarif_rules": _with(*SCAN) + """SELECT rule_id, file, line FROM scan

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lintlake.functions.severity import sarif_level, severity_rank
 from lintlake.operators.hits import canonical
-from lintlake.support import small_table
+from lintlake.support import small_table, stored
 
 # Fixed values of the SARIF format.
 SARIF_VERSION = "2.1.0"
@@ -108,44 +108,40 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def _with_commas(entries: DataFrame) -> DataFrame:
-    """A comma before every entry but the first, which a subquery finds; equal places are told apart by their text."""
-    first = entries.agg(F.min(F.struct("at", "text"))).scalar()
-    comma = F.when(F.struct("at", "text") == first, F.lit("")).otherwise(F.lit(","))
+    """A comma before every entry but the first."""
+    first = entries.agg(F.min(F.struct("at", "number"))).scalar()
+    comma = F.when(F.struct("at", "number") == first, F.lit("")).otherwise(F.lit(","))
     return entries.withColumn("text", F.concat(comma, "text"))
 
 
 def to_sarif(findings: DataFrame, tool: str = "lintlake") -> DataFrame:
-    """One SARIF log of deduplicated findings as ordered text lines: (part, at, text).
+    """One SARIF log as ordered text lines: (part, at, number, text).
 
-    Sorted by (part, at) and joined, the lines are one JSON document.  It is
+    Sorted by (part, at, number) and joined, the lines are one JSON document.  It is
     never held in one place: every result is its own line.  All but the first
-    entry of a list carry the comma in front.  The findings are read several
-    times: give a stored table, not a scan.
+    entry of a list carry the comma in front.  The findings are read once: what the log says of each is written to the
+    shared folder, with a number that tells equal ones apart, and the rest works on that.
     """
-    results = findings.select(
-        F.lit(3).alias("part"),
-        _order(findings).alias("at"),
-        F.to_json(
-            F.struct(
-                F.col("rule_id").alias("ruleId"),
-                sarif_level("severity").alias("level"),
-                F.struct(F.col("message").alias("text")).alias("message"),
-                F.array(
-                    F.struct(
-                        F.struct(
-                            F.struct(F.col("file").alias("uri")).alias("artifactLocation"),
-                            F.struct(
-                                F.col("line").alias("startLine"), F.col("column").alias("startColumn")
-                            ).alias("region"),
-                        ).alias("physicalLocation")
-                    )
-                ).alias("locations"),
-            )
-        ).alias("text"),
+    place = F.struct(
+        F.struct(F.col("file").alias("uri")).alias("artifactLocation"),
+        F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn")).alias("region"),
+    )
+    result = F.struct(
+        F.col("rule_id").alias("ruleId"),
+        sarif_level("severity").alias("level"),
+        F.struct(F.col("message").alias("text")).alias("message"),
+        F.array(F.struct(place.alias("physicalLocation"))).alias("locations"),
     )
-    rules = sarif_rules(findings).select(
+    help_text = F.array_join("remediations", "\n").alias("help")
+    slim = findings.select("rule_id", "message", help_text, _order(findings).alias("at"), F.to_json(result).alias("text"))
+    entries = stored(slim.withColumn("number", F.monotonically_increasing_id()), "sarif")
+    results = entries.select(F.lit(3).alias("part"), "at", "number", "text")
+    first = F.struct("at", "number")
+    of_rule = entries.groupBy("rule_id").agg(F.min(first).alias("first"), F.min_by("message", first).alias("message"), F.min_by("help", first).alias("help"))
+    rules = of_rule.select(
         F.lit(1).alias("part"),
-        "at",
+        "first.at",
+        "first.number",
         F.to_json(
             F.struct(
                 F.col("rule_id").alias("id"),
@@ -160,10 +156,10 @@ def to_sarif(findings: DataFrame, tool: str = "lintlake") -> DataFrame:
     frame = [(0, head), (2, ']}},"results":['), (4, "]}]}")]
     rows = [{"part": part, "text": text} for part, text in frame]
     at = F.lit(None).cast(marked.schema["at"].dataType).alias("at")
-    fixed = small_table(findings.sparkSession, rows, _FRAME).select("part", at, "text")
+    fixed = small_table(findings.sparkSession, rows, _FRAME).select("part", at, F.lit(0).cast("long").alias("number"), "text")
     return marked.unionAll(fixed)
 
 
 def write_sarif(findings: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Text parts that, read in name order, are one SARIF document."""
-    to_sarif(findings).orderBy("part", "at").select("text").write.mode(mode).text(path)
+    to_sarif(findings).orderBy("part", "at", "number").select("text").write.mode(mode).text(path)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import findings as N
 from lintlake.operators.duplicates import duplicate_blocks
-from lintlake.operators.rollups import risk_score, run_metrics
+from lintlake.operators.rollups import merge_sketches, risk_score, run_metrics, stats_sketch
 from lintlake.operators.secrets import secrets
-from lintlake.plans.scan import analyse, scan, scan_tree
+from lintlake.plans.scan import analyse, scan, scan_tree, write_scan
 from lintlake.schema import FINDINGS
 from lintlake.sources import sinks
+from lintlake.sources.tables import load_rules
 from lintlake.streaming.incremental import run_available, scan_stream, stream_files
 from lintlake.streaming.lifecycle import merge_lifecycle
 
@@ -125,6 +126,53 @@ def test_sarif_without_findings(found, tmp_path):
     assert json.loads(text)["runs"][0]["results"] == []
 
 
+def test_sarif_of_equal_findings(found, tmp_path):
+    first = found.orderBy(F.desc("severity_rank"), "file", "line", "rule_id").limit(1)
+    frame = first.unionAll(first).unionAll(first).unionAll(found)
+    sinks.write_sarif(frame, str(tmp_path / "s"))
+    text = "".join(open(p).read() for p in sorted(glob.glob(str(tmp_path / "s" / "part-*"))))
+    assert len(json.loads(text)["runs"][0]["results"]) == 14
+
+
+def test_sarif_reads_findings_once(spark, files, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    found = scan(files.mapInArrow(counted, files.schema), severity="INFO", now=NOW, order=False, dependencies=False)
+    sinks.write_sarif(found, str(tmp_path / "s"))
+    assert reads.value == len(ROWS)
+
+
+def test_written_scan(spark, files, found, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    odd = files.unionByName(spark.createDataFrame([("n.py", "python", None), ("big.js", "javascript", "eval(x)" * 200), ("n.md", "markdown", None)], files.schema))
+    rules = load_rules(spark).unionByName(load_rules(spark).limit(1).withColumns({"id": F.lit("bad"), "pattern": F.lit(r"\0x")}))
+    row = write_scan(odd.mapInArrow(counted, files.schema), str(tmp_path / "w"), rules, severity="INFO", now=NOW, max_mb=0.001).first()
+    written = spark.read.parquet(str(tmp_path / "w" / "findings"))
+    assert sorted(_rows(written), key=repr) == sorted(_rows(found), key=repr)
+    assert reads.value == len(ROWS) + 3
+    errors = {tuple(r) for r in spark.read.parquet(str(tmp_path / "w" / "errors")).select("file", "rule_id", "error").collect()}
+    assert errors == {("n.py", None, "unreadable"), ("big.js", None, "too_large"), (None, "bad", "pattern has a construct without a counterpart")}
+    plain = run_metrics(found, odd, errors=2).first()
+    assert row == plain and (row.errors, row.files_scanned) == (2, 8)
+
+
+def test_sketches_of_two_runs(found):
+    runs = [found.filter("line = 1"), found.filter("line > 1")]
+    both = merge_sketches("vulnerability", *[stats_sketch(run, "vulnerability") for run in runs]).first()
+    assert both.files_affected == found.select("file").distinct().count()
+
+
 def test_other_sinks(spark, files, found, tmp_path):
     for kind in ("json", "csv", "parquet", "text"):
         sinks.write_findings(found, str(tmp_path / kind), kind, metrics=run_metrics(found, files))
