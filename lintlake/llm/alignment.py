@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import cached, stored, table
 from lintlake.llm.tokencounts import byte_signs
-from lintlake.llm.wordids import vocabulary_path
+from lintlake.llm.wordids import ranges, vocabulary_path
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -32,7 +32,7 @@ _HEAD = 1 << 18
 class Encoder:
     """Ids of both tokenizers for segments of a text, each with a blank before it.
 
-    A segment whose tokens do not spell it in one of them has none, and with it its text.
+    A segment whose tokens do not spell it in one of them is not `sound`, nor is its text.
     """
 
     def __init__(self, first: str, second: str):
@@ -50,30 +50,56 @@ class Encoder:
             self.spelled_a[i] = bytes(signs[c] for c in entry)
         self.spelled_b = [self._spelling(i) for i in range(self.pieces.get_piece_size())]
         self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.spelled_a, self.spelled_b))
-        self.known: dict[str, tuple[list[int], list[int]] | None] = {}
+        self._reset()
 
     def _spelling(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, segments: list[list[str]]) -> list[list[tuple[list[int], list[int]] | None]]:
-        """Both ids of all segments of all texts."""
-        if len(self.known) > _KEPT:
-            self.known = {}
-        new = list(set(chain.from_iterable(segments)).difference(self.known))
-        firsts = self.bytewise.encode_batch_fast([" " + s for s in new], add_special_tokens=False)
-        seconds = self.pieces.encode(new, num_threads=1)
-        for segment, a, b in zip(new, firsts, seconds, strict=True):
-            a, b = a.ids, b or [self.blank]
-            spelled = b" " + segment.encode()
-            same = b"".join([self.spelled_a[i] for i in a]) == spelled == b"".join([self.spelled_b[i] for i in b])
-            self.known[segment] = (a, b) if same else None
-        found = [[self.known[s] for s in some] for some in segments]
+    def _reset(self) -> None:
+        self.number: dict[str, int] = {}
+        self.sound = np.zeros(0, bool)
+        # The ids of all known segments, one after another, and where those of each begin; of both kinds.
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.first = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+
+    def encode(self, segments: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of all segments of all texts, good until the next call."""
+        if len(self.number) > _KEPT or sum(map(len, self.ids)) > 16 * _KEPT:
+            self._reset()
+        new = list(set(chain.from_iterable(segments)).difference(self.number))
+        if new:
+            self._learn(new)
+        found = [np.fromiter(map(self.number.__getitem__, some), np.int64, len(some)) for some in segments]
         for segment in new:
             if len(segment) > _LONG:
-                del self.known[segment]
+                del self.number[segment]
         return found
 
+    def _learn(self, new: list[str]) -> None:
+        count = len(self.sound)
+        self.number.update(zip(new, range(count, count + len(new)), strict=True))
+        a = [e.ids for e in self.bytewise.encode_batch_fast([" " + s for s in new], add_special_tokens=False)]
+        b = [ids or [self.blank] for ids in self.pieces.encode(new, num_threads=1)]
+        texts = [b" " + s.encode() for s in new]
+        sound = np.ones(len(new), bool)
+        for ids, spelled in ((a, self.spelled_a), (b, self.spelled_b)):
+            same = [b"".join([spelled[i] for i in some]) == text for some, text in zip(ids, texts, strict=True)]
+            sound &= np.array(same, bool)
+        self.sound = np.concatenate([self.sound, sound])
+        for kind, ids in enumerate((a, b)):
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+            self.first[kind] = np.concatenate([self.first[kind], self.first[kind][-1] + np.cumsum(sizes)])
+            self.ids[kind] = np.concatenate([self.ids[kind], flat])
+
+    def sizes(self, kind: int, numbers: np.ndarray) -> np.ndarray:
+        return self.first[kind][numbers + 1] - self.first[kind][numbers]
+
+    def tokens(self, kind: int, numbers: np.ndarray) -> np.ndarray:
+        """The ids of segments, one after another."""
+        return self.ids[kind][ranges(self.first[kind][numbers], self.sizes(kind, numbers))].astype(np.int64)
+
 
 def gallop(short: np.ndarray, long: np.ndarray, guess: np.ndarray) -> np.ndarray:
     """For every value of `short` the number of smaller ones in `long`; both ascend.
@@ -172,15 +198,12 @@ class Aligner:
         self.pairs = len(self.encoder.spelled_b)
         self.digits = _digits(max(len(self.encoder.spelled_a), self.pairs))
 
-    def align(self, parts: list[list]) -> tuple[list[tuple[int, int, int, int]], list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
-        """Of each part, a list of encoded segments: n_a, n_b, n_groups, n_links; the groups written out; its pairs and how often."""
+    def align(self, parts: list[np.ndarray]) -> tuple[list[tuple[int, int, int, int]], list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+        """Of each part, the numbers of its segments: n_a, n_b, n_groups, n_links; the groups written out; its pairs and how often."""
         texts = len(parts)
-        sizes = [[sum(len(segment[k]) for segment in part) for part in parts] for k in (0, 1)]
+        sizes = [[int(self.encoder.sizes(kind, part).sum()) for part in parts] for kind in (0, 1)]
         first_a, first_b = (np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) for n in sizes)
-        ids_a, ids_b = (
-            np.fromiter(chain.from_iterable(segment[k] for part in parts for segment in part), np.int64, int(first[-1]))
-            for k, first in ((0, first_a), (1, first_b))
-        )
+        ids_a, ids_b = (self.encoder.tokens(kind, np.concatenate(parts)) for kind in (0, 1))
         ends_a, ends_b = np.cumsum(self.encoder.size_a[ids_a]), np.cumsum(self.encoder.size_b[ids_b])
         group_a, group_b, link_a, link_b = align(ends_a, ends_b, first_a, first_b)
         text_a = np.repeat(np.arange(texts), sizes[0])
@@ -268,24 +291,20 @@ def _document_columns(aligner: Aligner, texts: list[str]) -> list[pa.Array]:
     ]
 
 
-def _parts(encoder: Encoder, texts: list[str]) -> Iterator[tuple[list[int], list[list]]]:
-    """The encoded segments of all texts that have tokens, very long texts in several parts."""
-    cut = [_CUT.split(t) if t else [] for t in texts]
-    found = encoder.encode(cut)
+def _parts(encoder: Encoder, texts: list[str]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """The numbers of the segments of all texts that have tokens, very long texts in several parts."""
+    found = encoder.encode([_CUT.split(t) if t else [] for t in texts])
     owners, parts = [], []
     for owner, segments in enumerate(found):
-        if not segments or None in segments:
+        if not len(segments) or not encoder.sound[segments].all():
             continue
         if len(texts[owner]) <= 2 * _CHUNK:
             owners.append(owner)
             parts.append(segments)
             continue
-        begin, size = 0, 0
-        for i, segment in enumerate(segments):
-            size += len(segment[0]) + len(segment[1])
-            if size > _CHUNK or i == len(segments) - 1:
-                yield [owner], [segments[begin : i + 1]]
-                begin, size = i + 1, 0
+        tokens = np.cumsum(encoder.sizes(0, segments) + encoder.sizes(1, segments))
+        for part in np.split(segments, np.flatnonzero(np.diff(tokens // _CHUNK)) + 1):
+            yield [owner], [part]
     if parts:
         yield owners, parts
 

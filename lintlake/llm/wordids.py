@@ -57,7 +57,7 @@ class Words:
         at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
         starts, lengths = self._places(at)
         per_text = np.add.reduceat(np.append(lengths, 0), np.cumsum(sizes) - sizes) if len(texts) else lengths
-        return self.ids[_ranges(starts, lengths)], per_text
+        return self.ids[ranges(starts, lengths)], per_text
 
     def _places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.where(at > 0, self.ends[at - 1], 0)
@@ -74,7 +74,7 @@ class Words:
         self._learn_cores([p for p in {p for w in joined for p in parts[w]} if p not in self.number])
         pairs = np.array([self.number[p] for w in joined for p in parts[w]], np.int64)
         starts, lengths = self._places(pairs)
-        self._extend(joined, self.ids[_ranges(starts, lengths)], lengths.reshape(-1, 2).sum(1))
+        self._extend(joined, self.ids[ranges(starts, lengths)], lengths.reshape(-1, 2).sum(1))
 
     def _learn_cores(self, cores: list[str]) -> None:
         """Every core is one piece to the tokenizer, and only its last id ends a word: many go in one call."""
@@ -113,7 +113,7 @@ def _folded(text: str) -> str:
     return lower if safe else text
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one after another."""
     some = lengths > 0
     starts, lengths = starts[some], lengths[some]
