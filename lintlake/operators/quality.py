@@ -34,19 +34,22 @@ MAX_LINE_LENGTH = 120
 MAX_COMPLEXITY = 10
 
 # What the detectors look for.
-_TODO = rf"{SPACE}*(TODO|FIXME|HACK|XXX|BUG)[\s\x1c-\x1f:](.*)"
-TODO_PATTERNS = {"#": rf"#{_TODO}", "//": rf"//{_TODO}", "/*": rf"/\*{_TODO}"}
+TODO_PATTERNS = {
+    "#": r"#[\s\x1c-\x1f]*(TODO|FIXME|HACK|XXX|BUG)[\s\x1c-\x1f:](.*)",
+    "//": r"//[\s\x1c-\x1f]*(TODO|FIXME|HACK|XXX|BUG)[\s\x1c-\x1f:](.*)",
+    "/*": r"/\*[\s\x1c-\x1f]*(TODO|FIXME|HACK|XXX|BUG)[\s\x1c-\x1f:](.*)",
+}
 COMMENTED_PATTERNS = {
-    "#": rf"#{SPACE}*(if |for |while |def |class |import |return |print)",
-    "//": rf"//{SPACE}*(if |for |while |function |const |let |var |return)",
+    "#": r"#[\s\x1c-\x1f]*(if |for |while |def |class |import |return |print)",
+    "//": r"//[\s\x1c-\x1f]*(if |for |while |function |const |let |var |return)",
 }
 BRANCH_PATTERN = r"\b(if|for|while|case|catch|elif|else)\b"
 BLOCK_WORDS = ("def", "function", "public", "private", "protected")
-BLOCK_START_PATTERN = rf"^{SPACE}*({'|'.join(BLOCK_WORDS)}){SPACE}+[^\s\x1c-\x1f]"
+BLOCK_START_PATTERN = r"^[\s\x1c-\x1f]*(def|function|public|private|protected)[\s\x1c-\x1f]+[^\s\x1c-\x1f]"
 FUNCTION_PATTERNS = {
-    "python": rf"^{SPACE}*def{SPACE}+(\w+){SPACE}*\(",
-    "javascript": rf"^{SPACE}*function{SPACE}+(\w+){SPACE}*\(",
-    "java": rf"^{SPACE}*(public|private|protected)?{SPACE}*(static)?{SPACE}*\w+{SPACE}+(\w+){SPACE}*\(",
+    "python": r"^[\s\x1c-\x1f]*def[\s\x1c-\x1f]+(\w+)[\s\x1c-\x1f]*\(",
+    "javascript": r"^[\s\x1c-\x1f]*function[\s\x1c-\x1f]+(\w+)[\s\x1c-\x1f]*\(",
+    "java": r"^[\s\x1c-\x1f]*(public|private|protected)?[\s\x1c-\x1f]*(static)?[\s\x1c-\x1f]*\w+[\s\x1c-\x1f]+(\w+)[\s\x1c-\x1f]*\(",
 }
 FUNCTION_WORDS = {"python": "def", "javascript": "function", "java": "("}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lintlake.builtin.tables import CWE_REMEDIATION, DEFAULT_REMEDIATION
@@ -142,9 +142,11 @@ def rule_info_rows(rules: list) -> list[dict]:
     return rows
 
 
-def indexed_hits(files: DataFrame, rules: list[Row], dedup_rows: bool = True, *keep: str) -> DataFrame:
-    """Exploded hits of one block of a rule table; `files` has (file, code, language)."""
-    tried = files.withColumn("_candidates", candidates(rules, SAST, files)("code", "language"))
+def indexed_hits(
+    files: DataFrame, rules: list[Row], dedup_rows: bool = True, *keep: str, analyzer: int = SAST, language: Column | str = "language"
+) -> DataFrame:
+    """Exploded hits of one block of a rule table; `files` has (file, code) and the language."""
+    tried = files.withColumn("_candidates", candidates(rules, analyzer, files)("code", language))
     marked = tried.select("file", "code", *keep, F.expr(matching_sql("code", "_candidates")).alias("_marks"))
     hits = marked_hits_sql("code", "_marks")
     return explode_hits(marked, first_per_line_sql(hits) if dedup_rows else hits, *keep)

@@ -93,7 +93,7 @@ def _secrets(base: str) -> list[str]:
     return [SECRET_CTE, *_places(f"SELECT d.file, d.code, r.* FROM {base} d, secret_rules r", "sm")]
 
 
-# Comment detectors.
+# The comment detectors.
 _TODO_ROWS = [
     (0, r"(?i)#\s*(TODO|FIXME|HACK|XXX|BUG)[\s:](.*)"),
     (1, r"(?i)//\s*(TODO|FIXME|HACK|XXX|BUG)[\s:](.*)"),
@@ -144,6 +144,7 @@ def _ascii(col: str) -> str:
     return rf"regexp_replace({blanked}, '[^\x00-\x7F]', 'x', 'g')"
 
 
+# Headers and branch words.
 _START = r"'^\s*(def|function|public|private|protected)\s+\S'"
 _BRANCH = r"'\b(if|for|while|case|catch|elif|else)\b'"
 
@@ -163,6 +164,7 @@ def _complexity(base: str) -> list[str]:
     ]
 
 
+# Function headers by language.
 _HEADERS = r"""CASE language WHEN 'python' THEN '^\s*def\s+(\w+)\s*\(' WHEN 'javascript' THEN '^\s*function\s+(\w+)\s*\('
     WHEN 'java' THEN '^\s*(public|private|protected)?\s*(static)?\s*\w+\s+(\w+)\s*\(' END"""
 _INDENT = r"length(regexp_extract({0}, '^\s*'))"

@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.builtin.rules import SECRET_RULES
 from lintlake.builtin.tables import MANIFEST_NAMES, MANIFEST_SUFFIX
 from lintlake.functions.severity import RANK
 from lintlake.operators.dependencies import (
@@ -28,6 +29,7 @@ from lintlake.operators.hits import (
     ERROR,
     NO_HITS,
     SAST,
+    SECRET,
     canonical,
     concat_sql,
     dedup_hits,
@@ -51,7 +53,7 @@ from lintlake.operators.sast import (
     rule_marks_sql,
     with_folded,
 )
-from lintlake.operators.secrets import secret_info_rows, secret_marks_sql, secret_rows
+from lintlake.operators.secrets import ANY, secret_blocks, secret_info, secret_info_rows, secret_marks_sql
 from lintlake.schema import SEVERITIES
 from lintlake.sources.files import read_files
 from lintlake.sources.tables import builtin_advisories
@@ -135,6 +137,7 @@ def all_hits(
         usable = usable.filter("_scan")
     usable = spread(usable)
     blocks: list[list] = []
+    secret_rules: list[list] = []
     marks: list[str] = []
     parts: list[str] = []
     info: list[dict] = []
@@ -146,14 +149,21 @@ def all_hits(
         rules = filter_rules(rules, severities=wanted)
         blocks = list(rule_blocks(rules))
     if options.secrets:
-        patterns = [r for r in secret_rows(secret_patterns) if r["severity"] in wanted]
-        marks.append(secret_marks_sql("code", patterns))
-        info += secret_info_rows(patterns)
+        if secret_patterns is None:
+            patterns = [r for r in SECRET_RULES if r["severity"] in wanted]
+            marks.append(secret_marks_sql("code", patterns))
+            info += secret_info_rows(patterns)
+        else:
+            secret_patterns = secret_patterns.filter(F.col("severity").isin(wanted))
+            secret_rules = list(secret_blocks(secret_patterns))
     if options.quality:
         marks.append(quality_marks_sql("code", wanted))
         parts += quality_hits_sql("code", "language", wanted)
         info += [r for r in quality_info_rows() if r["severity"] in wanted]
     texts = usable
+    if secret_rules:
+        texts = texts.withColumn("_secrets", candidates(secret_rules[0], SECRET, files)("code", F.lit(ANY)))
+        marks.append(matching_sql("code", "_secrets"))
     if blocks:
         texts = texts.withColumn("_candidates", candidates(blocks[0], SAST, files)("code", "language"))
         marks.append(matching_sql("code", "_candidates"))
@@ -169,7 +179,11 @@ def all_hits(
     hits = concat_sql([marked_hits_sql("code", "_marks"), *parts])
     tables = [explode_hits(marked, first_per_line_sql(hits), *keep)]
     tables += [indexed_hits(usable.filter("_scan"), block, True, *keep) for block in blocks[1:]]
+    more = secret_rules[1:]
+    tables += [indexed_hits(usable.filter("_scan"), block, True, *keep, analyzer=SECRET, language=F.lit(ANY)) for block in more]
     known = info_table(spark, info)
+    if secret_rules:
+        known = known.unionByName(secret_info(secret_patterns))
     if rules is not None:
         known = known.unionByName(rule_info(rules))
     return union_hits(spark, tables, *[files.schema[name] for name in keep]), known

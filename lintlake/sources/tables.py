@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -30,8 +31,8 @@ def load_rules(spark: SparkSession, source: str | Iterable[dict] | DataFrame | N
     """Usable rules of a source; the built-in rules without one.
 
     A source is a table, a list of rules as dicts, or a path: Parquet, JSON
-    lines, or a YAML pack with its rules under `rules`.  Invalid rules are left
-    out; `validate_rules` tells which.
+    lines, or YAML packs with their rules under `rules`.  Invalid rules are left
+    out; `validate_rules` and `read_packs` tell which.
     """
     if source is None:
         return builtin_rules(spark)
@@ -44,27 +45,65 @@ def _read_rules(spark: SparkSession, source: str | Iterable[dict] | DataFrame) -
     if not isinstance(source, str):
         return small_table(spark, map(_with_defaults, source), RULE_SCHEMA)
     if source.endswith((".yaml", ".yml")):
-        return small_table(spark, map(_with_defaults, _yaml_rules(spark, source)), RULE_SCHEMA)
+        return read_packs(spark, source)[0]
     if source.endswith((".json", ".jsonl")):
         return spark.read.schema(RULE_SCHEMA).json(source)
     return spark.read.parquet(source)
 
 
-def _yaml_rules(spark: SparkSession, path: str) -> list[dict]:
-    try:
-        import yaml
-    except ImportError as e:
-        raise ImportError("YAML rule packs need PyYAML; give the rules as JSON or Parquet instead") from e
-    # Configuration files, written by hand; a pack that cannot be read leaves the others as they are.
-    rules = []
-    for row in spark.read.text(path, wholetext=True).collect():
-        try:
-            pack = yaml.safe_load(row[0])
-        except yaml.YAMLError:
+_PACK_RULE = T.StructType([*RULE_SCHEMA.fields, T.StructField("pack", T.StringType()), T.StructField("problem", T.StringType())])
+
+
+def read_packs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rules, problems) of rule packs: YAML or JSON files with their rules under `rules`.
+
+    Every pack is read in a task of its own accord; one that cannot be read, or has no rules, costs itself only, and a
+    member that is no rule only that.  `problems` has (pack, problem) for each of them, beside the rules that
+    `validate_rules` rejects.
+    """
+    packs = spark.read.format("binaryFile").load(path).select("path", "content")
+    every = packs.mapInPandas(_pack_rules, _PACK_RULE)
+    rules = every.filter("problem IS NULL").drop("pack", "problem")
+    return rules, every.filter("problem IS NOT NULL").select("pack", "problem")
+
+
+def _pack_rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import yaml
+
+    names = _PACK_RULE.fieldNames()
+    for batch in batches:
+        rows: list[dict] = []
+        for path, content in zip(batch["path"], batch["content"]):
+            try:
+                pack = yaml.safe_load(content.decode("utf-8"))  # JSON is YAML, too
+            except (yaml.YAMLError, UnicodeDecodeError):
+                rows.append({"pack": path, "problem": "cannot be read"})
+                continue
+            members = pack.get("rules") if isinstance(pack, dict) else None
+            if not isinstance(members, list):
+                rows.append({"pack": path, "problem": "has no list of rules"})
+                continue
+            for number, member in enumerate(members):
+                wrong = _wrong_field(member)
+                if wrong:
+                    rows.append({"pack": path, "problem": f"rule {number + 1}: {wrong}"})
+                else:
+                    rows.append({"pack": path, **_with_defaults(member)})
+        yield pd.DataFrame([[row.get(name) for name in names] for row in rows], columns=names, dtype=object)
+
+
+def _wrong_field(member: object) -> str | None:
+    """The first field of a pack's member that no rule can have."""
+    if not isinstance(member, dict):
+        return "is no mapping"
+    for field in RULE_SCHEMA.fields:
+        value = member.get(field.name)
+        if value is None:
             continue
-        if isinstance(pack, dict) and isinstance(pack.get("rules"), list):
-            rules += [r for r in pack["rules"] if isinstance(r, dict)]
-    return rules
+        kind = bool if field.dataType == T.BooleanType() else list if isinstance(field.dataType, T.ArrayType) else str
+        if not isinstance(value, kind) or (kind is list and not all(isinstance(x, str) for x in value)):
+            return f"{field.name} is of another type"
+    return None
 
 
 def builtin_secret_patterns(spark: SparkSession) -> DataFrame:

@@ -10,7 +10,7 @@ from lintlake.functions.patterns import java_pattern
 from lintlake.operators import rule_index, sast
 from lintlake.operators import rules as R
 from lintlake.schema import RULES as RULE_SCHEMA
-from lintlake.sources.tables import builtin_rules, load_rules
+from lintlake.sources.tables import builtin_rules, load_rules, read_packs
 from lintlake.support import small_table
 
 # rule -> (text with a hit, text without).
@@ -191,6 +191,24 @@ def test_rules_from_files(spark, own_rules, tmp_path):
     assert (row.id, row.severity, row.message_template, row.category) == ("y", "LOW", "d", "security")
 
 
+def test_bad_packs_and_members_cost_themselves(spark, tmp_path):
+    packs = {
+        "a.yaml": "rules:\n  - {id: x, name: n, description: d, pattern: 'q', severity: low, language: go}\n  - nothing\n"
+                  "  - {id: 3, name: n}\n  - {id: z, name: n, description: d, pattern: q, severity: low, language: go, tags: [1]}\n",
+        "b.yaml": "rules: [", "c.yaml": "other: 1", "e.yaml": "rules: []",
+        "d.yaml": '{"rules": [{"id": "j", "name": "n", "description": "d", "pattern": "q+", "severity": "HIGH", "language": "Go", "enabled": false}]}',
+    }
+    for name, text in packs.items():
+        (tmp_path / name).write_text(text)
+    rules, problems = read_packs(spark, str(tmp_path / "*.yaml"))
+    assert {(r.id, r.language, r.enabled) for r in rules.collect()} == {("x", "go", True), ("j", "go", False)}
+    assert {(r.pack.rsplit("/", 1)[1], r.problem) for r in problems.collect()} == {
+        ("a.yaml", "rule 2: is no mapping"), ("a.yaml", "rule 3: id is of another type"), ("a.yaml", "rule 4: tags is of another type"),
+        ("b.yaml", "cannot be read"), ("c.yaml", "has no list of rules"),
+    }
+    assert sorted(r.id for r in load_rules(spark, str(tmp_path / "*.yaml")).collect()) == ["j", "x"]
+
+
 def test_large_rule_tables_are_not_compiled(spark, make_files):
     rules = spark.range(500).select(
         F.format_string("r%d", "id").alias("id"), F.lit("n").alias("name"), F.lit("d").alias("description"),
