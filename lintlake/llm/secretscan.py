@@ -20,24 +20,35 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 
-# The added kind: strings of 16 characters and more that mix letters and digits (or change case within, again and
-# again), of which a token holds at most this many characters.  Random strings stay under it, words are above.
+# The added kind: strings of 16 characters and more of which a token holds at most so many characters, by the kinds of
+# characters in them.  Of random strings of 16 to 64 characters under 2 % lie above the limit, words lie above it.
 RANDOM = "random"
 RANDOM_LEAST = 16
-CHARS_PER_TOKEN = 1.7
+CHARS_PER_TOKEN = {
+    # Kind: limit under 20 characters, and from there on.
+    "lower": (2.0, 2.0), "upper": (2.0, 1.85), "digits": (2.9, 2.9), "letters": (1.8, 1.8), "hex": (2.3, 2.3), "mixed": (2.0, 1.86),
+}
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 # Digests and identifiers that are public by nature: named digests, UUIDs, names made of words and numbers.
-_DIGEST = re.compile(
+_NAMED = re.compile(
     r"(?:md5|sha-?(?:1|224|256|384|512)|crc32|blake[23][bs]?|digest|checksum|integrity|commit|revision|etag)"
     r"[\"']?\s*[:=\-/(]?\s*[\"']?$",
     re.IGNORECASE,
 )
+# Digests of 16 to 64 bytes, in hexadecimal digits or in base 64.
+_DIGEST = re.compile(
+    r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
+    r"|[A-Za-z0-9+/]{22}==|[A-Za-z0-9+/]{27}=|[A-Za-z0-9+/]{43}=|[A-Za-z0-9+/]{64}|[A-Za-z0-9+/]{86}==)",
+    re.IGNORECASE,
+)
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 _WORDY = re.compile(r"[0-9]*+(?:[-_/=+]*+(?:[A-Z]?[a-z]{3,}+|[A-Z]{4,}+|[0-9]{1,8}+(?![A-Za-z0-9])))++[-_/=+]*+")
+_MARKS = "-_/+="
 
 Span = tuple[int, int, str]
+Limits = dict[str, tuple[float, float]]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -68,34 +79,54 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def random_spans(text: str, known: list[Span], encode: Callable[[str], list[int]], ratio: float) -> list[Span]:
-    """Strings of few characters per token, outside of the spans that are known already."""
+def random_spans(text: str, known: list[Span], encode: Callable[[str], list[int]], limits: Limits) -> list[Span]:
+    """Strings of few characters per token.
+
+    A string that lies within one of the `known` spans is none; one that reaches beyond is given whole.  UUIDs are cut
+    out, and what stands beside them is tested by itself.
+    """
     found: list[Span] = []
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
-        word = m.group()
-        if word.isalpha() and (word[1:].islower() or word.isupper()):
-            continue
-        start, end = m.span()
-        core = word.rstrip("=").strip("-_/+=")
-        if len(core) < RANDOM_LEAST or not _mixed(core):
-            continue
-        if any(s < end and start < e for s, e, _ in known):
-            continue
-        if _UUID.search(word) or _WORDY.fullmatch(word) or _DIGEST.search(text[max(0, start - 24) : start]):
-            continue
-        if len(core) <= ratio * len(encode(core)):
-            found.append((start, end, RANDOM))
+    for match in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        at = match.start()
+        for part in _UUID.sub(lambda m: " " * len(m.group()), match.group()).split(" "):
+            start, end = at, at + len(part)
+            at = end + 1
+            if len(part) < RANDOM_LEAST or any(s <= start and end <= e for s, e, _ in known):
+                continue
+            if _DIGEST.fullmatch(part) and _NAMED.search(text[max(0, start - 24) : start]):
+                continue
+            # A fixed pattern within a longer run of letters and digits: all of the run is one string.
+            longer = part.isalnum() and any(start <= s and e <= end for s, e, _ in known)
+            if longer or _is_random(part, encode, limits):
+                found.append((start, end, RANDOM))
     return found
 
 
-def _mixed(word: str) -> bool:
-    letters = sum(c.isalpha() for c in word)
-    digits = sum(c.isdigit() for c in word)
-    turns = sum(a.islower() and b.isupper() for a, b in zip(word, word[1:], strict=False))
-    return letters >= 4 and (digits >= 2 or turns >= 3)
+def _is_random(word: str, encode: Callable[[str], list[int]], limits: Limits) -> bool:
+    core = word.strip("-_=")
+    plain = core.translate(str.maketrans("", "", _MARKS))
+    if len(core) < RANDOM_LEAST or not plain:
+        return False
+    if all(ord(b) - ord(a) == 1 for a, b in zip(plain, plain[1:], strict=False)):
+        return False  # an alphabet
+    kind = _kind(plain)
+    # Names of several words, with numbers: not where letters of one kind alone would always look like a word.
+    if (kind not in ("lower", "upper") or plain != core) and _WORDY.fullmatch(word):
+        return False
+    return len(core) <= limits[kind][len(core) >= 20] * len(encode(core))
+
+
+def _kind(word: str) -> str:
+    if word.isdigit():
+        return "digits"
+    if word.isalpha():
+        return "lower" if word.islower() else "upper" if word.isupper() else "letters"
+    return "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", word) else "mixed"
 
 
-def secret_spans(docs: DataFrame, *keep: str, text: str = "text", path: str | None = None, ratio: float = CHARS_PER_TOKEN) -> DataFrame:
+def secret_spans(
+    docs: DataFrame, *keep: str, text: str = "text", path: str | None = None, limits: Limits = CHARS_PER_TOKEN
+) -> DataFrame:
     """The `keep` columns of each row with `base, spans`: arrays of (start, end, kind) in code points, end exclusive.
 
     `base` has the fixed patterns, `spans` these and the random strings.  A null or empty text has none.  The
@@ -113,7 +144,7 @@ def secret_spans(docs: DataFrame, *keep: str, text: str = "text", path: str | No
         for value in rows.column(len(fields)):
             value = value.as_py() or ""
             known = base_spans(value)
-            every = sorted(known + random_spans(value, known, encode, ratio), key=lambda s: (s[0], (*KINDS, RANDOM).index(s[2])))
+            every = sorted(known + random_spans(value, known, encode, limits), key=lambda s: (s[0], (*KINDS, RANDOM).index(s[2])))
             for name, spans in (("base", known), ("spans", every)):
                 out[name].append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
         return out
@@ -138,13 +169,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARK = "[SECRET]"
 
 
-def redacted(text: str | None, encode: Callable[[str], list[int]], ratio: float = CHARS_PER_TOKEN) -> str | None:
+def redacted(text: str | None, encode: Callable[[str], list[int]], limits: Limits = CHARS_PER_TOKEN) -> str | None:
     """The text with every secret replaced; of a pattern with a name only the value goes."""
     if text is None:
         return None
     known = base_spans(text)
     cut: list[tuple[int, int]] = []
-    for start, end, kind in known + random_spans(text, known, encode, ratio):
+    for start, end, kind in known + random_spans(text, known, encode, limits):
         if kind == KINDS[0]:
             start = re.compile(ASSIGN, re.IGNORECASE | re.ASCII).match(text, start).start(2)
         cut.append((start, end))
@@ -157,23 +188,24 @@ def redacted(text: str | None, encode: Callable[[str], list[int]], ratio: float
 
 
 def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Pipeline stage: every row stays, secrets are replaced in its text and `n_chars` is the new length.
+    """Pipeline stage: every row stays, secrets are replaced in its text and `n_chars`, if there is one, is the new length.
 
     Rows without a secret keep `n_chars` as it was.
     """
     path = path or vocabulary_path()
     names = docs.columns
-    at, size = names.index("text"), names.index("n_chars")
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for batch in batches:
             encode = cached(f"tiktoken {path}", lambda: _encoder(path))
             texts = batch.column(at).to_pylist()
             clean = [redacted(t, encode) for t in texts]
-            sizes = [n if c == t else len(c) for t, c, n in zip(texts, clean, batch.column(size).to_pylist(), strict=True)]
             columns = list(batch.columns)
             columns[at] = pa.array(clean, batch.schema.field(at).type)
-            columns[size] = pa.array(sizes, batch.schema.field(size).type)
+            if size is not None:
+                sizes = [n if c == t else len(c) for t, c, n in zip(texts, clean, batch.column(size).to_pylist(), strict=True)]
+                columns[size] = pa.array(sizes, batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

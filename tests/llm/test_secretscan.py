@@ -53,6 +53,42 @@ def test_digests_identifiers_and_words_are_not(encode, text):
     assert random_spans(text, [], encode, secretscan.CHARS_PER_TOKEN) == []
 
 
+ALPHABETS = {
+    "lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "digits": string.digits, "hex": "0123456789ABCDEF",
+    "lower and digits": string.ascii_lowercase + string.digits, "upper and digits": string.ascii_uppercase + string.digits,
+    "letters": string.ascii_letters, "base 62": string.ascii_letters + string.digits, "base 64": string.ascii_letters + string.digits + "+/",
+}
+
+
+@pytest.mark.parametrize("name", list(ALPHABETS))
+@pytest.mark.parametrize("length", [16, 24, 32, 64])
+def test_random_strings_of_every_alphabet(encode, name, length):
+    rng = random.Random(length)
+    keys = ["".join(rng.choice(ALPHABETS[name]) for _ in range(length)) for _ in range(1500)]
+    missed = sum(not random_spans(f"a {key} b", [], encode, secretscan.CHARS_PER_TOKEN) for key in keys)
+    assert missed < 0.02 * len(keys)
+
+
+def test_words_of_the_corpus_are_left_alone(spark, encode):
+    texts = [t or "" for t in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").toPandas().text]
+    found = [random_spans(t, base_spans(t), encode, secretscan.CHARS_PER_TOKEN) for t in texts]
+    assert sum(map(bool, found)) < 0.005 * len(texts)
+
+
+@pytest.mark.parametrize(
+    "text,clean",
+    [
+        ("key ABCD1234efghIJKL0123456789abcdef01QWERzxcv77 x", "key [SECRET] x"),
+        ("123e4567-e89b-12d3-a456-426614174000-9fKq2LmX8vB3nT7w", "123e4567-e89b-12d3-a456-426614174000[SECRET]"),
+        ("commit 4f9aK2mQ8zR7vXc1Lp0TbYw3", "commit [SECRET]"),
+        ("revision: ghp_16C7e42F292c6912E7710c838347Ae178B4a", "revision: [SECRET]"),
+        ("md5 " + "0123456789ABCDEF" * 2, "md5 " + "0123456789ABCDEF" * 2),
+    ],
+)
+def test_whole_strings_are_redacted(encode, text, clean):
+    assert redacted(text, encode) == clean
+
+
 def test_long_runs_take_linear_time(encode):
     text = "a1" * 200_000 + " " + "Ab" * 100_000 + "-_" * 100_000
     random_spans(text, base_spans(text), encode, secretscan.CHARS_PER_TOKEN)
@@ -76,4 +112,10 @@ def test_whole_query(spark):
         joined = ",".join(f"{k}:{a}:{e}" for a, e, k in expected)
         assert row["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert [row["n_assign"], row["n_access"], row["n_hex"]] == [sum(k == x for _, _, k in expected) for x in secretscan.KINDS]
-        assert set(joined.split(",")) <= set(row["spans"].split(","))
+        assert set(joined.split(",")) - {""} <= set(row["spans"].split(","))
+
+
+def test_redacts_tables_without_a_length(spark):
+    docs = spark.createDataFrame([(1, "password = abcdefgh12345678", None)], "doc_id long, text string, n_Chars_ int")
+    [row] = secretscan.redact(docs).collect()
+    assert row["text"] == f"password = {secretscan.MARK}"
