@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import cached, stored, table
+from lintlake.llm.common import cached, stored, table, unused
 
 # Fixed masks: 1 counts, 0 is ignored.  Wherever a fifth of 16 or more tokens in line is substituted, one of MASKS still
 # fits somewhere; SHORT_MASKS do the same for items of 8 to 15 tokens whose first and last token are equal.  A stretch
@@ -326,6 +326,12 @@ def op10_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pipeline stage: texts that hold a passage of the benchmark go; a row with a null key stays."""
-    found = contaminated(docs, items).select(F.col("doc").alias("_doc")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_doc"), "left_anti")
+    """Pipeline stage: rows whose text holds a passage of the benchmark go, whatever their key, and no others.
+
+    Texts are told apart by a 64-bit hash, so rows that repeat a key, or have none, are judged by their own text.  The
+    hashes found are written first: Spark knows their size, and moves texts only if they are too many for every task.
+    """
+    key = unused("_text_hash", docs.columns)
+    texts = docs.select(F.xxhash64("text").alias(key), "text")
+    found = stored(contaminated(texts, items, key=key).select(F.col("doc").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, F.xxhash64("text")).join(found, key, "left_anti").select(*docs.columns)

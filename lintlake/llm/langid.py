@@ -244,7 +244,10 @@ LEAST_SHARE = 0.2
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
-    """Pipeline stage: texts in a language that the table itself teaches; the others go."""
+    """Pipeline stage: texts in a language that the table itself teaches; the others go, null and empty ones among them.
+
+    A table without a labelled row teaches none: then every row stays.  Repeated rows stay or go each by its text.
+    """
     model = learn(docs.filter(fold(F.col("doc_id"), 4) != 2))
     if not model.languages:
         return docs

@@ -129,3 +129,13 @@ def test_substituted_passages(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     found = decontam.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc"], r["item"]) for r in found} == {(i, i) for i, _ in items}
+
+
+def test_rows_go_by_their_own_text(spark):
+    passage = " ".join(f"word{i}" for i in range(40))
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(1, passage + " more", 0), (1, "clean text", 1), (None, "before " + passage, 2), (None, "clean", 3), (2, None, 4), (3, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_hash int").repartition(3)
+    kept = decontam.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(r["_text_hash"] for r in kept.collect()) == [1, 3, 4, 5]
