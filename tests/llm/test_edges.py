@@ -45,7 +45,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-SMALL_LM = lm.Settings(words=64, others=4, hidden=8, head=16, sample=2000, first_epochs=1)
+SMALL_LM = lm.Settings(words=64, others=4, hidden=8, head=16, rounds=1)
 
 
 def operators(spark, docs, path):
