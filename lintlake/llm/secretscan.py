@@ -165,8 +165,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, _joined("spans").alias("spans"))
 
 
-# What a secret is replaced by.
+# What a secret is replaced by, and rows that are held as Python strings at once.
 MARK = "[SECRET]"
+_ROWS = 256
 
 
 def redacted(text: str | None, encode: Callable[[str], list[int]], limits: Limits = CHARS_PER_TOKEN) -> str | None:
@@ -197,15 +198,17 @@ def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
+        encode = cached(f"tiktoken {path}", lambda: _encoder(path))
         for batch in batches:
-            encode = cached(f"tiktoken {path}", lambda: _encoder(path))
-            texts = batch.column(at).to_pylist()
-            clean = [redacted(t, encode) for t in texts]
-            columns = list(batch.columns)
-            columns[at] = pa.array(clean, batch.schema.field(at).type)
-            if size is not None:
-                sizes = [n if c == t else len(c) for t, c, n in zip(texts, clean, batch.column(size).to_pylist(), strict=True)]
-                columns[size] = pa.array(sizes, batch.schema.field(size).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for start in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(start, _ROWS)
+                texts = part.column(at).to_pylist()
+                clean = [redacted(t, encode) for t in texts]
+                columns = list(part.columns)
+                columns[at] = pa.array(clean, part.schema.field(at).type)
+                if size is not None:
+                    sizes = [n if c == t else len(c) for t, c, n in zip(texts, clean, part.column(size).to_pylist(), strict=True)]
+                    columns[size] = pa.array(sizes, part.schema.field(size).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     return docs.mapInArrow(run, docs.schema)
