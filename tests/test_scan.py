@@ -269,7 +269,7 @@ def test_own_secret_patterns_in_any_number(spark, make_files, monkeypatch):
     built_in = rows(secrets(files, now=NOW))
     assert built_in and rows(secrets(files, own, NOW)) == built_in
     scanned = rows(scan(files, severity="INFO", now=NOW))
-    monkeypatch.setattr(rule_index, "BLOCK", 900)
+    monkeypatch.setattr(rule_index, "BLOCK", 1200)
     assert rows(secrets(files, own, NOW)) == built_in
     assert rows(scan(files, secret_patterns=own, severity="INFO", now=NOW)) == scanned
     bad = own.limit(1).withColumns({"id": F.lit("bad"), "pattern": F.lit(r"(a)?(?(1)b|c)x")})
