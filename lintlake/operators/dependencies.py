@@ -148,15 +148,16 @@ def entry_hits_sql(code: str) -> str:
     return f"transform({chain(cases, _NO_ENTRIES)}, (d, i) -> {hit_sql('d.line', name, DEPENDENCY, 'i', text=name)})"
 
 
-def entries_of(hits: DataFrame) -> DataFrame:
-    """The dependencies among the hits of a scan.
+# True of every hit, and on all that findings are made of, but nothing on what hits are made unique by: parts of a plan
+# with this filter need the same rows and columns of the hits, however little is wanted of them in the end, and Spark
+# makes those once for all.
+WHOLE_HIT = "coalesce(snippet, text, string(amount), string(limit), string(column), string(seq)) IS NOT NULL"
 
-    The filter is on all that findings are made of, and nothing on what hits are made unique by: so this part of a plan
-    and the other one need the same rows and columns of the hits, and Spark makes them once for both.
-    """
-    rest = "coalesce(snippet, text, string(amount), string(limit), string(column), string(seq)) IS NOT NULL"
+
+def entries_of(hits: DataFrame) -> DataFrame:
+    """The dependencies among the hits of a scan."""
     parts = F.split("text", "\\x00", -1)
-    return hits.filter(F.col("analyzer") == DEPENDENCY).filter(rest).select(
+    return hits.filter(F.col("analyzer") == DEPENDENCY).filter(WHOLE_HIT).select(
         "file", F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(2)).alias("version"), F.get(parts, F.lit(0)).alias("language"),
         F.lit(None).cast("string").alias("operator"), "line",
     )

@@ -13,6 +13,7 @@ from lintlake.builtin.rules import SECRET_RULES
 from lintlake.builtin.tables import MANIFEST_NAMES, MANIFEST_SUFFIX
 from lintlake.functions.severity import RANK
 from lintlake.operators.dependencies import (
+    WHOLE_HIT,
     base_name,
     dependencies,
     dependency_findings,
@@ -216,7 +217,7 @@ def _findings(
     hits: DataFrame, info: DataFrame, options: Options, advisories: DataFrame | None, deps: DataFrame | None
 ) -> DataFrame:
     """Findings of unique hits, and of the dependencies."""
-    found = hits.filter(F.col("analyzer") < DEPENDENCY)
+    found = hits.filter(F.col("analyzer") < DEPENDENCY).filter(WHOLE_HIT)
     tables = [findings_of(found, info, options.now).drop("seq")]
     if deps is not None:
         known = builtin_advisories(hits.sparkSession) if advisories is None else advisories

@@ -2,7 +2,13 @@
 
 import pytest
 
+from lintlake.operators import rollups as A
 from lintlake.plans.catalogue import queries
+from lintlake.plans.scan import scan
+from lintlake.sources import sinks
+
+NOW = "2024-01-01 00:00:00"
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -22,3 +28,29 @@ def test_incremental_reads_a_table_that_is_a_folder(spark, folder):
 def test_streamed_sightings_read_a_table_that_is_a_folder(spark, folder):
     rows = queries()["streamed_sightings"](spark, folder).collect()
     assert len(rows) >= 27 and all(r.once for r in rows)
+
+
+def _counting(spark, reads):
+    files = spark.createDataFrame(
+        [("a.py", "python", "a = eval(x)"), ("requirements.txt", "unknown", "django==1.0")], "file string, language string, code string"
+    )
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    return files.mapInArrow(counted, files.schema)
+
+
+def test_a_rollup_of_few_columns_makes_hits_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+    found = scan(_counting(spark, reads), severity="INFO", order=False, now=NOW)
+    assert {r.finding_type for r in A.count_by(found, "finding_type").collect()} == {"vulnerability", "dependency"}
+    assert reads.value == 2
+
+
+def test_sarif_of_a_scan_makes_hits_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+    sinks.write_sarif(scan(_counting(spark, reads), severity="INFO", order=False, now=NOW), str(tmp_path / "log"))
+    assert reads.value == 2
