@@ -241,11 +241,13 @@ def scan(
     `files` has (file, code, language).  Rules and advisories default to the
     built-in ones.  Manifests default to those found among the files; their dependencies come out of the same pass
     over the texts as all else.  With `unique_files`, where no shuffle parts the two, the files are read a second time
-    for them: give a table of manifests to spare that.
+    for them, and nothing but the manifests is looked at there.
     Options may be given as keywords.
     """
     options = Options(**{**options.__dict__, **changes})
     inside = options.dependencies and manifests is None
+    if inside and options.unique_files:
+        manifests, inside = manifests_of(files), False
     hits, info = all_hits(files, rules, options, secret_patterns, entries=inside)
     if not options.unique_files:
         hits = dedup_hits(hits)

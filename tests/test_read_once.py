@@ -54,3 +54,15 @@ def test_sarif_of_a_scan_makes_hits_once(spark, tmp_path):
     reads = spark.sparkContext.accumulator(0)
     sinks.write_sarif(scan(_counting(spark, reads), severity="INFO", order=False, now=NOW), str(tmp_path / "log"))
     assert reads.value == 2
+
+
+def test_unique_files_are_matched_once(spark):
+    """Beside the manifests, no text meets the patterns a second time."""
+    files = spark.createDataFrame(
+        [("a.py", "python", "a = eval(x)"), ("requirements.txt", "unknown", "django==1.0")], "file string, language string, code string"
+    )
+    found = scan(files, severity="INFO", order=False, unique_files=True, now=NOW)
+    assert {r.finding_type for r in A.count_by(found, "finding_type").collect()} == {"vulnerability", "dependency"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The projection of the marks, once.
+    assert plan.count("AS _marks#") == 1
