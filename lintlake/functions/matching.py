@@ -28,7 +28,8 @@ _BLOCK = 256
 
 
 def newlines_sql(text: str) -> str:
-    return f"(length({text}) - length(replace({text}, '\\n')))"
+    # A newline is one byte; bytes need no counting.
+    return f"(octet_length({text}) - octet_length(replace({text}, '\\n')))"
 
 
 def last_line_sql(text: str) -> str:
@@ -69,9 +70,10 @@ def locate_sql(code: str, regex: str) -> str:
         f"named_struct('gap_lines', {newlines_sql('g')}, 'gap_tail', {last_line_sql('g')}, "
         f"'hit_lines', {newlines_sql('h')}, 'hit_tail', {last_line_sql('h')}, 'text', h)"
     )
+    # The rest of the text after the last match is no piece.
     pieces = (
         f"filter(zip_with(split({code}, {regex}, -1), regexp_extract_all({code}, {regex}, 0), "
-        f"(g, h) -> {piece}), p -> p.text IS NOT NULL)"
+        f"(g, h) -> IF(h IS NULL, NULL, {piece})), p -> p IS NOT NULL)"
     )
     blocks = let(
         pieces,

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from lintlake.functions.patterns import ODD_CASES, required_literals
+from lintlake.functions.sqltext import let
 from lintlake.operators.rules import with_java
 
 # Bytes of patterns in one block.
@@ -123,5 +124,6 @@ def candidates(rules: list[Row], analyzer: int, files: DataFrame) -> Callable[[s
 
 
 def matching_sql(code: str, candidates: str) -> str:
-    """The candidates that do occur."""
-    return f"filter({candidates}, m -> {code} RLIKE m.pattern)"
+    """The candidates that do occur; each pattern is tested once."""
+    occurring = f"filter(array_distinct({candidates}.pattern), p -> {code} RLIKE p)"
+    return let(occurring, "occurring", f"filter({candidates}, m -> array_contains(occurring, m.pattern))")

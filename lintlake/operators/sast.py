@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lintlake.builtin.tables import CWE_REMEDIATION, DEFAULT_REMEDIATION
 from lintlake.functions.matching import locate_sql, strip_sql
 from lintlake.functions.patterns import contains_sql, java_pattern
-from lintlake.functions.sqltext import chain, quote
+from lintlake.functions.sqltext import chain, let, quote
 from lintlake.operators.hits import (
     NO_HITS,
     SAST,
@@ -80,7 +80,7 @@ def rule_marks_sql(code: str, language: str, rules: list, prefilter: bool = True
 
 
 def marked_hits_sql(code: str, marks: str) -> str:
-    """Every match of every mark, in order."""
+    """Every match of every mark, in order.  A text is searched once for a pattern, whatever number of marks have it."""
     is_todo = f"mark.id = '{TODO}'"
     kind = "regexp_extract(m.text, mark.pattern, 1)"
     said = strip_sql("regexp_extract(m.text, mark.pattern, 2)")
@@ -92,8 +92,11 @@ def marked_hits_sql(code: str, marks: str) -> str:
         f"IF(mark.analyzer <= 1, m.column, 1)",
         f"IF({is_todo}, {said}, m.text)",
     )
-    located = f"transform({locate_sql(code, 'mark.pattern')}, (m, i) -> {hit})"
-    return f"IF(size({marks}) = 0, {NO_HITS}, flatten(transform({marks}, mark -> {located})))"
+    own = "get(places, CAST(array_position(patterns, mark.pattern) - 1 AS INT))"
+    found = f"flatten(transform({marks}, mark -> transform({own}, (m, i) -> {hit})))"
+    places = f"transform(patterns, pattern -> {locate_sql(code, 'pattern')})"
+    located = let(f"array_distinct({marks}.pattern)", "patterns", let(places, "places", found))
+    return f"IF(size({marks}) = 0, {NO_HITS}, {located})"
 
 
 def rule_info(rules: DataFrame) -> DataFrame:

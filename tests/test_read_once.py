@@ -3,9 +3,11 @@
 import pytest
 
 from lintlake.operators import rollups as A
+from lintlake.operators.sast import sast_findings
 from lintlake.plans.catalogue import queries
 from lintlake.plans.scan import scan
 from lintlake.sources import sinks
+from lintlake.sources.tables import load_rules
 
 NOW = "2024-01-01 00:00:00"
 
@@ -66,3 +68,15 @@ def test_unique_files_are_matched_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # The projection of the marks, once.
     assert plan.count("AS _marks#") == 1
+
+
+def test_a_text_is_searched_once_for_a_pattern_of_many_rules(spark):
+    """Rules that share a pattern each have their findings, in order; the plan locates distinct patterns."""
+    rows = [(f"r{i}", f"n{i}", "d", "b+" if i % 2 else "[ab]c", "HIGH", "unknown") for i in range(6)]
+    rules = spark.createDataFrame(rows, "id string, name string, description string, pattern string, severity string, language string")
+    files = spark.createDataFrame([("x", "unknown", "abb\n bcé b"), ("y", "unknown", "zz")], "file string, language string, code string")
+    found = sast_findings(files, load_rules(spark, rules), NOW)
+    got = sorted((r.rule_id, r.line, r.column) for r in found.collect())
+    odd, even = [(1, 2), (2, 2), (2, 6)], [(2, 2)]
+    assert got == sorted((f"r{i}", *at) for i in range(6) for at in (odd if i % 2 else even))
+    assert "array_distinct" in found._jdf.queryExecution().optimizedPlan().toString()
