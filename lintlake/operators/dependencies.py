@@ -163,9 +163,12 @@ def entries_of(hits: DataFrame) -> DataFrame:
     )
 
 
-def match_advisories(deps: DataFrame, advisories: DataFrame, mode: str = "semantic") -> DataFrame:
+def match_advisories(deps: DataFrame, advisories: DataFrame, mode: str = "semantic", lists: bool = False) -> DataFrame:
     """Every (dependency, advisory) pair whose range covers the version.
 
+    With `lists` the advisories of a dependency stay in lists `found`, as they come out of the blocks, some of
+    them empty: what is worked out of them then needs no row for every pair.
+
     Advisories of one version are joined by it.  Ranges come in blocks of ascending bounds, hundreds to a row: a block
     that ends below the version is no row, and in the others bisection finds the ranges that cover it.  So a package
     with very many advisories makes no rows but those that match.  Spark chooses the joins by the size of the advisory
@@ -187,6 +190,8 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, mode: str = "semant
     joined = keyed.join(blocks, ["language", "_package"]).filter(reaches)
     covering = F.expr(f"IF(_only, entries, {_covering_sql('_have', 'entries')})")
     names = [F.col(c) for c in deps.columns]
+    if lists:
+        return joined.select(*names, covering.alias("found"))
     found = joined.select(*names, F.explode(covering).alias("_found"))
     return found.select(*names, "_found.version_spec", "_found.cve", "_found.severity")
 

@@ -1,8 +1,10 @@
 """Tables that are folders, and scans that work on each text once."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lintlake.operators import rollups as A
+from lintlake.operators.dependencies import match_advisories
 from lintlake.operators.sast import sast_findings
 from lintlake.plans.catalogue import queries
 from lintlake.plans.scan import scan
@@ -80,3 +82,16 @@ def test_a_text_is_searched_once_for_a_pattern_of_many_rules(spark):
     odd, even = [(1, 2), (2, 2), (2, 6)], [(2, 2)]
     assert got == sorted((f"r{i}", *at) for i in range(6) for at in (odd if i % 2 else even))
     assert "array_distinct" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_advisories_hold_the_pairs(spark):
+    deps = spark.createDataFrame([("python", "a", f"1.{i}") for i in range(9)], "language string, name string, version string")
+    spec = F.when(F.col("id") % 3 == 0, F.concat(F.lit("=="), F.col("v"))).otherwise(F.concat(F.lit("<"), F.col("v")))
+    known = spark.range(700).withColumn("v", F.expr("concat('1.', id % 12)")).select(
+        F.lit("python").alias("language"), F.lit("A").alias("package"), spec.alias("version_spec"),
+        F.concat(F.lit("CVE-"), "id").alias("cve"), F.lit("HIGH").alias("severity"),
+    )
+    pairs = match_advisories(deps, known)
+    lists = match_advisories(deps, known, lists=True).select("*", F.explode("found").alias("f"))
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
+    assert rows(pairs) == rows(lists.select(*deps.columns, "f.version_spec", "f.cve", "f.severity")) and pairs.count() > 700
