@@ -96,6 +96,48 @@ def matches_empty(pattern: str) -> bool:
     return sre_parse.parse(pattern).getwidth()[0] == 0
 
 
+def portable(pattern: str) -> bool:
+    """Whether it is certain that Python and the JVM find the same matches: the pattern is made of characters, classes of
+    characters written out, alternatives, groups and repeats of what cannot be empty.  When case is ignored, of ASCII
+    letters without classes.
+    """
+    if _ESCAPED_NAME.search(pattern):
+        return False
+    try:
+        tree = sre_parse.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return False
+    flags = tree.state.flags & ~(re.UNICODE | re.MULTILINE | re.DOTALL)
+    if flags not in (0, re.IGNORECASE) or (flags and not pattern.isascii()):
+        return False
+    return tree.getwidth()[0] > 0 and _portable(tree, bool(flags))
+
+
+# What is a class, a place, or a character by its code: Java has other rules for some of them.
+_ESCAPED_NAME = re.compile(r"\\[0-9A-Za-z]")
+
+
+def _portable(tree, folded: bool) -> bool:
+    for op, arg in tree:
+        if op in (sre.LITERAL, sre.ANY):
+            continue
+        if op in (sre.NOT_LITERAL, sre.IN):
+            if folded or (op is sre.IN and any(kind not in (sre.LITERAL, sre.RANGE, sre.NEGATE) for kind, _ in arg)):
+                return False
+        elif op is sre.SUBPATTERN:
+            if arg[1] or arg[2] or not _portable(arg[3], folded):
+                return False
+        elif op is sre.BRANCH:
+            if not all(_portable(branch, folded) for branch in arg[1]):
+                return False
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            if arg[2].getwidth()[0] == 0 or not _portable(arg[2], folded):
+                return False
+        else:
+            return False
+    return True
+
+
 def required_literals(pattern: str, folded: bool = False) -> list[str]:
     """Texts of which at least one occurs in every match; empty if unknown.
 
@@ -116,6 +158,18 @@ def required_literals(pattern: str, folded: bool = False) -> list[str]:
     return [text for text in best if not any(other != text and other in text for other in best)]
 
 
+def begins_with_literal(pattern: str) -> bool:
+    """Whether every match begins with the only text of `required_literals`."""
+    tree = sre_parse.parse(pattern)
+    folded = bool(tree.state.flags & re.IGNORECASE)
+    texts = required_literals(pattern, folded)
+    if len(texts) != 1:
+        return False
+    start = list(tree)[: len(texts[0])]
+    found = "".join(chr(arg) if op is sre.LITERAL else "\0" for op, arg in start)
+    return (found.lower() if folded else found) == texts[0]
+
+
 # The letters that match an ASCII letter when case is ignored and that `lower`
 # does not turn into it.
 _ODD_CASES = {"s": "\u017f", "i": "\u0131\u0130", "k": "\u212a"}

@@ -147,16 +147,18 @@ _QUALITY_MESSAGE = """replace(replace(replace(replace(message_template,
 
 
 def findings_of(
-    hits: DataFrame, info: DataFrame, now: datetime | str | Column | None = None, *keep: str
+    hits: DataFrame, info: DataFrame, now: datetime | str | Column | None = None, *keep: str, by: str = "rule_id"
 ) -> DataFrame:
     """Attach rule data to exploded hits and shape them as findings.
 
+    `by` is the column that tells which rules a hit is of.
+
     `seq`, the arrival order within a file, stays on as an extra column until
     duplicates are removed.
     """
     types = " ".join(f"WHEN {analyzer} THEN '{name}'" for analyzer, name in TYPE_OF.items())
     seed = "regexp_replace(rule_id, '^quality_', '')"
-    joined = hits.join(info, ["analyzer", "rule_id"]).withColumn("_now", timestamp(now))
+    joined = hits.join(info, ["analyzer", by]).withColumn("_now", timestamp(now))
     return joined.selectExpr(
         f"{finding_id_sql('file', 'line', seed)} AS id",
         "rule_id",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,12 +26,18 @@ def _problem(pattern: str | None) -> str | None:
     return "pattern can match nothing" if matches_empty(pattern) else None
 
 
-# Rule tables are small; this runs on one row per rule, never per file.
+# Rules that share a pattern are common: a worker looks at each pattern once.
+@lru_cache(1 << 16)
+def _judged(pattern: str | None) -> tuple[str | None, str | None]:
+    problem = _problem(pattern)
+    return problem, None if problem or pattern is None else java_pattern(pattern)
+
+
+# This runs on one row per rule, never per file.
 @F.pandas_udf(T.StructType([T.StructField("problem", T.StringType()), T.StructField("java", T.StringType())]))
 def _translated(patterns: pd.Series) -> pd.DataFrame:
-    problems = patterns.map(_problem)
-    usable = [None if problem or pattern is None else java_pattern(pattern) for problem, pattern in zip(problems, patterns)]
-    return pd.DataFrame({"problem": problems.astype(object), "java": usable}, dtype=object)
+    judged = [_judged(pattern) for pattern in patterns]
+    return pd.DataFrame({"problem": [p for p, _ in judged], "java": [j for _, j in judged]}, dtype=object)
 
 
 def with_java(rules: DataFrame, problem: str = "problem") -> DataFrame:
@@ -104,7 +112,8 @@ def validate_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     rank = F.row_number().over(
         Window.partitionBy("id").orderBy(F.col("reason").isNotNull(), "name", "pattern")
     )
-    judged = with_java(rules, "_problem").withColumn("reason", own).drop("_problem", "java").withColumn("_rank", rank)
+    # A rule table is often a single small file: dealt by id, its patterns are looked at in many tasks.
+    judged = with_java(rules.repartition("id"), "_problem").withColumn("reason", own).drop("_problem", "java").withColumn("_rank", rank)
     reason = F.coalesce("reason", F.when(F.col("_rank") > 1, F.lit("duplicate id")))
     judged = judged.withColumn("reason", reason).drop("_rank")
     ok = judged.filter(F.col("reason").isNull()).drop("reason")

@@ -21,7 +21,7 @@ from lintlake.operators.hits import (
     info_table,
     union_hits,
 )
-from lintlake.operators.rule_index import candidates, matching_sql, rule_blocks
+from lintlake.operators.rule_index import matching_sql, rule_blocks, tried
 from lintlake.operators.rules import builtin_rule_rows
 from lintlake.support import spread
 
@@ -149,9 +149,9 @@ def indexed_hits(
     files: DataFrame, rules: list[Row], dedup_rows: bool = True, *keep: str, analyzer: int = SAST, language: Column | str = "language"
 ) -> DataFrame:
     """Exploded hits of one block of a rule table; `files` has (file, code) and the language."""
-    tried = files.withColumn("_candidates", candidates(rules, analyzer, files)("code", language))
-    marked = tried.select("file", "code", *keep, F.expr(matching_sql("code", "_candidates")).alias("_marks"))
-    hits = marked_hits_sql("code", "_marks")
+    found = files.withColumn("_tried", tried(rules, analyzer, files)("code", language))
+    marked = found.select("file", "code", *keep, "_tried.hits", F.expr(matching_sql("code", "_tried.marks")).alias("_marks"))
+    hits = f"IF(size(_marks) = 0, hits, concat(hits, {marked_hits_sql('code', '_marks')}))"
     return explode_hits(marked, first_per_line_sql(hits) if dedup_rows else hits, *keep)
 
 
@@ -170,12 +170,19 @@ def sast_findings(
 ) -> DataFrame:
     """One finding per match of every enabled rule of the file's language.
 
-    The built-in rules, of which there is a fixed number, are compiled into one projection; those of a table are
-    looked up in an index, block by block.
+    The built-in rules, of which there is a fixed number, are compiled into one projection; the patterns of a table are
+    looked up in an index, block by block, each once whatever number of rules have it.  What is found is then joined
+    with the rules.
     """
     texts = spread(files.select("file", "code", F.lower("language").alias("language")))
     if rules is None:
         own = builtin_rule_rows()
         return findings_of(compiled_hits(texts, own, prefilter), info_table(files.sparkSession, rule_info_rows(own)), now)
-    tables = [indexed_hits(texts, block, False) for block in rule_blocks(rules)]
-    return findings_of(union_hits(files.sparkSession, tables), rule_info(rules.filter("enabled")), now)
+    enabled = rules.filter("enabled")
+    # A null and a text differ as JSON.
+    key = F.md5(F.to_json(F.struct("language", "pattern")).cast("binary"))
+    patterns = enabled.select("language", "pattern").distinct().select("*", key.alias("id"), F.lit(True).alias("enabled"))
+    tables = [indexed_hits(texts, block, False) for block in rule_blocks(patterns)]
+    info = rule_info(enabled).join(enabled.select(F.col("id").alias("rule_id"), key.alias("pattern_id")), "rule_id")
+    hits = union_hits(files.sparkSession, tables).withColumnRenamed("rule_id", "pattern_id")
+    return findings_of(hits, info, now, by="pattern_id")
